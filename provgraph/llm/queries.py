@@ -6,9 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe_stream import transcode
+from .decontaminate import find_items
 from .exact_dedup import exact_dedup
 from .perspectives import rotate
 from .shared import table
+from .token_counts import count_tokens
+
+
+def vocabulary(name: str) -> bytes:
+    """A public vocabulary file, read on the driver."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), "rb") as f:
+        return f.read()
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +30,24 @@ def op8_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate(table(spark, sf_dir, "conversations"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op7_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transcode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), digest=True)
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_token_counts": op4_token_counts,
+    "op7_bpe_stream": op7_bpe_stream,
     "op8_perspectives": op8_perspectives,
+    "op9_decontaminate": op9_decontaminate,
 }
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -46,4 +72,16 @@ SQL: dict[str, str] = {
                CASE WHEN own THEN length(content) + 11 ELSE 0 END AS mask_len
         FROM j
     """,
+    "op9_decontaminate": r"""
+        WITH t AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+             w AS (SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                       '[^\x20\x09-\x0D]+') AS w FROM t),
+             s AS (SELECT DISTINCT kind, id, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i : i + 4], ' '))) AS s
+                   FROM w WHERE len(w) > 0),
+             q AS (SELECT id, count(*) AS item_shingles FROM s WHERE kind = 'i' GROUP BY id),
+             p AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS shared
+                   FROM s d JOIN s i ON d.s = i.s AND d.kind = 'd' AND i.kind = 'i' GROUP BY ALL)
+        SELECT doc_id, item_id, item_shingles, shared, shared / item_shingles AS containment
+        FROM p JOIN q ON q.id = item_id WHERE shared * 10 >= item_shingles * 8
+    """,
 }
