@@ -116,22 +116,28 @@ class Words:
     def hash(self) -> np.ndarray:
         """Hash of each word's bytes: a polynomial over random byte values."""
         if self._hash is None:
-            out = np.empty(len(self.start), dtype=np.uint64)
-            with np.errstate(over="ignore"):
-                i, n = 0, len(self.start)
-                while i < n:
-                    base = self.start[i]
-                    j = max(i + 1, int(np.searchsorted(self.end, base + SLICE_BYTES, "right")))
-                    stop = self.end[j - 1]
-                    power, inverse = _power_tables(int(stop - base) + 1)
-                    total = np.zeros(stop - base + 1, dtype=np.uint64)
-                    np.cumsum(_BYTE[self.data[base:stop]] * power[: stop - base], out=total[1:])
-                    s, e = self.start[i:j] - base, self.end[i:j] - base
-                    out[i:j] = mix((total[e] - total[s]) * inverse[s] ^ (e - s).astype(np.uint64))
-                    i = j
-            self._hash = out
+            self._hash = self.prefix_hashes([None])[0]
         return self._hash
 
+    def prefix_hashes(self, sizes: list[int | None]) -> list[np.ndarray]:
+        """Hashes of the words' first bytes, for each size; None: of whole words."""
+        outs = [np.empty(len(self.start), dtype=np.uint64) for _ in sizes]
+        with np.errstate(over="ignore"):
+            i, n = 0, len(self.start)
+            while i < n:
+                base = self.start[i]
+                j = max(i + 1, int(np.searchsorted(self.end, base + SLICE_BYTES, "right")))
+                stop = self.end[j - 1]
+                power, inverse = _power_tables(int(stop - base) + 1)
+                total = np.zeros(stop - base + 1, dtype=np.uint64)
+                np.cumsum(_BYTE[self.data[base:stop]] * power[: stop - base], out=total[1:])
+                s, whole = self.start[i:j] - base, self.end[i:j] - base
+                for out, size in zip(outs, sizes, strict=True):
+                    e = whole if size is None else np.minimum(whole, s + size)
+                    out[i:j] = mix((total[e] - total[s]) * inverse[s] ^ (e - s).astype(np.uint64))
+                i = j
+        return outs
+
     def counts(self) -> np.ndarray:
         return np.bincount(self.row, minlength=self.n_rows)
 

@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import toxicity
 from .bpe_stream import transcode
 from .decontaminate import find_items
 from .exact_dedup import exact_dedup
 from .perspectives import rotate
+from .quality import classify_quality
 from .shared import table
 from .token_counts import count_tokens
 
@@ -34,6 +36,15 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), digest=True)
 
@@ -45,6 +56,8 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op4_token_counts": op4_token_counts,
+    "op5_quality": op5_quality,
+    "op6_toxicity": op6_toxicity,
     "op7_bpe_stream": op7_bpe_stream,
     "op8_perspectives": op8_perspectives,
     "op9_decontaminate": op9_decontaminate,
