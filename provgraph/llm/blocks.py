@@ -19,19 +19,21 @@ BUFFER_ROWS = 2_000_000
 
 
 class Router:
-    """Packs rows ``(block, kind, columns...)``; ``dtypes`` names the columns' types.
+    """Packs rows ``(block, key, columns...)`` of one kind into a few rows per block.
 
-    Rows keep their order within a block of one emission.
+    ``key`` (64-bit) is stored by runs: field ``a`` has the values, ``b`` the
+    lengths; ``dtypes`` names the types of the two further columns at most.  With ``sort``
+    the rows of an emission are ordered by block and key, else they keep their order within a block.
     """
 
-    def __init__(self, kind: int, dtypes: list[str], buffer_rows: int = BUFFER_ROWS):
-        self.kind, self.dtypes, self.limit = kind, dtypes, buffer_rows
+    def __init__(self, kind: int, dtypes: list[str], sort: bool = False, buffer_rows: int = BUFFER_ROWS):
+        self.kind, self.dtypes, self.sort, self.limit = kind, dtypes, sort, buffer_rows
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.size = 0
 
-    def add(self, block: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def add(self, block: np.ndarray, key: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(block):
-            self.parts.append((block.astype(np.int32), *(c.astype(t, copy=False) for c, t in zip(columns, self.dtypes, strict=True))))
+            self.parts.append((block.astype(np.int32), key.astype(np.int64), *(c.astype(t, copy=False) for c, t in zip(columns, self.dtypes, strict=True))))
             self.size += len(block)
         if self.size >= self.limit:
             yield from self.flush()
@@ -39,14 +41,20 @@ class Router:
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.size:
             return
-        block, *columns = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        block, key, *columns = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         self.parts, self.size = [], 0
-        order = np.argsort(block, kind="stable")
-        block = block[order]
+        order = np.lexsort((key, block)) if self.sort else np.argsort(block, kind="stable")
+        block, key = block[order], key[order]
         columns = [c[order] for c in columns]
         cuts = np.flatnonzero(np.diff(block)) + 1
         begin, end = np.r_[0, cuts], np.r_[cuts, len(block)]
-        yield pack(block[begin], self.kind, [[c[i:j].tobytes() for i, j in zip(begin, end, strict=True)] for c in columns])
+        fields: list[list[bytes]] = [[], []]
+        for i, j in zip(begin, end, strict=True):
+            own = key[i:j]
+            run = np.r_[0, np.flatnonzero(np.diff(own)) + 1]
+            fields[0].append(own[run].tobytes())
+            fields[1].append(np.diff(np.r_[run, j - i]).astype(np.uint32).tobytes())
+        yield pack(block[begin], self.kind, fields + [[c[i:j].tobytes() for i, j in zip(begin, end, strict=True)] for c in columns])
 
 
 def pack(block: np.ndarray, kind: int, fields: list[list[bytes]]) -> pa.RecordBatch:
@@ -87,6 +95,11 @@ def column(rows: list[tuple[int, list[bytes]]], kind: int, i: int, dtype: str) -
     return np.concatenate(parts) if parts else np.zeros(0, dtype=dtype)
 
 
+def keys(rows: list[tuple[int, list[bytes]]], kind: int) -> np.ndarray:
+    """The keys of all rows of a kind."""
+    return np.repeat(column(rows, kind, 0, "i8"), column(rows, kind, 1, "u4"))
+
+
 def block_of(h: np.ndarray, blocks: int) -> np.ndarray:
     """Block of a 64-bit hash by its range: the high bits choose it."""
     return ((h >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int32)

@@ -10,6 +10,7 @@ from . import toxicity
 from .bpe_stream import transcode
 from .decontaminate import find_items
 from .exact_dedup import exact_dedup
+from .ngram_join import near_components
 from .perspectives import rotate
 from .quality import classify_quality
 from .shared import table
@@ -32,6 +33,10 @@ def op8_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate(table(spark, sf_dir, "conversations"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -55,6 +60,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_ngram_join": op3_ngram_join,
     "op4_token_counts": op4_token_counts,
     "op5_quality": op5_quality,
     "op6_toxicity": op6_toxicity,
@@ -72,6 +78,20 @@ SQL: dict[str, str] = {
              g AS (SELECT norm, count(*) AS group_size, arg_min(doc_id, (-n_chars, doc_id)) AS keep_id FROM n GROUP BY norm)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM n JOIN g USING (norm)
     """,
+    "op3_ngram_join": r"""
+        WITH RECURSIVE w AS (
+                 SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                   '[^\x20\x09-\x0D]+') AS w FROM documents),
+             s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i : i + 4], ' '))) AS s
+                   FROM w WHERE len(w) > 0),
+             n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+             p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+             l AS MATERIALIZED (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * o >= 80 * (a.n + b.n - o)),
+             e AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+             r AS (SELECT DISTINCT x AS doc_id, x AS reach FROM e UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.reach)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, doc_id) AS component_id
+        FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(reach) AS c FROM r GROUP BY doc_id) USING (doc_id)
+    """,
     "op8_perspectives": r"""
         WITH t AS (SELECT conv_id, turn, regexp_replace(coalesce(nullif(role, ''), 'unknown'), '[^A-Za-z0-9_-]', '_', 'g') AS speaker,
                           replace(coalesce(text, ''), '<|', '< |') AS content FROM conversations),
