@@ -14,6 +14,7 @@ from .ngram_join import near_components
 from .perspectives import rotate
 from .quality import classify_quality
 from .shared import table
+from .substring_dedup import dedup_substrings
 from .token_counts import count_tokens
 
 
@@ -58,6 +59,10 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(table(spark, sf_dir, "documents"), digest=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_ngram_join": op3_ngram_join,
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_bpe_stream": op7_bpe_stream,
     "op8_perspectives": op8_perspectives,
     "op9_decontaminate": op9_decontaminate,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -117,4 +123,16 @@ SQL: dict[str, str] = {
         SELECT doc_id, item_id, item_shingles, shared, shared / item_shingles AS containment
         FROM p JOIN q ON q.id = item_id WHERE shared * 10 >= item_shingles * 8
     """,
+    "op10_substring_dedup": r"""
+        WITH t AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+             v AS MATERIALIZED (SELECT doc_id, i AS p, array_to_string(w[i : i + 19], ' ') AS s FROM t, unnest(range(1, greatest(len(w) - 18, 1))) AS u(i)),
+             f AS (SELECT s, min((doc_id, p)) AS first FROM v GROUP BY s HAVING count(*) > 1),
+             c AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS p FROM v JOIN f USING (s) WHERE (doc_id, p) > first),
+             g AS (SELECT doc_id, list(p) AS gone FROM c GROUP BY doc_id),
+             k AS (SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
+                          CASE WHEN gone IS NULL THEN w
+                               ELSE list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: NOT list_contains(gone, x[2])), lambda x: x[1]) END AS kept
+                   FROM t LEFT JOIN g USING (doc_id))
+        SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+    """,
 }
