@@ -10,11 +10,15 @@ when a window that covers it has the same words as a window that starts earlier
 * **Runs.**  A task sorts its fingerprints when its buffer is full and deals the sorted
   pieces to blocks by hash range; a block merges them with the sorted, immutable runs of
   earlier batches, marks fingerprints that occur twice, and writes the batch's
-  merged fingerprints as a new run.  ``SubstringIndex.compact`` merges a block's runs into one once
+  fingerprints as a new run: with its document while it has occurred once, without
+  once it is marked.  ``SubstringIndex.compact`` merges a block's runs into one once
   there are more than ``max_runs``.
 * **Verification.**  Only windows over marked fingerprints are compared: by a
   96-bit hash of their whole word sequence, independent of the fingerprint; the
-  least (document, start) of each sequence stays, all later ones are removed.
+  least (document, start) of each sequence stays, all later ones are removed.  The
+  sequences' hashes are a second set of sorted runs, so that a later batch meets
+  every earlier window over a marked fingerprint there; a fingerprint that
+  occurred once before has its one document read again.
 * **Hot passages.**  A buffer forwards one (the earliest) occurrence of a
   fingerprint or sequence and settles the others itself, so a passage that
   every document holds reaches its block as one row per buffer.
@@ -49,7 +53,10 @@ NULL_ID = (1 << 63) - 1
 WINDOW_TYPE = np.dtype([("h1", "<u8"), ("h2", "<u4"), ("pos", "<u4")])
 BYTES = 24 << 20
 
-RUN, PRINT, MARK, DOC, WINDOW, CUT, PAST = range(7)
+RUN, PRINT, MARK, DOC, SEEN, WINDOW, CUT, PAST = range(8)
+MARKED = -1
+REPEATED = np.uint64(0xFFFFFFFFFFFFFFFE)  # fingerprints are odd; an even one is known to occur twice
+SEQUENCE_TYPE = np.dtype([("h1", "<u8"), ("h2", "<u4")])
 
 
 def _sliding(x: np.ndarray, n: int, op: np.ufunc) -> np.ndarray:
@@ -109,6 +116,8 @@ class Buffer:
             mark = repeated if self.all_repeated else ~first
             h = value["h1"] if value.dtype.names else value
             yield from self.done.add(doc_block(doc[mark], self.blocks), doc[mark], value["pos"][mark] if value.dtype.names else value[mark])
+            if self.all_repeated:
+                value = np.where(repeated, value & REPEATED, value)
             yield from self.out.add(block_of(h[first], self.blocks), doc[first], value[first])
         yield from self.done.flush()
         yield from self.out.flush()
@@ -161,19 +170,20 @@ def merge_prints(dealt: DataFrame, blocks: int) -> DataFrame:
             new, new_doc = column(rows, PRINT, 2, "u8"), keys(rows, PRINT)
             if not len(new):
                 continue
-            doc, value, _, repeated = settle(new_doc, new)
-            seen = repeated
+            doc, value, first, repeated = settle(new_doc, new | ~REPEATED)
+            known = np.unique(new[(new & ~REPEATED) == 0] | ~REPEATED)
+            seen = repeated | np.isin(value, known, kind="sort")
             if len(old):
                 order = np.argsort(old, kind="stable")
                 old, old_doc = old[order], old_doc[order]
                 at = np.minimum(np.searchsorted(old, value), len(old) - 1)
                 seen = seen | (old[at] == value)
                 back = np.minimum(np.searchsorted(value, old), len(value) - 1)
-                met = value[back] == old
+                met = (value[back] == old) & (old_doc != MARKED)
                 yield from past.add(doc_block(old_doc[met], blocks), old_doc[met], old[met])
             yield from marks.add(doc_block(doc[seen], blocks), doc[seen], value[seen])
             router = Router(RUN, ["u8"])
-            yield from router.add(np.full(len(doc), block), doc, value)
+            yield from router.add(np.full(int(first.sum()), block), np.where(seen, MARKED, doc)[first], value[first])
             yield from router.flush()
         yield from marks.flush()
         yield from past.flush()
@@ -261,7 +271,8 @@ def window_rows(dealt: DataFrame, window: int, gram: int, blocks: int) -> DataFr
 
 
 def later_windows(dealt: DataFrame, blocks: int) -> DataFrame:
-    """Per hash block: the starts of all but the earliest window of each sequence."""
+    """Per hash block: the starts of all but the earliest window of each sequence (CUT), and
+    the batch's sequences as a new sorted run (SEEN)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = Router(CUT, ["u4"], sort=True)
@@ -270,9 +281,20 @@ def later_windows(dealt: DataFrame, blocks: int) -> DataFrame:
                 if kind == CUT:  # settled by a buffer
                     yield pack(np.array([block]), CUT, [[f] for f in fields[:3]])
             parts = [np.frombuffer(f[2], WINDOW_TYPE) for k, f in rows if k == WINDOW]
-            if parts:
-                doc, value, first, _ = settle(keys(rows, WINDOW), np.concatenate(parts))
-                yield from cuts.add(doc_block(doc[~first], blocks), doc[~first], value["pos"][~first])
+            if not parts:
+                continue
+            doc, value, first, _ = settle(keys(rows, WINDOW), np.concatenate(parts))
+            own = np.empty(len(value), SEQUENCE_TYPE)
+            own["h1"], own["h2"] = value["h1"], value["h2"]
+            later = ~first
+            runs = [np.frombuffer(f[2], SEQUENCE_TYPE) for k, f in rows if k == SEEN]
+            if runs:
+                old = np.concatenate(runs)
+                near = np.isin(own["h1"], old["h1"], kind="sort")
+                known = set(old[np.isin(old["h1"], own["h1"][near], kind="sort")].tolist())
+                later = later | np.array([x in known for x in own.tolist()] if near.any() else np.zeros(len(own), bool))
+            yield from cuts.add(doc_block(doc[later], blocks), doc[later], value["pos"][later])
+            yield pack(np.array([block]), SEEN, [[None], [None], [own[first].tobytes()]])
         yield from cuts.flush()
 
     return dealt.mapInArrow(run, SCHEMA)
@@ -339,13 +361,14 @@ class SubstringIndex:
         self.window, self.gram, self.max_runs = window, min(gram, window), max_runs
         self.path = fresh_path(spark, "fingerprints")
         self.runs: list[str] = []
+        self.sequences: list[str] = []
         self.batches: list[DataFrame] = []
 
     def add(self, docs: DataFrame, digest: bool = False) -> DataFrame:
         """``doc_id, n_words, n_removed, kept_text`` (or ``kept_sha256``) of the batch."""
         prints = print_rows(docs, self.window, self.gram, self.blocks)
         if self.runs:
-            prints = prints.unionByName(self.spark.read.schema(SCHEMA).parquet(*self.runs))
+            prints = prints.unionByName(self._stored(self.runs, RUN))
         merged = merge_prints(deal(prints, self.partitions), self.blocks)
         at = f"{self.path}/run-{len(self.batches)}"
         merged.write.partitionBy("kind").parquet(at)
@@ -357,9 +380,14 @@ class SubstringIndex:
             marks = marks.unionByName(past.withColumn("kind", F.lit(MARK)))
             sources = sources.unionByName(packed_docs(self._past_documents(past), self.blocks))
         windows = window_rows(deal(marks.unionByName(sources), self.partitions), self.window, self.gram, self.blocks)
-        cuts = later_windows(deal(windows, self.partitions), self.blocks)
+        if self.sequences:
+            windows = windows.unionByName(self._stored(self.sequences, SEEN))
+        settled = f"{self.path}/sequences-{len(self.batches)}"
+        later_windows(deal(windows, self.partitions), self.blocks).write.partitionBy("kind").parquet(settled)
+        cuts = self.spark.read.schema(SCHEMA).option("basePath", settled).parquet(settled).select("block", "kind", "a", "b", "c", "d").filter(F.col("kind") == CUT)
         result = cut_documents(deal(cuts.unionByName(packed_docs(docs, self.blocks)), self.partitions), self.window, digest)
         self.runs.append(f"{at}/kind={RUN}")
+        self.sequences.append(f"{settled}/kind={SEEN}")
         self.batches.append(docs)
         return result
 
@@ -377,6 +405,9 @@ class SubstringIndex:
             history = history.unionByName(more)
         return history.join(wanted, "doc_id", "left_semi")
 
+    def _stored(self, paths: list[str], kind: int) -> DataFrame:
+        return self.spark.read.schema(SCHEMA).parquet(*paths).withColumn("kind", F.lit(kind)).select("block", "kind", "a", "b", "c", "d")
+
     def compact(self) -> None:
         """Merges the runs of each block into one sorted run when there are too many."""
         if len(self.runs) <= self.max_runs:
@@ -384,15 +415,21 @@ class SubstringIndex:
 
         def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for block, rows in by_block(batches):
-                doc, value, _, _ = settle(keys(rows, RUN), column(rows, RUN, 2, "u8"))
-                router = Router(RUN, ["u8"])
-                yield from router.add(np.full(len(doc), block), doc, value)
-                yield from router.flush()
+                value, doc = column(rows, RUN, 2, "u8"), keys(rows, RUN)
+                if len(value):
+                    doc, value, first, _ = settle(doc, value)
+                    keep = first | (doc != MARKED)  # MARKED sorts first and stands for all marks
+                    router = Router(RUN, ["u8"])
+                    yield from router.add(np.full(int(keep.sum()), block), doc[keep], value[keep])
+                    yield from router.flush()
+                seen = [np.frombuffer(f[2], SEQUENCE_TYPE) for k, f in rows if k == SEEN]
+                if seen:
+                    yield pack(np.array([block]), SEEN, [[None], [None], [np.unique(np.concatenate(seen)).tobytes()]])
 
-        runs = self.spark.read.schema(SCHEMA).parquet(*self.runs).withColumn("kind", F.lit(RUN))
         at = f"{self.path}/compact-{len(self.batches)}"
-        deal(runs, self.partitions).mapInArrow(merge, SCHEMA).write.parquet(at)
-        self.runs = [at]
+        both = self._stored(self.runs, RUN).unionByName(self._stored(self.sequences, SEEN))
+        deal(both, self.partitions).mapInArrow(merge, SCHEMA).write.partitionBy("kind").parquet(at)
+        self.runs, self.sequences = [f"{at}/kind={RUN}"], [f"{at}/kind={SEEN}"]
 
 
 def dedup_substrings(docs: DataFrame, window: int = 20, batches: int = 1, digest: bool = False, text: str = "text", key: str = "doc_id") -> DataFrame:
