@@ -10,6 +10,7 @@ from . import toxicity
 from .bpe_stream import transcode
 from .decontaminate import find_items
 from .exact_dedup import exact_dedup
+from .lattice import score_documents
 from .ngram_join import near_components
 from .perspectives import rotate
 from .quality import classify_quality
@@ -26,6 +27,12 @@ def vocabulary(name: str) -> bytes:
         return f.read()
 
 
+def op1_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return score_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -64,6 +71,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lattice": op1_lattice,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_ngram_join": op3_ngram_join,
     "op4_token_counts": op4_token_counts,
