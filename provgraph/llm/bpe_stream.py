@@ -182,9 +182,9 @@ def transcoder(vocab: bytes, lookahead: int) -> Transcoder:
     return _built[mark]
 
 
-def transcode(docs: DataFrame, vocab: bytes, digest: bool = False, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``doc_id, n_tokens, ids, decoded, text_back`` for each row; ``decoded`` as the library
-    decodes, ``text_back`` the running text.  With ``digest``, SHA-256 of the ids and of
+def transcode(docs: DataFrame, vocab: bytes, digest: bool = False, running: bool = False, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``doc_id, n_tokens, ids, decoded`` for each row; ``decoded`` as the library decodes, or
+    with ``running`` the running text.  With ``digest``, SHA-256 of the ids and of
     ``decoded`` instead of them, fed word by word."""
     lookahead = sufficient_lookahead(MergeTable(vocab))
     shipped = docs.sparkSession.sparkContext.broadcast(vocab)  # a vocabulary: of fixed size
@@ -196,8 +196,8 @@ def transcode(docs: DataFrame, vocab: bytes, digest: bool = False, text: str = "
                 part = batch.slice(i, 64)
                 ids = [coder.encode(s or "") for s in part.column(1).to_pylist()]
                 yield pa.record_batch(
-                    [part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([coder.names(x) for x in ids], pa.string()), pa.array([coder.decode(x) for x in ids], pa.string())],
-                    names=["doc_id", "n_tokens", "ids", "decoded", "text_back"],
+                    [part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([coder.decode(x) if running else coder.names(x) for x in ids], pa.string())],
+                    names=["doc_id", "n_tokens", "ids", "decoded"],
                 )
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,4 +221,4 @@ def transcode(docs: DataFrame, vocab: bytes, digest: bool = False, text: str = "
     source = clean(docs, text=text, key=key)
     if digest:
         return source.mapInArrow(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
-    return source.mapInArrow(full, "doc_id long, n_tokens long, ids array<int>, decoded string, text_back string")
+    return source.mapInArrow(full, "doc_id long, n_tokens long, ids array<int>, decoded string")
