@@ -11,9 +11,10 @@ The documents-by-n-grams incidence matrix ``A`` is never multiplied in full:
    if ``m >= s * n`` of them are shared with anyone; others leave.  Of the rest,
    ordered by rising column count, only the first ``m - ceil(s * n) + 1`` shared
    columns (the row's prefix) can be where a linked pair first meets.
-4. *Product.*  Pairs that meet in a prefix column and pass the size bound
-   ``overlap >= s / (1 + s) * (n1 + n2)``, with ``overlap <= min(m1, m2)``, have their
-   overlap accumulated over all columns, and are links if it reaches the bound.
+4. *Product.*  Pairs that meet in a prefix column and can pass the size bound
+   ``overlap >= s / (1 + s) * (n1 + n2)`` have their overlap accumulated over all
+   columns, and are links if it reaches the bound.  Where a pair meets first, the
+   overlap is at most the columns that either row still has from there on.
 
    A group of near copies meets in every column, so pairs are taken in rounds:
    first every row with one leader of its columns (the row with the fewest rare n-grams), then,
@@ -153,7 +154,8 @@ def candidate_rows(dealt: DataFrame, percent: int) -> DataFrame:
 
 
 def prefix_entries(rows: DataFrame) -> DataFrame:
-    """``col, vid, n, m, rank``; rank: per mille of the row that is rarer."""
+    """``col, vid, n, m, rank, rest``; rank: per mille of the row that is rarer; rest: shared
+    columns of the row from this one on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,13 +165,13 @@ def prefix_entries(rows: DataFrame) -> DataFrame:
                 cols = [np.frombuffer(c.as_py(), np.int64)[:p] for c, p in zip(part.column(4), prefix, strict=True)]
                 at = np.concatenate([np.arange(p) for p in prefix]) if len(prefix) else np.zeros(0, np.int64)
                 v, nn, mm = (np.repeat(x, prefix) for x in (vid, n, m))
-                yield pa.record_batch([pa.array(np.concatenate(cols)), pa.array(v), pa.array(nn), pa.array(mm), pa.array(((nn - mm + at) * 1000 // nn).astype(np.int32))], names=["col", "vid", "n", "m", "rank"])
+                yield pa.record_batch([pa.array(np.concatenate(cols)), pa.array(v), pa.array(nn), pa.array(mm), pa.array(((nn - mm + at) * 1000 // nn).astype(np.int32)), pa.array(mm - at)], names=["col", "vid", "n", "m", "rank", "rest"])
 
-    return rows.select("vid", "n", "m", "prefix", "cols").mapInArrow(run, "col long, vid long, n long, m long, rank int")
+    return rows.select("vid", "n", "m", "prefix", "cols").mapInArrow(run, "col long, vid long, n long, m long, rank int, rest long")
 
 
 def may_link(n1: Column, m1: Column, n2: Column, m2: Column, percent: int) -> Column:
-    """The size bound: the overlap is at most the shared n-grams of either row."""
+    """The size bound, where the overlap is at most ``m1`` and ``m2``."""
     return F.least(m1, m2) * (100 + percent) >= (n1 + n2) * percent
 
 
@@ -207,8 +209,8 @@ def leader_pairs(entries: DataFrame, percent: int, turn: int) -> DataFrame:
 
 def remaining_pairs(entries: DataFrame, percent: int) -> DataFrame:
     """All pairs that meet in a column, lie in different components and pass the size bound."""
-    other = entries.select("col", F.col("vid").alias("b"), F.col("n").alias("n2"), F.col("m").alias("m2"), F.col("label").alias("l2"))
-    bound = may_link(F.col("n"), F.col("m"), F.col("n2"), F.col("m2"), percent)
+    other = entries.select("col", F.col("vid").alias("b"), F.col("n").alias("n2"), F.col("rest").alias("rest2"), F.col("label").alias("l2"))
+    bound = may_link(F.col("n"), F.col("rest"), F.col("n2"), F.col("rest2"), percent)
     return entries.join(other, (entries.col == other.col) & (F.col("vid") < F.col("b")) & (F.col("label") != F.col("l2")) & bound).select(F.col("vid").alias("a"), "b").distinct()
 
 
@@ -228,7 +230,7 @@ def links_between(rows: DataFrame, percent: int) -> DataFrame | None:
     entries = stored(prefix_entries(rows), "prefix")
     links: DataFrame | None = None
     for turn in range(ROUNDS):
-        live = stored(open_columns(entries, links).select("col", "vid", "n", "m", "rank", "label"), "open")
+        live = stored(open_columns(entries, links).select("col", "vid", "n", "m", "rank", "rest", "label"), "open")
         sizes = live.groupBy("col").agg(F.count(F.lit(1)).alias("c")).agg(F.sum("c"), F.sum(F.col("c") * (F.col("c") - 1) / 2)).first()
         if not sizes[0]:
             return links
