@@ -111,6 +111,15 @@ def plan_blocks(spark: SparkSession, rows: int, rows_per_block: int = BUFFER_ROW
     return max(4 * partitions, -(-rows // rows_per_block)), partitions
 
 
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Long texts and packed rows pass between the JVM and Python in batches of at most so many
+    rows, so that neither holds many megabytes for one batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def clean(docs: DataFrame, *columns: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Only the key, the text (null as empty) and further columns, whatever else the table has."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *columns)
