@@ -241,11 +241,11 @@ def word_counts(docs: DataFrame, blocks: int) -> DataFrame:
                 at = np.arange(stop[-1] if len(stop) else 0) + np.repeat(words.start[first] - (stop - length), length)
                 held.append((h, count, length, words.data[at]))
                 size += len(h)
-                if size > 1_000_000:
+                if size > 400_000:
                     h, count, length, data = held[0] = merged(held)
                     del held[1:]
                     size = len(h)
-                    if size > 500_000:
+                    if size > 200_000:
                         yield from emit(h, count, length, data, blocks)
                         held, size = [], 0
         if held:
