@@ -69,9 +69,9 @@ def pack(block: np.ndarray, kind: int, fields: list[list[bytes]]) -> pa.RecordBa
 SCHEMA = "block int, kind int, a binary, b binary, c binary, d binary"
 
 
-def deal(frame: DataFrame, partitions: int) -> DataFrame:
-    """Brings each block into one task, blocks one after the other, kinds in order."""
-    return frame.repartition(partitions, "block").sortWithinPartitions("block", "kind")
+def deal(frame: DataFrame, blocks: int) -> DataFrame:
+    """Brings each block into a task of its own, kinds in order."""
+    return frame.repartitionById(blocks, "block").sortWithinPartitions("block", "kind")
 
 
 def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, list[bytes]]]]]:
@@ -105,10 +105,10 @@ def block_of(h: np.ndarray, blocks: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int32)
 
 
-def plan_blocks(spark: SparkSession, rows: int, rows_per_block: int = BUFFER_ROWS) -> tuple[int, int]:
-    """``(blocks, partitions)`` for so many packed rows; a block fits a task's memory."""
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // (4 * rows_per_block)))
-    return max(4 * partitions, -(-rows // rows_per_block)), partitions
+def plan_blocks(rows: int, rows_per_block: int = BUFFER_ROWS) -> int:
+    """Blocks for so many packed rows: a block fits a task's memory, and their number follows
+    the data only, so that a task never packs into more pieces than its rows fill."""
+    return max(48, -(-rows // rows_per_block))
 
 
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:

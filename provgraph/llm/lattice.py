@@ -457,12 +457,11 @@ OUT_NAMES = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"
 
 def score_documents(docs: DataFrame, model_file: str, modulus: int = 5, held_out: int = 1, rounds: int = ROUNDS, head: int = HEAD, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row."""
-    spark = docs.sparkSession
     held = F.coalesce(remainder("doc_id", modulus) == held_out, F.lit(False)).alias("held")
     source = clean(docs, text=text, key=key).select("doc_id", "text", held)
     n_docs, n_bytes = source.filter("not held").count(), source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks, partitions = plan_blocks(spark, int(n_bytes) // 32)
-    words = stored(word_table(deal(word_counts(source, blocks), partitions)), "words")
+    blocks = plan_blocks(int(n_bytes) // 32)
+    words = stored(word_table(deal(word_counts(source, blocks), blocks)), "words")
     n_words, v_words, discount = totals(words)
     n, v = n_words + n_docs, v_words + (n_docs > 0)
 
@@ -475,7 +474,7 @@ def score_documents(docs: DataFrame, model_file: str, modulus: int = 5, held_out
     scored = stored(score_words(words, table, np.log(p), n, v_words, discount), "scored-words")
     top = frequent(scored, head)
     numbered = source.withColumn("row", F.monotonically_increasing_id())
-    parts = add_up(deal(scored.unionByName(doc_sums(numbered, top, blocks)), partitions))
+    parts = add_up(deal(scored.unionByName(doc_sums(numbered, top, blocks)), blocks))
     end_base = math.log10(n_docs + 0.5)
     each = math.log10(n + 0.5 * (v + 1)) if n else math.log10(0.5)
     sums = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("k"), F.sum("base").alias("b"), F.sum("score").alias("s"))

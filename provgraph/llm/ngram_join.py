@@ -247,7 +247,6 @@ def links_between(rows: DataFrame, percent: int) -> DataFrame | None:
 
 def near_components(docs: DataFrame, percent: int = 80, k: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row."""
-    spark = docs.sparkSession
     source = clean(docs, text=text, key=key)
     sets = stored(signatures(source, k), "sets")
     total, ids, distinct = sets.filter("doc_id is not null").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("doc_id"), F.lit(0)).first()
@@ -257,7 +256,7 @@ def near_components(docs: DataFrame, percent: int = 80, k: int = 5, text: str =
         source = source.dropna(subset=["doc_id"]).groupBy("doc_id").agg(F.max(F.struct(F.length("text").alias("l"), "text")).alias("x")).select("doc_id", "x.text")
         one = stored(signatures(source, k), "sets")
     classes = one.filter("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    blocks, partitions = plan_blocks(spark, int(total))
+    blocks = plan_blocks(int(total))
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         router = Router(0, ["i8"])
@@ -266,9 +265,9 @@ def near_components(docs: DataFrame, percent: int = 80, k: int = 5, text: str =
             yield from router.add(doc_block(rep, blocks), rep, np.asarray(batch.column(1), np.int64))
         yield from router.flush()
 
-    shared = shared_entries(deal(column_blocks(source, k, blocks), partitions), blocks)
+    shared = shared_entries(deal(column_blocks(source, k, blocks), blocks), blocks)
     reps = classes.select("rep", "n").mapInArrow(sizes, SCHEMA)
-    rows = stored(candidate_rows(deal(reps.unionByName(shared), partitions), percent), "rows")
+    rows = stored(candidate_rows(deal(reps.unionByName(shared), blocks), percent), "rows")
     links = links_between(rows, percent)
     labelled = classes if links is None else classes.join(components(links), classes.rep == F.col("vid"), "left").drop("vid")
     label = F.col("rep") if links is None else F.coalesce("label", "rep")

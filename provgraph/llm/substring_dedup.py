@@ -356,8 +356,8 @@ class SubstringIndex:
     smaller; the number of blocks is fixed when the index is made.
     """
 
-    def __init__(self, spark: SparkSession, blocks: int, partitions: int, window: int = 20, gram: int = GRAM, max_runs: int = 4):
-        self.spark, self.blocks, self.partitions = spark, blocks, partitions
+    def __init__(self, spark: SparkSession, blocks: int, window: int = 20, gram: int = GRAM, max_runs: int = 4):
+        self.spark, self.blocks = spark, blocks
         self.window, self.gram, self.max_runs = window, min(gram, window), max_runs
         self.path = fresh_path(spark, "fingerprints")
         self.runs: list[str] = []
@@ -369,7 +369,7 @@ class SubstringIndex:
         prints = print_rows(docs, self.window, self.gram, self.blocks)
         if self.runs:
             prints = prints.unionByName(self._stored(self.runs, RUN))
-        merged = merge_prints(deal(prints, self.partitions), self.blocks)
+        merged = merge_prints(deal(prints, self.blocks), self.blocks)
         at = f"{self.path}/run-{len(self.batches)}"
         merged.write.partitionBy("kind").parquet(at)
         found = self.spark.read.schema(SCHEMA).option("basePath", at).parquet(at).select("block", "kind", "a", "b", "c", "d")
@@ -379,13 +379,13 @@ class SubstringIndex:
             past = found.filter(F.col("kind") == PAST)
             marks = marks.unionByName(past.withColumn("kind", F.lit(MARK)))
             sources = sources.unionByName(packed_docs(self._past_documents(past), self.blocks))
-        windows = window_rows(deal(marks.unionByName(sources), self.partitions), self.window, self.gram, self.blocks)
+        windows = window_rows(deal(marks.unionByName(sources), self.blocks), self.window, self.gram, self.blocks)
         if self.sequences:
             windows = windows.unionByName(self._stored(self.sequences, SEEN))
         settled = f"{self.path}/sequences-{len(self.batches)}"
-        later_windows(deal(windows, self.partitions), self.blocks).write.partitionBy("kind").parquet(settled)
+        later_windows(deal(windows, self.blocks), self.blocks).write.partitionBy("kind").parquet(settled)
         cuts = self.spark.read.schema(SCHEMA).option("basePath", settled).parquet(settled).select("block", "kind", "a", "b", "c", "d").filter(F.col("kind") == CUT)
-        result = cut_documents(deal(cuts.unionByName(packed_docs(docs, self.blocks)), self.partitions), self.window, digest)
+        result = cut_documents(deal(cuts.unionByName(packed_docs(docs, self.blocks)), self.blocks), self.window, digest)
         self.runs.append(f"{at}/kind={RUN}")
         self.sequences.append(f"{settled}/kind={SEEN}")
         self.batches.append(docs)
@@ -428,7 +428,7 @@ class SubstringIndex:
 
         at = f"{self.path}/compact-{len(self.batches)}"
         both = self._stored(self.runs, RUN).unionByName(self._stored(self.sequences, SEEN))
-        deal(both, self.partitions).mapInArrow(merge, SCHEMA).write.partitionBy("kind").parquet(at)
+        deal(both, self.blocks).mapInArrow(merge, SCHEMA).write.partitionBy("kind").parquet(at)
         self.runs, self.sequences = [f"{at}/kind={RUN}"], [f"{at}/kind={SEEN}"]
 
 
@@ -437,8 +437,8 @@ def dedup_substrings(docs: DataFrame, window: int = 20, batches: int = 1, digest
     spark = docs.sparkSession
     source = clean(docs, text=text, key=key)
     n_bytes = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks, partitions = plan_blocks(spark, int(n_bytes) // 8)
-    index = SubstringIndex(spark, blocks, partitions, window)
+    blocks = plan_blocks(int(n_bytes) // 8)
+    index = SubstringIndex(spark, blocks, window)
     if batches == 1:
         return index.add(source, digest)
     cuts = source.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000)).first()[0] or []
