@@ -135,14 +135,14 @@ def stats_labels_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_c.add(
     "graph_view_topn",
-    f"""WITH {NODES}, {EDGES}, top AS (SELECT node_id FROM nodes WHERE label <> 'Order' AND amount IS NOT NULL ORDER BY amount DESC, node_id LIMIT 600)
-        , near AS (SELECT DISTINCT 1)
+    f"""WITH {NODES}, {EDGES}, ends AS (SELECT subject AS node_id FROM edges UNION ALL SELECT object FROM edges),
+        top AS (SELECT node_id FROM ends GROUP BY node_id ORDER BY count(*) DESC, node_id LIMIT 600)
         SELECT subject, predicate, object, round(confidence, 6) AS confidence FROM edges WHERE subject IN (SELECT node_id FROM top) AND object IN (SELECT node_id FROM top)""",
 )
 def graph_view_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = trade_nodes(spark, sf_dir)
-    score = nodes.filter("amount is not null").select("node_id", F.col("amount").alias("score"))
-    return tools.graph_view(nodes, trade_edges(spark, sf_dir), score).select("subject", "predicate", "object", F.round("confidence", 6).alias("confidence"))
+    nodes, edges = trade_nodes(spark, sf_dir), trade_edges(spark, sf_dir)
+    score = tools.degrees(edges).withColumnRenamed("degree", "score")
+    return tools.graph_view(nodes, edges, score).select("subject", "predicate", "object", F.round("confidence", 6).alias("confidence"))
 
 
 @_c.add(

@@ -92,8 +92,8 @@ def er_canonical_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_c.add(
     "er_bcubed",
-    """WITH b AS (SELECT doc_id, quality AS p, toxic AS t FROM labels), x AS (SELECT a.doc_id, count(*) FILTER (a.p = b.p AND a.t = b.t) AS both, count(*) FILTER (a.p = b.p) AS np, count(*) FILTER (a.t = b.t) AS nt FROM b a, b GROUP BY a.doc_id),
-       s AS (SELECT avg(both / np) AS p, avg(both / nt) AS r FROM x) SELECT round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / (p + r), 6) AS f1 FROM s""",
+    """WITH b AS (SELECT doc_id, quality AS p, toxic AS t FROM labels), x AS (SELECT a.doc_id, count(*) FILTER (a.p = b.p AND a.t = b.t) AS nb, count(*) FILTER (a.p = b.p) AS np, count(*) FILTER (a.t = b.t) AS nt FROM b a, b GROUP BY a.doc_id),
+       s AS (SELECT avg(nb / np) AS p, avg(nb / nt) AS r FROM x) SELECT round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / (p + r), 6) AS f1 FROM s""",
 )
 def er_bcubed(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = read(spark, sf_dir, "labels")
