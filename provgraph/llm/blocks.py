@@ -8,14 +8,38 @@ A block is a range or residue of a key, so all rows of a key share one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BUFFER_ROWS = 2_000_000
+BUFFER_ROWS = 1_000_000
+BLOCK_ROWS = 2_000_000
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def trimmed(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """A task function that gives its freed memory back when a task ends: Python workers live on
+    for later tasks, and would keep it."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # another C library: nothing to trim
+                pass
+
+    return wrapped
 
 
 class Router:
@@ -105,7 +129,7 @@ def block_of(h: np.ndarray, blocks: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int32)
 
 
-def plan_blocks(rows: int, rows_per_block: int = BUFFER_ROWS) -> int:
+def plan_blocks(rows: int, rows_per_block: int = BLOCK_ROWS) -> int:
     """Blocks for so many packed rows: a block fits a task's memory, and their number follows
     the data only, so that a task never packs into more pieces than its rows fill."""
     return max(48, -(-rows // rows_per_block))

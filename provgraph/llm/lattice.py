@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import SCHEMA, Router, block_of, by_block, clean, column, deal, keys, pack, plan_blocks
+from .blocks import SCHEMA, Router, block_of, by_block, clean, column, deal, keys, pack, plan_blocks, trimmed
 from .kernel import Words, distinct_per_row, words_of
 from .labelled import remainder
 from .shared import stored
@@ -251,7 +251,7 @@ def word_counts(docs: DataFrame, blocks: int) -> DataFrame:
         if held:
             yield from emit(*merged(held), blocks)
 
-    return docs.mapInArrow(run, SCHEMA)
+    return docs.mapInArrow(trimmed(run), SCHEMA)
 
 
 def merged(held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -290,7 +290,7 @@ def word_table(dealt: DataFrame) -> DataFrame:
             h, count, length, data = merged([unpack(f) for _, f in rows])
             yield pack(np.array([block]), 0, [[x.tobytes()] for x in (h, count, length.astype("u4"), data)])
 
-    return dealt.mapInArrow(run, SCHEMA)
+    return dealt.mapInArrow(trimmed(run), SCHEMA)
 
 
 def totals(words: DataFrame) -> tuple[int, int, float]:
@@ -302,7 +302,7 @@ def totals(words: DataFrame) -> tuple[int, int, float]:
                 c = np.frombuffer(b.as_py(), COUNT_TYPE)["train"]
                 yield pa.record_batch([pa.array([int(x)]) for x in (c.sum(), (c > 0).sum(), (c == 1).sum(), (c == 2).sum())], names=["n", "v", "one", "two"])
 
-    sums = words.select("b").mapInArrow(run, "n long, v long, one long, two long").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "one", "two")))
+    sums = words.select("b").mapInArrow(trimmed(run), "n long, v long, one long, two long").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "one", "two")))
     n, v, one, two = sums.first()
     return n, v, min(0.95, max(0.05, one / (one + 2 * two))) if one else 0.5
 
@@ -324,7 +324,7 @@ def expectation(words: DataFrame, table: Table, log_p: np.ndarray) -> np.ndarray
         yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["piece", "x"])
 
     out = np.zeros(len(log_p))
-    for r in words.select("a", "b", "c", "d").mapInArrow(run, "piece int, x double").groupBy("piece").agg(F.sum("x").alias("x")).collect():  # one row per piece
+    for r in words.select("a", "b", "c", "d").mapInArrow(trimmed(run), "piece int, x double").groupBy("piece").agg(F.sum("x").alias("x")).collect():  # one row per piece
         out[r.piece] = r.x
     return out
 
@@ -348,7 +348,7 @@ def score_words(words: DataFrame, table: Table, log_p: np.ndarray, n: int, v: in
                     score = np.logaddexp(score + log_rest, np.log(np.maximum(count["train"] - discount, 0) / max(n, 2)))
                 yield pack(np.array([block]), 0, [[h.tobytes()], [count.tobytes()], [(score / math.log(10)).tobytes()]])
 
-    return words.mapInArrow(run, SCHEMA)
+    return words.mapInArrow(trimmed(run), SCHEMA)
 
 
 def frequent(scored: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -362,7 +362,7 @@ def frequent(scored: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.n
         some = np.flatnonzero(total)
         yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["level", "n"])
 
-    levels = {r.level: r.n for r in scored.select("b").mapInArrow(sizes, "level int, n long").groupBy("level").agg(F.sum("n").alias("n")).collect()}  # at most 512 rows
+    levels = {r.level: r.n for r in scored.select("b").mapInArrow(trimmed(sizes), "level int, n long").groupBy("level").agg(F.sum("n").alias("n")).collect()}  # at most 512 rows
     least, total = 512, 0
     for level in sorted(levels, reverse=True):
         if total + levels[level] > most:
@@ -377,7 +377,7 @@ def frequent(scored: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.n
                 if keep.any():
                     yield pa.record_batch([pa.array([x.tobytes()], pa.binary()) for x in (np.frombuffer(a, "u8")[keep], count["train"][keep], np.frombuffer(c, "f8")[keep])], names=["a", "b", "c"])
 
-    rows = scored.select("a", "b", "c").mapInArrow(chosen, "a binary, b binary, c binary").collect()  # at most `most` words
+    rows = scored.select("a", "b", "c").mapInArrow(trimmed(chosen), "a binary, b binary, c binary").collect()  # at most `most` words
     h, c, s = (np.concatenate([np.frombuffer(r[i], t) for r in rows]) if rows else np.zeros(0, t) for i, t in enumerate(("u8", "i8", "f8")))
     order = np.argsort(h)
     return h[order], c[order], s[order]
@@ -426,7 +426,7 @@ def doc_sums(docs: DataFrame, head: tuple[np.ndarray, np.ndarray, np.ndarray], b
                 yield pack(np.array([part % blocks]), 2, [[out.tobytes()]])
         yield from router.flush()
 
-    return docs.mapInArrow(run, SCHEMA)
+    return docs.mapInArrow(trimmed(run), SCHEMA)
 
 
 def add_up(dealt: DataFrame) -> DataFrame:
@@ -449,7 +449,7 @@ def add_up(dealt: DataFrame) -> DataFrame:
             none = pa.nulls(len(u))
             yield pa.record_batch([pa.array(u), none.cast(pa.int64()), none.cast(pa.bool_()), none.cast(pa.int64()), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=OUT_NAMES)
 
-    return dealt.mapInArrow(run, OUT)
+    return dealt.mapInArrow(trimmed(run), OUT)
 
 
 OUT_NAMES = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"]

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import SCHEMA, Router, block_of, by_block, clean, column, deal, keys, plan_blocks
+from .blocks import SCHEMA, Router, block_of, by_block, clean, column, deal, keys, plan_blocks, trimmed
 from .components import components
 from .kernel import Words, distinct_per_row, mix, shingles, words_of
 from .shared import stored
@@ -71,7 +71,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                         sums.append((total[cut[1:]] - total[cut[:-1]]).view(np.int64))
                 yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(n), *map(pa.array, sums)], names=["doc_id", "n", "s1", "s2"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long")
+    return docs.mapInArrow(trimmed(run), "doc_id long, n long, s1 long, s2 long")
 
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -98,7 +98,7 @@ def column_blocks(docs: DataFrame, k: int, blocks: int) -> DataFrame:
                 yield from router.add(block_of(h, blocks), ids[i + row], low & np.uint64(0xFFFFFFFF), low >> np.uint64(32))
         yield from router.flush()
 
-    return docs.mapInArrow(run, SCHEMA)
+    return docs.mapInArrow(trimmed(run), SCHEMA)
 
 
 def shared_entries(dealt: DataFrame, doc_blocks: int) -> DataFrame:
@@ -121,7 +121,7 @@ def shared_entries(dealt: DataFrame, doc_blocks: int) -> DataFrame:
             yield from router.add(doc_block(doc[keep], doc_blocks), doc[keep], low[keep] | np.uint64(block << 40), np.repeat(weight, count)[keep])
         yield from router.flush()
 
-    return dealt.mapInArrow(run, SCHEMA)
+    return dealt.mapInArrow(trimmed(run), SCHEMA)
 
 
 def need(n: np.ndarray, percent: int) -> np.ndarray:
@@ -150,7 +150,7 @@ def candidate_rows(dealt: DataFrame, percent: int) -> DataFrame:
                     names=["vid", "n", "m", "prefix", "cols"],
                 )
 
-    return dealt.mapInArrow(run, "vid long, n long, m long, prefix long, cols binary")
+    return dealt.mapInArrow(trimmed(run), "vid long, n long, m long, prefix long, cols binary")
 
 
 def prefix_entries(rows: DataFrame) -> DataFrame:
@@ -167,7 +167,7 @@ def prefix_entries(rows: DataFrame) -> DataFrame:
                 v, nn, mm = (np.repeat(x, prefix) for x in (vid, n, m))
                 yield pa.record_batch([pa.array(np.concatenate(cols)), pa.array(v), pa.array(nn), pa.array(mm), pa.array(((nn - mm + at) * 1000 // nn).astype(np.int32)), pa.array(mm - at)], names=["col", "vid", "n", "m", "rank", "rest"])
 
-    return rows.select("vid", "n", "m", "prefix", "cols").mapInArrow(run, "col long, vid long, n long, m long, rank int, rest long")
+    return rows.select("vid", "n", "m", "prefix", "cols").mapInArrow(trimmed(run), "col long, vid long, n long, m long, rank int, rest long")
 
 
 def may_link(n1: Column, m1: Column, n2: Column, m2: Column, percent: int) -> Column:
@@ -195,7 +195,7 @@ def accumulate(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
 
     left = rows.select(F.col("vid").alias("a"), F.col("n").alias("n1"), F.col("cols").alias("x"))
     right = rows.select(F.col("vid").alias("b"), F.col("n").alias("n2"), F.col("cols").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "n1", "n2", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "n1", "n2", "x", "y").mapInArrow(trimmed(run), "a long, b long")
 
 
 def leader_pairs(entries: DataFrame, percent: int, turn: int) -> DataFrame:
@@ -266,7 +266,7 @@ def near_components(docs: DataFrame, percent: int = 80, k: int = 5, text: str =
         yield from router.flush()
 
     shared = shared_entries(deal(column_blocks(source, k, blocks), blocks), blocks)
-    reps = classes.select("rep", "n").mapInArrow(sizes, SCHEMA)
+    reps = classes.select("rep", "n").mapInArrow(trimmed(sizes), SCHEMA)
     rows = stored(candidate_rows(deal(reps.unionByName(shared), blocks), percent), "rows")
     links = links_between(rows, percent)
     labelled = classes if links is None else classes.join(components(links), classes.rep == F.col("vid"), "left").drop("vid")

@@ -43,7 +43,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import BUFFER_ROWS, SCHEMA, Router, block_of, by_block, clean, column, deal, keys, pack, plan_blocks
+from .blocks import SCHEMA, Router, block_of, by_block, clean, column, deal, keys, pack, plan_blocks, trimmed
 from .kernel import Words, sequence_hash, words_of
 from .ngram_join import doc_block
 from .shared import fresh_path, stored
@@ -51,7 +51,8 @@ from .shared import fresh_path, stored
 GRAM = 8
 NULL_ID = (1 << 63) - 1
 WINDOW_TYPE = np.dtype([("h1", "<u8"), ("h2", "<u4"), ("pos", "<u4")])
-BYTES = 24 << 20
+BYTES = 16 << 20
+BUFFER_ROWS = 500_000
 
 RUN, PRINT, MARK, DOC, SEEN, WINDOW, CUT, PAST = range(8)
 MARKED = -1
@@ -153,7 +154,7 @@ def print_rows(docs: DataFrame, window: int, gram: int, blocks: int) -> DataFram
                 yield from buffer.add(ids[i + words.row[at]], h)
         yield from buffer.flush()
 
-    return docs.mapInArrow(run, SCHEMA)
+    return docs.mapInArrow(trimmed(run), SCHEMA)
 
 
 def merge_prints(dealt: DataFrame, blocks: int) -> DataFrame:
@@ -188,7 +189,7 @@ def merge_prints(dealt: DataFrame, blocks: int) -> DataFrame:
         yield from marks.flush()
         yield from past.flush()
 
-    return dealt.mapInArrow(run, SCHEMA)
+    return dealt.mapInArrow(trimmed(run), SCHEMA)
 
 
 def packed_docs(docs: DataFrame, blocks: int) -> DataFrame:
@@ -219,7 +220,7 @@ def packed_docs(docs: DataFrame, blocks: int) -> DataFrame:
                     size = 0
         yield from flush()
 
-    return docs.mapInArrow(run, SCHEMA)
+    return docs.mapInArrow(trimmed(run), SCHEMA)
 
 
 def documents_of(rows: list[tuple[int, list[bytes]]]) -> Iterator[tuple[int, int, Words]]:
@@ -267,7 +268,7 @@ def window_rows(dealt: DataFrame, window: int, gram: int, blocks: int) -> DataFr
                     yield from buffer.add(np.full(len(starts), i, np.int64), value)
         yield from buffer.flush()
 
-    return dealt.mapInArrow(run, SCHEMA)
+    return dealt.mapInArrow(trimmed(run), SCHEMA)
 
 
 def later_windows(dealt: DataFrame, blocks: int) -> DataFrame:
@@ -297,7 +298,7 @@ def later_windows(dealt: DataFrame, blocks: int) -> DataFrame:
             yield pack(np.array([block]), SEEN, [[None], [None], [own[first].tobytes()]])
         yield from cuts.flush()
 
-    return dealt.mapInArrow(run, SCHEMA)
+    return dealt.mapInArrow(trimmed(run), SCHEMA)
 
 
 def cut_documents(dealt: DataFrame, window: int, digest: bool) -> DataFrame:
@@ -327,7 +328,7 @@ def cut_documents(dealt: DataFrame, window: int, digest: bool) -> DataFrame:
                 yield rows_of(out, digest)
 
     last = "kept_sha256" if digest else "kept_text"
-    return dealt.mapInArrow(run, f"doc_id long, n_words long, n_removed long, {last} string")
+    return dealt.mapInArrow(trimmed(run), f"doc_id long, n_words long, n_removed long, {last} string")
 
 
 def kept_text(words: Words, keep: np.ndarray) -> bytes:
@@ -372,11 +373,10 @@ class SubstringIndex:
         merged = merge_prints(deal(prints, self.blocks), self.blocks)
         at = f"{self.path}/run-{len(self.batches)}"
         merged.write.partitionBy("kind").parquet(at)
-        found = self.spark.read.schema(SCHEMA).option("basePath", at).parquet(at).select("block", "kind", "a", "b", "c", "d")
-        marks = found.filter(F.col("kind") == MARK)
+        marks = self._stored([at], MARK)
         sources = packed_docs(docs, self.blocks)
         if self.runs:
-            past = found.filter(F.col("kind") == PAST)
+            past = self._stored([at], PAST)
             marks = marks.unionByName(past.withColumn("kind", F.lit(MARK)))
             sources = sources.unionByName(packed_docs(self._past_documents(past), self.blocks))
         windows = window_rows(deal(marks.unionByName(sources), self.blocks), self.window, self.gram, self.blocks)
@@ -384,10 +384,10 @@ class SubstringIndex:
             windows = windows.unionByName(self._stored(self.sequences, SEEN))
         settled = f"{self.path}/sequences-{len(self.batches)}"
         later_windows(deal(windows, self.blocks), self.blocks).write.partitionBy("kind").parquet(settled)
-        cuts = self.spark.read.schema(SCHEMA).option("basePath", settled).parquet(settled).select("block", "kind", "a", "b", "c", "d").filter(F.col("kind") == CUT)
+        cuts = self._stored([settled], CUT)
         result = cut_documents(deal(cuts.unionByName(packed_docs(docs, self.blocks)), self.blocks), self.window, digest)
-        self.runs.append(f"{at}/kind={RUN}")
-        self.sequences.append(f"{settled}/kind={SEEN}")
+        self.runs.append(at)
+        self.sequences.append(settled)
         self.batches.append(docs)
         return result
 
@@ -399,14 +399,19 @@ class SubstringIndex:
                 for a in batch.column(0):
                     yield pa.record_batch([pa.array(np.unique(np.frombuffer(a.as_py(), "i8")))], names=["doc_id"])
 
-        wanted = past.select("a").mapInArrow(ids, "doc_id long").distinct()
+        wanted = past.select("a").mapInArrow(trimmed(ids), "doc_id long").distinct()
         history = self.batches[0]
         for more in self.batches[1:]:
             history = history.unionByName(more)
         return history.join(wanted, "doc_id", "left_semi")
 
     def _stored(self, paths: list[str], kind: int) -> DataFrame:
-        return self.spark.read.schema(SCHEMA).parquet(*paths).withColumn("kind", F.lit(kind)).select("block", "kind", "a", "b", "c", "d")
+        """Rows of one kind from the folders of several batches, any of which may hold none."""
+        out = None
+        for path in paths:
+            own = self.spark.read.schema(SCHEMA).option("basePath", path).parquet(path).filter(F.col("kind") == kind).select("block", "kind", "a", "b", "c", "d")
+            out = own if out is None else out.unionByName(own)
+        return out
 
     def compact(self) -> None:
         """Merges the runs of each block into one sorted run when there are too many."""
@@ -428,8 +433,8 @@ class SubstringIndex:
 
         at = f"{self.path}/compact-{len(self.batches)}"
         both = self._stored(self.runs, RUN).unionByName(self._stored(self.sequences, SEEN))
-        deal(both, self.blocks).mapInArrow(merge, SCHEMA).write.partitionBy("kind").parquet(at)
-        self.runs, self.sequences = [f"{at}/kind={RUN}"], [f"{at}/kind={SEEN}"]
+        deal(both, self.blocks).mapInArrow(trimmed(merge), SCHEMA).write.partitionBy("kind").parquet(at)
+        self.runs, self.sequences = [at], [at]
 
 
 def dedup_substrings(docs: DataFrame, window: int = 20, batches: int = 1, digest: bool = False, text: str = "text", key: str = "doc_id") -> DataFrame:
