@@ -211,6 +211,8 @@ class Lattice:
 
 def grouped(blob: np.ndarray, start: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """``(index, marked bytes)`` of words by length, at most ``BATCH`` at a time."""
+    if not len(size):
+        return
     order = np.argsort(size, kind="stable")
     lengths, first = np.unique(size[order], return_index=True)
     for length, a, b in zip(lengths.tolist(), first, np.r_[first[1:], len(order)], strict=True):
