@@ -13,8 +13,8 @@ normalised text to its group:
   contiguous range of buckets, and is written to the shared folder.
 * **Collisions.** Entries are grouped by hash *and bytes* with map-side
   combining, so a group of copies of any size arrives as one row per map task.
-  Different texts with one hash form a chain; only for chains longer than one
-  do documents look up their group by bytes as well.
+  Different texts with one hash form a chain in their bucket, told apart by the
+  digest of the bytes that were compared.
 
 Texts are equal when identical after deleting white space ``[\\x20\\x09-\\x0D]``.
 A null text counts as empty, and all empty texts are one group.  Of a group the
@@ -124,21 +124,10 @@ def exact_dedup(docs: DataFrame, bucket_capacity: int = 100_000, hash_bits: int
     index.repartitionByRange(owners, F.col("h")).sortWithinPartitions("h", "digest").write.parquet(path)
     index = spark.read.schema(index.schema).parquet(path)
 
-    chains = index.groupBy("h").agg(
-        F.count(F.lit(1)).alias("chain"), F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")
-    )
-    found = prints.join(chains, "h")
-    single = found.filter("chain = 1").select("doc_id", "keep_id", "group_size", "text_sha256")
-    # Chains: the bytes decide; the digest was taken from the bytes that were compared.
-    chained = (
-        found.filter("chain > 1")
-        .select("h", "doc_id", "text_sha256")
-        .join(index.select("h", F.col("digest").alias("text_sha256"), "keep_id", "group_size"), ["h", "text_sha256"])
-        .select(single.columns)
-    )
-    return single.unionByName(chained).select(
-        "doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256"
-    )
+    # Different texts of one hash are told apart by the digest of the bytes that were compared.  Both
+    # sides of the join are plain scans, so Spark can split the partition of a hot group.
+    found = prints.join(index.select("h", F.col("digest").alias("text_sha256"), "keep_id", "group_size"), ["h", "text_sha256"])
+    return found.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256")
 
 
 def rank_of(n_chars: str, doc_id: str) -> Column:
