@@ -202,7 +202,8 @@ def leader_pairs(entries: DataFrame, percent: int, turn: int) -> DataFrame:
     """Each row with one leader of its columns, of another component."""
     order = F.col("rank") if turn == 0 else F.xxhash64("vid", F.lit(turn))
     leaders = entries.groupBy("col").agg(F.min(F.struct(order.alias("o"), F.col("vid").alias("lead"), F.col("n").alias("n2"), F.col("m").alias("m2"), F.col("label").alias("l2"))).alias("x"), F.count(F.lit(1)).alias("c"))
-    met = entries.join(leaders.filter("c > 1").select("col", "x.*"), "col").filter((F.col("label") != F.col("l2")) & may_link(F.col("n"), F.col("m"), F.col("n2"), F.col("m2"), percent))
+    leaders = stored(leaders.filter("c > 1").select("col", "x.*"), "leaders")  # a plain scan: the join can be split
+    met = entries.join(leaders, "col").filter((F.col("label") != F.col("l2")) & may_link(F.col("n"), F.col("m"), F.col("n2"), F.col("m2"), percent))
     best = met.groupBy("vid", "lead").agg(F.count(F.lit(1)).alias("c")).groupBy("vid").agg(F.max(F.struct("c", "lead")).alias("x"))
     return best.select(F.col("vid").alias("a"), F.col("x.lead").alias("b"))
 
@@ -221,8 +222,9 @@ def open_columns(entries: DataFrame, links: DataFrame | None) -> DataFrame:
     else:
         labels = components(links)
         labelled = entries.join(labels, "vid", "left").withColumn("label", F.coalesce("label", "vid"))
+    labelled = stored(labelled, "labelled")
     mixed = labelled.groupBy("col").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("col")
-    return labelled.join(mixed, "col")
+    return labelled.join(stored(mixed, "mixed"), "col")
 
 
 def links_between(rows: DataFrame, percent: int) -> DataFrame | None:
