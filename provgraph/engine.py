@@ -72,11 +72,12 @@ class Engine:
         asked = retrieval.hash_embedding(query)
         dense = retrieval.dense_rank(chunks.select("node_id", retrieval.hash_embedding_column("text").alias("v")), asked, wide, key="node_id", vector="v")
         mentions = self.edges.filter("predicate = 'MENTIONS'").join(self.edges.filter("predicate = 'HAS_CHUNK'").select("subject", F.col("object").alias("chunk")), "subject").select("chunk", F.col("object").alias("entity"))
-        seeds = retrieval.ppr_seeds(query, self.entities, lexical, mentions)
+        seeds = analytics.cut(retrieval.ppr_seeds(query, self.entities, lexical, mentions))
         both = self.entities.select("node_id").unionByName(chunks.select("node_id"))
         links = self.edges.filter(~F.col("predicate").isin("SUBJECT_OF", "HAS_OBJECT")).withColumn("weight", F.greatest(F.lit(1e-6), "confidence"))
         adj = analytics.adjacency(both, links).unionByName(mentions.select(F.col("chunk").alias("a"), F.col("entity").alias("b"), F.lit(0.9).alias("w"))).unionByName(mentions.select(F.col("entity").alias("a"), F.col("chunk").alias("b"), F.lit(0.9).alias("w")))
-        walked = analytics.cut(analytics.pagerank(both, adj, iterations=15, seeds=seeds))
+        # Without a seed there is nowhere to walk from: the graph's list stays empty.
+        walked = analytics.cut(analytics.pagerank(both, adj, iterations=15, seeds=seeds)) if seeds.limit(1).count() else seeds.select("node_id", F.col("seed").alias("score"))
         top = walked.join(self.entities.select("node_id"), "node_id", "left_semi").filter("score > 0").orderBy(F.desc("score"), "node_id").limit(wide)
         fused = retrieval.fuse([lexical, top, dense], "node_id").orderBy(F.desc("score"), "node_id").limit(max(4 * k, 24))
         kind = F.when(F.array_contains("labels", "Chunk"), "chunk").otherwise("entity")

@@ -166,3 +166,10 @@ def blocking_quality(pairs: DataFrame, truth_pairs: DataFrame, n_records: int) -
     )
 
 
+
+
+def audit(clustered: DataFrame, names: DataFrame, most: int = 200) -> str:
+    """The largest clusters of more than one spelling, in Markdown."""
+    spellings = clustered.groupBy("cluster").agg(F.array_sort(F.collect_set("name")).alias("names"))
+    rows = names.filter("size > 1").join(spellings, "cluster").orderBy(F.desc("size"), "canonical").limit(most).collect()
+    return "\n".join(["# Resolved names", "", *[f"- **{r.canonical}** ({r.size}): {', '.join(r.names)}" for r in rows], ""])
