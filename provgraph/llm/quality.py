@@ -3,7 +3,9 @@ follow-the-regularised-leader (FTRL-proximal) updates, scored as sparse dot prod
 
 Features of a text are its distinct 1- and 2-grams of word pieces (letter runs
 and sign runs, case kept), hashed to ``2**bits`` columns, each with weight
-``1 / sqrt(number of features)``, and a bias.  Nothing else is an input.
+``1 / sqrt(number of features)``, and a bias.  Two further hashed columns stand for n-grams that
+no training text can hold word by word: the power of two of the number of pieces, and the
+share of 2-grams that repeat one piece, in eighths.  Nothing else is an input.
 
 Training reads at most ``sample_rows`` labelled rows (documented bound, ordered
 by a hash of the id) in whole length, in one sequential pass per epoch on the
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import clean
-from .kernel import distinct_per_row, sequence_hash
+from .kernel import distinct_per_row, mix, sequence_hash
 from .labelled import pieces, remainder, sample
 
 BITS = 20
@@ -37,6 +39,13 @@ def features(column: pa.Array, bits: int = BITS) -> Iterator[tuple[int, int, np.
         two = np.flatnonzero(row[:-1] == row[1:]) if len(row) else np.zeros(0, np.int64)
         both = np.concatenate([h, sequence_hash([h[two], h[two + 1]])]) if len(two) else h
         rows = np.concatenate([row, row[two]]) if len(two) else row
+        n = words.counts()
+        some = np.flatnonzero(n)
+        same = np.bincount(row[two[h[two] == h[two + 1]]], minlength=j - i)
+        length = np.floor(np.log2(n[some])).astype(np.uint64)
+        repeats = np.ceil(8 * same[some] / n[some]).astype(np.uint64)
+        both = np.concatenate([both, mix(length + np.uint64(1 << 40)), mix(repeats + np.uint64(1 << 41))])
+        rows = np.concatenate([rows, some, some])
         yield i, j, *distinct_per_row(both >> np.uint64(64 - bits), rows)
 
 
