@@ -19,7 +19,7 @@ The documents-by-n-grams incidence matrix ``A`` is never multiplied in full:
    A group of near copies meets in every column, so pairs are taken in rounds:
    first every row with one leader of its columns (the row with the fewest rare n-grams), then,
    while that still finds links, other leaders among rows not yet connected,
-   and at last *all* pairs in a column whose rows lie in different components.
+   and, at last or as soon as they are few, *all* pairs in a column whose rows lie in different components.
    Pairs inside a component need no test, so no link is lost and groups are not squared.
 
 The hash of an n-gram within a pair's union is 40 bits plus the block's, so a wrong
@@ -48,6 +48,7 @@ from .shared import stored
 
 LOW = np.uint64((1 << 40) - 1)
 ROUNDS = 4
+FEW = 4  # pairs per entry that may as well be taken at once
 
 
 def row_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -236,7 +237,7 @@ def links_between(rows: DataFrame, percent: int) -> DataFrame | None:
         sizes = live.groupBy("col").agg(F.count(F.lit(1)).alias("c")).agg(F.sum("c"), F.sum(F.col("c") * (F.col("c") - 1) / 2)).first()
         if not sizes[0]:
             return links
-        if turn == ROUNDS - 1 or (turn and sizes[1] <= 2 * sizes[0]):
+        if turn == ROUNDS - 1 or sizes[1] <= FEW * sizes[0]:
             break
         found = stored(accumulate(leader_pairs(live, percent, turn), rows, percent), "found")
         fresh = found.count()
