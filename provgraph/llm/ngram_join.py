@@ -252,7 +252,7 @@ def near_components(docs: DataFrame, percent: int = 80, k: int = 5, text: str =
     """``doc_id, n_shingles, component_id`` for every row."""
     source = clean(docs, text=text, key=key)
     sets = stored(signatures(source, k), "sets")
-    total, ids, distinct = sets.filter("doc_id is not null").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("doc_id"), F.lit(0)).first()
+    total, ids = sets.filter("doc_id is not null").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("doc_id")).first()
     distinct = sets.select("doc_id").dropna().distinct().count()
     one = sets
     if ids != distinct:  # repeated ids: one text stands for each
