@@ -125,7 +125,9 @@ def build(spark: SparkSession, path: str, strategy: str | None = None) -> Graph:
     edges.append(_edges(rel, polarity="polarity", modality="modality", amount="amount"))
 
     recs = resolution.records(ents.select(F.col("node_id").alias("id"), "etype", "name"))
-    scored = resolution.score_pairs(resolution.pair_features(resolution.candidate_pairs(resolution.blocking_keys(recs)), recs))
+    links = rel.select(F.col("subject").alias("a"), F.col("object").alias("b"))
+    pairs = resolution.shared_neighbors(resolution.candidate_pairs(resolution.blocking_keys(recs)), links)
+    scored = resolution.score_pairs(resolution.pair_features(pairs, recs))
     clustered = resolution.clusters(recs, scored).join(recs.select("id", "name", "etype"), "id")
     names = resolution.canonical_names(clustered).filter("size > 1")
     members = clustered.join(names, "cluster").withColumn("canonical_id", F.concat_ws(":", F.lit("canonical"), "etype", F.lower("canonical")))

@@ -113,4 +113,18 @@ def er_blocking_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.blocking_quality(pairs, spark.createDataFrame(TRUTH, "id_a string, id_b string"), len(COMPANIES))
 
 
+@_c.add(
+    "er_shared_neighbors",
+    """WITH l AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem), q AS (SELECT s_suppkey AS id_a, s_suppkey + 1 AS id_b FROM supplier WHERE s_suppkey + 1 IN (SELECT s_suppkey FROM supplier)),
+            n AS (SELECT s, count(*) AS n FROM l GROUP BY s), m AS (SELECT id_a, id_b, count(*) AS shared FROM q JOIN l a ON a.s = id_a JOIN l b ON b.s = id_b AND a.p = b.p GROUP BY ALL)
+       SELECT 's' || id_a AS id_a, 's' || id_b AS id_b, round(coalesce(shared, 0) / (x.n + y.n - coalesce(shared, 0)), 6) AS near FROM q JOIN n x ON x.s = id_a JOIN n y ON y.s = id_b LEFT JOIN m USING (id_a, id_b)""",
+)
+def er_shared_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = read(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("a"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("b"))
+    s = read(spark, sf_dir, "supplier")
+    after = s.select(F.col("s_suppkey").alias("k"))
+    pairs = s.join(after, F.col("s_suppkey") + 1 == F.col("k")).select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id_a"), F.concat(F.lit("s"), F.col("k").cast("string")).alias("id_b"))
+    return ops.shared_neighbors(pairs, links).select("id_a", "id_b", F.round("near", 6).alias("near"))
+
+
 QUERIES, SQL = _c.queries, _c.sql

@@ -89,6 +89,24 @@ def extraction_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.precision_recall(extraction.extract_relations(*_notes(spark)), gold, key)
 
 
+@_c.add("pronoun_coverage", "SELECT * FROM (VALUES ('n1', 1, 1), ('n2', 0, 0), ('n3', 0, 0)) t(doc_id, pronouns, resolved)")
+def pronoun_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.pronoun_coverage(*_notes(spark))
+
+
+@_c.add(
+    "prov_decisions",
+    """SELECT 'd1' AS node_id, '{"@id":"d1","@type":"prov:Activity","rdfs:label":"keep","prov:used":["r1"],"prov:wasInformedBy":["d0"]}' AS json
+       UNION ALL SELECT 'd2', '{"@id":"d2","@type":"prov:Activity","rdfs:label":"go"}'""",
+)
+def prov_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sinks.rdf import decision_activities
+
+    made = spark.createDataFrame([("d1", "keep"), ("d2", "go")], "node_id string, name string")
+    links = spark.createDataFrame([("d1", "DERIVED_FROM", "r1"), ("d1", "CAUSED", "d0")], "subject string, predicate string, object string")
+    return decision_activities(made, links)
+
+
 @_c.add("html_blocks", r"SELECT page_id, len(regexp_extract_all(html, '(?i)<h1[\s>]')) AS headings FROM pages WHERE regexp_matches(html, '(?i)<h1[^>]*>[^<]*[A-Za-z][^<]*</h1>')")
 def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", F.col("html").cast("binary").alias("content"), F.lit(".html").alias("extension"), F.col("page_id").cast("string").alias("path"), "html")

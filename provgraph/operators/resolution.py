@@ -78,13 +78,25 @@ def candidate_pairs(keys: DataFrame) -> DataFrame:
 
 def pair_features(pairs: DataFrame, recs: DataFrame) -> DataFrame:
     side = ["etype", "norm", "stripped", "family", "initials"]
-    has_near = "neighbors" in recs.columns
-    side = side + (["neighbors"] if has_near else [])
     a = recs.select(F.col("id").alias("id_a"), *(F.col(c).alias(f"{c}_a") for c in side))
     b = recs.select(F.col("id").alias("id_b"), *(F.col(c).alias(f"{c}_b") for c in side))
     return pairs.join(a, "id_a").join(b, "id_b")
 
 
+def shared_neighbors(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs with ``near``: the neighbours they share over all of both, in ``links(a, b)`` both ways.
+
+    Counts of a join instead of sets of neighbours, so that a hub is never gathered.
+    """
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
+    size = both.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    met = pairs.select("id_a", "id_b").join(both.select(F.col("a").alias("id_a"), F.col("b").alias("x")), "id_a").join(both.select(F.col("a").alias("id_b"), F.col("b").alias("x")), ["id_b", "x"])
+    shared = met.groupBy("id_a", "id_b").agg(F.count(F.lit(1)).alias("shared"))
+    out = pairs.join(shared, ["id_a", "id_b"], "left").join(size.select(F.col("a").alias("id_a"), F.col("n").alias("na")), "id_a", "left").join(size.select(F.col("a").alias("id_b"), F.col("n").alias("nb")), "id_b", "left")
+    union = F.coalesce("na", F.lit(0)) + F.coalesce("nb", F.lit(0)) - F.coalesce("shared", F.lit(0))
+    return out.withColumn("near", F.when(union > 0, F.coalesce("shared", F.lit(0)) / union).otherwise(0.0)).select(*pairs.columns, "near")
+
+
 def score_pairs(features: DataFrame) -> DataFrame:
     """``id_a, id_b, score``: different types 0; equal stripped names 0.95 (0.70 where their
     suffixes are of different families); else the best of name similarity, shared words and a
@@ -94,9 +106,8 @@ def score_pairs(features: DataFrame) -> DataFrame:
     short = ((F.col("initials_a") != "") & (F.col("initials_a") == F.col("stripped_b"))) | ((F.col("initials_b") != "") & (F.col("initials_b") == F.col("stripped_a")))
     loose = F.greatest(jaro_winkler_column("norm_a", "norm_b"), token_jaccard("norm_a", "norm_b"), F.when(short, 0.9).otherwise(0.0))
     base = F.when(F.col("etype_a") != F.col("etype_b"), 0.0).when(same & clash, 0.70).when(same, 0.95).otherwise(loose)
-    if "neighbors_a" in features.columns:
-        union = F.size(F.array_union("neighbors_a", "neighbors_b"))
-        base = F.when(base == 0.0, 0.0).otherwise(base + F.when(union > 0, F.size(F.array_intersect("neighbors_a", "neighbors_b")) / union * 0.1).otherwise(0.0))
+    if "near" in features.columns:
+        base = F.when(base == 0.0, 0.0).otherwise(base + F.coalesce("near", F.lit(0.0)) * 0.1)
     return features.select("id_a", "id_b", F.least(F.lit(1.0), base).alias("score"))
 
 
