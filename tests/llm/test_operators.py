@@ -331,7 +331,7 @@ def test_ftrl_and_cnn_learn():
     assert np.mean([((w[at].sum() / np.sqrt(len(at)) + w[-1]) > 0) == y for y, at in rows]) > 0.95
     examples = []
     for k in range(300):
-        ids = r.integers(10, 5000, (int(r.integers(1, 60)), toxicity.FEATURES)).astype(np.uint16)
+        ids = r.integers(10, 5000, (int(r.integers(1, 60)), toxicity.FEATURES)).astype(np.uint32)
         if k % 2:
             ids[int(r.integers(0, len(ids)))] = 7
         examples.append((k % 2, ids))
