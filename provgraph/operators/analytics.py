@@ -63,16 +63,16 @@ def pagerank(nodes: DataFrame, adj: DataFrame, iterations: int = 20, damping: fl
     dangling = total.filter("out > 0").select(F.col("a").alias("node_id"), F.lit(True).alias("linked"))
     state = cut(state.join(dangling, "node_id", "left").select("node_id", "t", F.coalesce("linked", F.lit(False)).alias("linked")).withColumn("score", F.col("t")))
     steps = cut(steps)
-    for i in range(iterations):
-        loose = state.agg(F.coalesce(F.sum(F.when(~F.col("linked"), F.col("score"))), F.lit(0.0))).first()[0]
+    dangles = state.filter("not linked").limit(1).count() > 0
+    for _ in range(iterations):
+        loose = state.agg(F.coalesce(F.sum(F.when(~F.col("linked"), F.col("score"))), F.lit(0.0))).first()[0] if dangles else 0.0
         moved = steps.join(state.select(F.col("node_id").alias("a"), "score"), "a").groupBy(F.col("b").alias("node_id")).agg(F.sum(F.col("p") * F.col("score")).alias("in"))
         after = state.withColumnRenamed("score", "old").join(moved, "node_id", "left").withColumn("score", (1 - damping + damping * loose) * F.col("t") + damping * F.coalesce("in", F.lit(0.0)))
-        if tolerance is not None or i % 5 == 4:
-            after = cut(after.select("node_id", "t", "linked", "old", "score"))
+        # Each round reads its state twice, so every state is cut: else the work would double per round.
+        after = cut(after.select("node_id", "t", "linked", "old", "score"))
+        state = after.drop("old")
         if tolerance is not None and after.agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0] < tolerance:
-            state = after.drop("old", "in")
             break
-        state = after.select("node_id", "t", "linked", "score")
     return state.select("node_id", "score")
 
 
