@@ -3,7 +3,8 @@
 Offline, on the driver, every vocabulary string is put through the merges by
 itself; those that end as exactly one token are *proved* to be whole tokens.
 A pre-token that is one of them counts 1 by a table lookup; only the rest is
-merged (with a bounded table of recent results).
+merged (with a bounded table of recent results), pre-tokens of over ``STREAM`` bytes window by
+window, so that memory stays bounded.
 
 Special strings in a text count as one token each, as the library does by
 default; a null text is empty and has 0 tokens and bytes; texts of any length
@@ -21,10 +22,12 @@ from pyspark.sql import DataFrame
 
 from .blocks import clean
 from .bpe import Bounded, MergeTable
+from .bpe_stream import StreamEncoder, sufficient_lookahead
 
 #: Fixed value: how the byte-level vocabularies cut texts into pre-tokens (white space as Unicode has it).
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 LONG = 1 << 20
+STREAM = 1 << 14
 
 
 def prove_whole_tokens(table: MergeTable) -> frozenset[str]:
@@ -44,7 +47,16 @@ class Counter:
     def __init__(self, table: MergeTable, whole: frozenset[str]):
         self.table = table
         self.find = regex.compile(PRE_TOKENS)
-        self.counts = Bounded(dict.fromkeys(whole, 1), lambda s: len(table.merge(table.symbols(s.encode("utf-8")))))
+        self.lookahead = sufficient_lookahead(table)
+        self.counts = Bounded(dict.fromkeys(whole, 1), self.merged)
+
+    def merged(self, piece: str) -> int:
+        """Tokens of a pre-token that isn't a whole token."""
+        data = piece.encode("utf-8")
+        if len(data) <= STREAM:
+            return len(self.table.merge(self.table.symbols(data)))
+        stream = StreamEncoder(self.table, self.lookahead)
+        return sum(1 for _ in stream.feed(data)) + sum(1 for _ in stream.finish())
 
     def count(self, text: str) -> int:
         n, get = 0, self.counts.__getitem__

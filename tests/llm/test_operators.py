@@ -132,6 +132,15 @@ def test_whole_tokens_are_proved():
             assert len(lib.encode(s, add_special_tokens=False).ids) == 1
 
 
+def test_long_pre_tokens_are_counted_in_windows():
+    table = bpe.MergeTable(raw("byte_bpe_50k.json"))
+    lib = tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    counter = token_counts.Counter(table, frozenset())
+    r = np.random.default_rng(5)
+    for text in ("ha" * 20_000, "".join(r.choice(list("hainothe"), 40_000)), "=" * 30_000, "中文" * 9_000):
+        assert counter.count(text) == len(lib.encode(text, add_special_tokens=False).ids)
+
+
 HARD = st.text(alphabet="aAbthehinon 's\n\t \x1c\x85Σİéé中٣Ⅷ!#$😀", max_size=120)
 
 
