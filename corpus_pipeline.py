@@ -9,7 +9,6 @@ id: the stages that decide by id keep them.  Rows that repeat a ``doc_id`` share
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from provgraph.llm import toxicity
 from provgraph.llm.bpe_stream import transcode

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import SCHEMA, Router, block_of, by_block, clean, column, deal, keys, pack, plan_blocks, trimmed
-from .kernel import Words, distinct_per_row, words_of
+from .kernel import words_of
 from .labelled import remainder
 from .shared import stored
 

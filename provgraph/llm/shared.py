@@ -19,7 +19,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    made = getattr(spark.sparkContext, "_provgraph_made", None)
+    if made is None:
+        made = spark.sparkContext._provgraph_made = []
+    made.append(path)
+    return path
+
+
+def drop_stored(spark: SparkSession) -> int:
+    """Deletes what this session's operators have put in the shared folder; call it when their
+    results have been written, since results read these tables when they are computed."""
+    made = getattr(spark.sparkContext, "_provgraph_made", [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in made:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    n = len(made)
+    made.clear()
+    return n
 
 
 def stored(frame: DataFrame, name: str) -> DataFrame:

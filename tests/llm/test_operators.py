@@ -80,6 +80,16 @@ def test_directory_splits():
     assert len({(b.prefix << (4 - b.depth)) for b in buckets}) == len(buckets)
 
 
+def test_shared_tables_can_be_dropped(spark, docs):
+    from provgraph.llm import shared
+
+    shared.drop_stored(spark)
+    kept = shared.stored(docs, "x")
+    assert kept.count() == docs.count() and shared.drop_stored(spark) == 1
+    with pytest.raises(Exception, match="(?i)path|file"):
+        kept.count()
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (9, 3), (10, 11), (12, 12), (5, 4), (4, 6), (6, 5)] + [(i, i + 1) for i in range(100, 130)]
     got = {r.vid: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
