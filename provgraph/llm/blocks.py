@@ -24,20 +24,37 @@ BLOCK_ROWS = 2_000_000
 Batches = Iterator[pa.RecordBatch]
 
 
-def trimmed(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
-    """A task function that gives its freed memory back when a task ends: Python workers live on
-    for later tasks, and would keep it."""
+_resident: dict[object, object] = {}
+
+
+def resident(key: object, make: Callable[[], object]) -> object:
+    """What a Python worker keeps between tasks, one thing at a time (a vocabulary with its recent words)."""
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = make()
+    return _resident[key]
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to trim
+        pass
+
+
+def trimmed(run: Callable[[Batches], Batches], keeps: bool = False) -> Callable[[Batches], Batches]:
+    """A task function that gives its freed memory back when a task ends, and, unless it ``keeps`` a
+    resident, what an earlier operator left: Python workers live on for later tasks."""
 
     @functools.wraps(run)
     def wrapped(batches: Batches) -> Batches:
+        if not keeps:
+            _resident.clear()
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (OSError, AttributeError):  # another C library: nothing to trim
-                pass
+            give_back()
 
     return wrapped
 

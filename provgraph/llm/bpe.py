@@ -114,7 +114,7 @@ class MergeTable:
 class Bounded(dict):
     """A table of fixed entries and a bounded number of computed ones."""
 
-    def __init__(self, fixed: dict, compute, limit: int = 400_000):
+    def __init__(self, fixed: dict, compute, limit: int = 200_000):
         super().__init__(fixed)
         self.fixed, self.compute, self.limit = fixed, compute, limit + len(fixed)
 

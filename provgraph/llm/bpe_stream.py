@@ -32,7 +32,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .blocks import clean
+from .blocks import clean, resident, trimmed
 from .bpe import Bounded, MergeTable
 
 #: Fixed value: the word vocabulary's pre-tokens.
@@ -169,17 +169,13 @@ class Transcoder:
         return " ".join(map(self.table.names.__getitem__, ids))
 
 
-_built: dict[int, Transcoder] = {}
-
-
 def transcoder(vocab: bytes, lookahead: int) -> Transcoder:
-    mark = hash(vocab)
-    if mark not in _built:
-        _built.clear()
+    def make() -> Transcoder:
         table = MergeTable(vocab)
         sufficient_lookahead(table)  # also sets the widest token
-        _built[mark] = Transcoder(table, lookahead)
-    return _built[mark]
+        return Transcoder(table, lookahead)
+
+    return resident(("transcoder", hash(vocab)), make)
 
 
 def transcode(docs: DataFrame, vocab: bytes, digest: bool = False, running: bool = False, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -220,5 +216,5 @@ def transcode(docs: DataFrame, vocab: bytes, digest: bool = False, running: bool
 
     source = clean(docs, text=text, key=key)
     if digest:
-        return source.mapInArrow(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
-    return source.mapInArrow(full, "doc_id long, n_tokens long, ids array<int>, decoded string")
+        return source.mapInArrow(trimmed(digests, keeps=True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return source.mapInArrow(trimmed(full, keeps=True), "doc_id long, n_tokens long, ids array<int>, decoded string")

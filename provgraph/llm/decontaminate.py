@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import clean
+from .blocks import clean, trimmed
 from .kernel import Words, shingles, words_of
 
 BLOCK_BYTES = 16 << 20
@@ -156,7 +156,7 @@ def find_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, k: int
                     share = pa.array([b / a for _, _, a, b in rows], pa.float64())
                     yield pa.record_batch([d, item, q, s, share], names=["doc_id", "item_id", "item_shingles", "shared", "containment"])
 
-        found = source.mapInArrow(scan, SCHEMA)
+        found = source.mapInArrow(trimmed(scan), SCHEMA)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], SCHEMA)
 
@@ -180,7 +180,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8,
                         clear[i + r] = False
                 yield batch.filter(pa.array(clear))
 
-        out = out.mapInArrow(keep, out.schema)
+        out = out.mapInArrow(trimmed(keep), out.schema)
     return out
 
 

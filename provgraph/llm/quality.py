@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import clean
+from .blocks import clean, trimmed
 from .kernel import distinct_per_row, mix, sequence_hash
 from .labelled import pieces, remainder, sample
 
@@ -92,7 +92,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out
                     names=["doc_id", "label", "at"],
                 )
 
-    rows = clean(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").mapInArrow(packed, "doc_id long, label int, at binary")  # sample_rows at most
+    rows = clean(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").mapInArrow(trimmed(packed), "doc_id long, label int, at binary")  # sample_rows at most
     seen = sorted((r.doc_id, r.label, r.at) for r in rows.toLocalIterator())
     model = Ftrl(1 << bits)
     order = np.random.default_rng(7)
@@ -118,7 +118,7 @@ def score(docs: DataFrame, weights: np.ndarray, modulus: int, held_out: int, thr
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     held = F.coalesce(remainder("doc_id", modulus) == held_out, F.lit(False)).alias("held_out")
-    return clean(docs).select("doc_id", "text", held).mapInArrow(scored, "doc_id long, held_out boolean, score double, predicted int")
+    return clean(docs).select("doc_id", "text", held).mapInArrow(trimmed(scored), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 3, held_out: int = 1, sample_rows: int = 16_000) -> DataFrame:

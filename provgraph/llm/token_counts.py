@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .blocks import clean
+from .blocks import clean, resident, trimmed
 from .bpe import Bounded, MergeTable
 from .bpe_stream import StreamEncoder, sufficient_lookahead
 
@@ -70,20 +70,14 @@ class Counter:
         return n
 
 
-_built: dict[int, Counter] = {}
-
-
 def count_tokens(docs: DataFrame, vocab: bytes, limit: int = 1024, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` for each row, in one narrow pass."""
     whole = prove_whole_tokens(MergeTable(vocab))
     shipped = docs.sparkSession.sparkContext.broadcast((vocab, whole))  # a vocabulary: of fixed size
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mark = hash(shipped.value[0])
-        if mark not in _built:
-            _built.clear()
-            _built[mark] = Counter(MergeTable(shipped.value[0]), shipped.value[1])
-        counter = _built[mark]
+        vocab, whole = shipped.value
+        counter = resident(("counter", hash(vocab)), lambda: Counter(MergeTable(vocab), whole))
         for batch in batches:
             n_bytes, n_tokens = [], []
             for value in batch.column(1):
@@ -95,4 +89,4 @@ def count_tokens(docs: DataFrame, vocab: bytes, limit: int = 1024, text: str = "
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return clean(docs, text=text, key=key).mapInArrow(counted, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return clean(docs, text=text, key=key).mapInArrow(trimmed(counted, keeps=True), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
