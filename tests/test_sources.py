@@ -11,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from provgraph.catalog.analytics import yen_k_paths
 from provgraph.operators import analytics, claims, intervals, paths, resolution, structure
 from provgraph.sources import formats
 from provgraph.streaming import watch
@@ -182,6 +183,31 @@ def test_paths_against_brute_force(spark):
         assert top["n1"] == want[0]
 
 
+def test_k_best_searches_all_parts(spark, tmp_path):
+    """The likeliest path runs over a part of a high number."""
+    links = [(1, 1, 0.0), (50, 1, 0.0), (50, 2, 0.0), (2, 2, 0.0), (1, 3, 0.08), (2, 3, 0.08)]
+    tables = {
+        "orders": ([(1, 1)], "o_custkey long, o_orderkey long"),
+        "lineitem": ([(1, p, s, i, t, 0.0) for i, (p, s, t) in enumerate(links)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_tax double, l_discount double"),
+        "customer": ([(1, 1)], "c_custkey long, c_nationkey long"),
+        "supplier": ([(i, i) for i in (1, 2, 3)], "s_suppkey long, s_nationkey long"),
+        "nation": ([(i, 1) for i in (1, 2, 3)], "n_nationkey long, n_regionkey long"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = yen_k_paths(spark, str(tmp_path)).orderBy("rank").collect()
+    assert [(r.path, r.likelihood) for r in got] == [(["part:1", "supplier:1", "part:50", "supplier:2", "part:2"], 1.0), (["part:1", "supplier:3", "part:2"], 0.8464)]
+
+
+def test_k_best_in_a_large_component(spark, monkeypatch):
+    """A component of more links than one search may hold: only the links near the likeliest paths are searched."""
+    monkeypatch.setattr(analytics, "MAX_COMPONENT", 3)
+    rows = [("a", "b", 0.9), ("b", "z", 0.9), ("a", "z", 0.5), ("a", "c", 0.8), ("c", "z", 0.8)] + [("z", f"x{i}", 0.1) for i in range(20)] + [(f"x{i}", f"x{i + 1}", 0.1) for i in range(19)]
+    edges = spark.createDataFrame(rows, "subject string, object string, confidence double")
+    assert [(r.path, r.likelihood) for r in paths.k_best(edges, "a", "z", 3).orderBy("rank").collect()] == [(["a", "b", "z"], 0.81), (["a", "c", "z"], 0.64), (["a", "z"], 0.5)]
+    assert paths.k_best(edges, "a", "nowhere").count() == 0
+
+
 def test_jaro_winkler():
     assert resolution.jaro("martha", "marhta") == pytest.approx(0.944444, abs=1e-6)
     assert resolution.jaro_winkler("martha", "marhta") == pytest.approx(0.961111, abs=1e-6)
