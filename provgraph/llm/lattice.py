@@ -46,6 +46,7 @@ from .shared import stored
 MARK = b" "
 HEAD = 1 << 19
 LONG = 192
+STRETCH = 4096
 BATCH = 8192
 ROUNDS = 3
 COUNT_TYPE = np.dtype([("train", "<i8"), ("all", "<i8")])
@@ -208,6 +209,42 @@ class Lattice:
                 recent.pop(0)
         return recent[-1]
 
+    def long_steps(self, word: bytes, a: int, b: int, alpha: list[float]) -> list[list[tuple[int, int]]]:
+        """Extends the log sums up to position ``a`` to ``b``; the arcs ``(length, piece)`` by end position."""
+        arcs = []
+        for j in range(a + 1, b + 1):
+            own = [(back, piece) for back in range(1, min(self.table.longest, j) + 1) if (piece := self.table.ids.get(word[j - back : j])) is not None]
+            terms = [alpha[-back] + float(self.log_p[piece]) for back, piece in own]
+            top = max(terms)
+            alpha.append(top + math.log(sum(math.exp(t - top) for t in terms)))
+            arcs.append(own)
+        return arcs
+
+    def expected_long(self, word: bytes, into: np.ndarray) -> None:
+        """``expected`` of one long word, from its last stretch to its first: only the sums
+        before each stretch are kept, those within are computed again."""
+        keep, kept, alpha = self.table.longest, [], [0.0]
+        for a in range(0, len(word), STRETCH):
+            kept.append(alpha)
+            alpha = list(alpha)
+            self.long_steps(word, a, min(len(word), a + STRETCH), alpha)
+            alpha = alpha[-keep:]
+        whole, beta = alpha[-1], {len(word): 0.0}
+        for k in range(len(kept) - 1, -1, -1):
+            a, b = k * STRETCH, min(len(word), (k + 1) * STRETCH)
+            alpha = kept[k]
+            first = a + 1 - len(alpha)
+            arcs = self.long_steps(word, a, b, alpha)
+            for j in range(b, a, -1):
+                after = beta.pop(j)
+                for back, piece in arcs[j - a - 1]:
+                    step = float(self.log_p[piece]) + after
+                    into[piece] += math.exp(alpha[j - back - first] + step - whole)
+                    other = beta.get(j - back, -math.inf)
+                    top = max(step, other)
+                    beta[j - back] = top + math.log1p(math.exp(min(step, other) - top))
+            kept.pop()
+
 
 def grouped(blob: np.ndarray, start: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """``(index, marked bytes)`` of words by length, at most ``BATCH`` at a time."""
@@ -322,6 +359,8 @@ def expectation(words: DataFrame, table: Table, log_p: np.ndarray) -> np.ndarray
                 start = np.cumsum(length) - length
                 for at, marked in grouped(data, start[train], length[train]):
                     lattice.expected(marked, np.ones(len(at)), total)
+                for i in train[length[train] > LONG]:
+                    lattice.expected_long(MARK + data[start[i] : start[i] + length[i]].tobytes(), total)
         some = np.flatnonzero(total)
         yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["piece", "x"])
 

@@ -284,6 +284,32 @@ def test_lattice_sums_all_segmentations():
     assert spent == pytest.approx(3 * 5)
 
 
+@pytest.mark.parametrize("stretch", [7, 64, 4096])
+def test_lattice_long_words_are_expected(monkeypatch, stretch):
+    monkeypatch.setattr(lattice, "STRETCH", stretch)
+    p = {bytes([b]): 0.001 for b in range(256)} | {b" a": 0.2, b"ab": 0.1, b" ab": 0.05, b"ba": 0.1, b"abab": 0.02, "中".encode(): 0.01}
+    own = lattice.Lattice(lattice.Table(list(p)), np.log(np.array(list(p.values()))))
+    for word in ("a", "ab" * 64, "中ab" * 25 + "zz"):
+        marked = b" " + word.encode()
+        want, got = np.zeros(len(p)), np.zeros(len(p))
+        own.expected(np.frombuffer(marked, np.uint8)[None, :], np.ones(1), want)
+        own.expected_long(marked, got)
+        assert got == pytest.approx(want)
+    got = np.zeros(len(p))
+    own.expected_long(b" " + "ab中".encode() * 2000, got)
+    assert sum(n * len(w) for n, w in zip(got, p, strict=True)) == pytest.approx(10_001)
+
+
+def test_lattice_learns_from_long_words(spark):
+    """Every training word counts in the E-step: the expected pieces cover all its bytes."""
+    texts = [(0, "中文" * 40), (1, "x" * 1000), (2, "ab cd")]
+    p = lattice.first_weights(lattice.read_pieces(P.path("piece_bpe_32k.model")))
+    source = spark.createDataFrame(texts, "doc_id long, text string").selectExpr("doc_id", "text", "false held")
+    words = lattice.word_table(lattice.deal(lattice.word_counts(source, 1), 1))
+    found = lattice.expectation(words, lattice.Table(list(p)), np.log(np.array(list(p.values()))))
+    assert sum(n * len(w) for n, w in zip(found, p, strict=True)) == pytest.approx(sum(1 + len(w.encode()) for _, t in texts for w in t.split()))
+
+
 @pytest.mark.parametrize("head", [0, 1 << 19])
 def test_lattice_documents(spark, docs, rows, head):
     got = {r.doc_id: r for r in lattice.score_documents(docs, P.path("piece_bpe_32k.model"), head=head).collect()}
