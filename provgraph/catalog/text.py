@@ -49,6 +49,17 @@ def content_address(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("id"), doc_id("text").alias("doc_hash"), content_id("edge", "source", F.lit("HAS"), "doc_id").alias("edge_hash"), span_hash("text", F.lit(0), F.lit(20)).alias("span"))
 
 
+@_c.add(
+    "content_address_utf8",
+    r"""SELECT doc_id AS id, 'sha256:' || sha256(text) AS doc_hash, 'edge:' || sha256(coalesce(source, '') || '|HAS|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS edge_hash,
+        CASE WHEN strlen(text) >= 20 THEN sha256(unhex(substr(hex(encode(text)), 1, 40))) END AS span FROM documents""",
+)
+def content_address_utf8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``content_address`` of all rows: the hashes and the span are those of the UTF-8 bytes."""
+    d = read(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").alias("id"), doc_id("text").alias("doc_hash"), content_id("edge", "source", F.lit("HAS"), "doc_id").alias("edge_hash"), span_hash("text", F.lit(0), F.lit(20)).alias("span"))
+
+
 @_c.add(
     "log_templates",
     rf"""WITH {LINES}, t AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line,

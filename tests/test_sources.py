@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import random
 import zipfile
@@ -12,6 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from provgraph.catalog.analytics import yen_k_paths
+from provgraph.catalog.text import content_address_utf8
 from provgraph.operators import analytics, claims, intervals, paths, resolution, structure
 from provgraph.sources import formats
 from provgraph.streaming import watch
@@ -251,3 +253,12 @@ def test_streams(spark, tmp_path):
         q = frame.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
         q.awaitTermination(120)
         assert spark.sql(f"SELECT * FROM {name}").count() > 0
+
+
+def test_content_address_of_all_texts(spark, tmp_path):
+    """Spans are cut by bytes, also within a character; no text is left out."""
+    texts = ["plain ascii of over twenty bytes", "é" * 9 + "x中 cut within a character", "中😀" * 4, "ß" * 10, "short é", ""]
+    spark.createDataFrame([(i, t, "web") for i, t in enumerate(texts)], "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.id: (r.doc_hash, r.edge_hash, r.span) for r in content_address_utf8(spark, str(tmp_path)).collect()}
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    assert got == {i: ("sha256:" + sha(t.encode()), "edge:" + sha(f"web|HAS|{i}".encode()), sha(t.encode()[:20]) if len(t.encode()) >= 20 else None) for i, t in enumerate(texts)}
