@@ -115,6 +115,13 @@ def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(pages.filter(F.col("html").rlike("(?i)<h1[^>]*>[^<]*[A-Za-z][^<]*</h1>")), "page_id").select("page_id", F.size(fx.matches("html", r"(?i)<h1[\s>]")).alias("headings"))
 
 
+@_c.add("html_page_blocks")
+def html_page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parsed blocks of all pages; ``html_blocks`` counts headings only."""
+    pages = read(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.lit(".html").alias("extension"), F.coalesce("html", F.lit("")).cast("binary").alias("content"))
+    return corpus.file_blocks(pages).select(F.col("path").cast("long").alias("page_id"), "ord", "kind", "level", "text")
+
+
 @_c.add(
     "canonical_names",
     r"""WITH t(name, norm, stripped, family, initials) AS (VALUES ('Blue  Ridge Holdings Ltd.', 'blue ridge holdings ltd', 'Blue  Ridge', 'ltd', 'brhl'), ('"Acme Corp"', 'acme corp', '"Acme "', 'corp', '"c'),

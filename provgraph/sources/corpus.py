@@ -54,6 +54,23 @@ def ingest(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return files.mapInPandas(documents, DOCS), files.select("extension", "content").mapInPandas(blocks, BLOCKS)
 
 
+def file_blocks(files: DataFrame) -> DataFrame:
+    """``path, ord, kind, level, text``: the blocks of every file, also of files whose texts, and so ids, are equal."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for path, ext, raw in zip(pdf.path, pdf.extension, pdf.content, strict=True):
+                try:
+                    _, found = formats.parse(raw, ext)
+                except formats.Unsupported:
+                    continue
+                rows += [(path, i, kind, level, text) for i, (_, kind, level, _, _, text, _) in enumerate(found)]
+            yield pd.DataFrame(rows, columns=["path", "ord", "kind", "level", "text"])
+
+    return files.select("path", "extension", "content").mapInPandas(run, "path string, ord int, kind string, level int, text string")
+
+
 def unreadable(files: DataFrame) -> DataFrame:
     """``path, reason`` of files that their format's reader refuses."""
 

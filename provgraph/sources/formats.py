@@ -260,7 +260,7 @@ def joined(parts: list[tuple[str, int, str]]) -> Parsed:
 
 class _Html(HTMLParser):
     SKIP = {"script", "style", "head", "nav", "footer"}
-    BREAK = {"p", "li", "td", "th", "div", "section", "article", "blockquote", "pre", "tr", "br", "ul", "ol", "table"}
+    BREAK = {"p", "li", "td", "th", "div", "section", "article", "blockquote", "pre", "tr", "br", "ul", "ol", "table", "dd", "dt", "figcaption"}
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import html
 import io
 import random
+import re
 import zipfile
 
 import pytest
@@ -13,6 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from provgraph.catalog.analytics import yen_k_paths
+from provgraph.catalog.sources import html_page_blocks
 from provgraph.catalog.text import content_address_utf8
 from provgraph.operators import analytics, claims, intervals, paths, resolution, structure
 from provgraph.sources import formats
@@ -262,3 +265,35 @@ def test_content_address_of_all_texts(spark, tmp_path):
     got = {r.id: (r.doc_hash, r.edge_hash, r.span) for r in content_address_utf8(spark, str(tmp_path)).collect()}
     sha = lambda b: hashlib.sha256(b).hexdigest()
     assert got == {i: ("sha256:" + sha(t.encode()), "edge:" + sha(f"web|HAS|{i}".encode()), sha(t.encode()[:20]) if len(t.encode()) >= 20 else None) for i, t in enumerate(texts)}
+
+
+PAGES = [
+    "<html><head><title>t</title></head><body><nav>menu</nav><h1>A <em>marked</em> &amp; <a href='x'>linked</a> top</h1><p>one</p><p>two<br>three</body></html>",
+    "<ul><li>a</li><li>b <b>c</b> <i>d</i></li></ul><table><tr><th>k</th><td>1</td></tr><tr><td>2</td></tr></table><h3>low</h3>tail",
+    "<dl><dt>term</dt><dd>meaning</dd></dl><figure><figcaption>shown</figcaption></figure><script>var t='<p>x</p>';</script><footer>end</footer>",
+    "<h2>same</h2>",
+    "<p>same</p>",
+    "<p>no heading, é中😀 &lt;kept&gt;</p><!-- <p>gone</p> --><pre>x\n  y</pre>",
+    "",
+    None,
+]
+
+
+def brute_blocks(page):
+    """By regular expressions alone."""
+    page = re.sub(r"(?is)<!--.*?-->|<!doctype[^>]*>|<(script|style|head|nav|footer)\b.*?</\1\s*>", "", page or "")
+    level, out = 0, []
+    for piece in re.split(r"(?i)(</?(?:h[1-6]|p|li|td|th|div|section|article|blockquote|pre|tr|br|ul|ol|table|dd|dt|figcaption)\b[^>]*>)", page):
+        if m := re.match(r"(?i)<(/?)h([1-6])\b", piece):
+            level = 0 if m[1] else int(m[2])
+        elif body := " ".join(html.unescape(re.sub(r"<[^>]+>", "", piece)).split()):
+            out.append(("heading" if level else "paragraph", level, body))
+    return out
+
+
+def test_blocks_of_all_pages_against_brute_force(spark, tmp_path):
+    spark.createDataFrame(list(enumerate(PAGES)), "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    for where in (str(tmp_path), SF):
+        pages = {r.page_id: r.html for r in spark.read.parquet(f"{where}/pages.parquet").collect()}
+        got = sorted((r.page_id, r.ord, r.kind, r.level, r.text) for r in html_page_blocks(spark, where).collect())
+        assert got == sorted((i, n, *b) for i, page in pages.items() for n, b in enumerate(brute_blocks(page)))
