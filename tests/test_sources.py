@@ -14,10 +14,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from provgraph.catalog.analytics import yen_k_paths
+from provgraph.catalog.analytics import layout, yen_k_paths
 from provgraph.catalog.sources import html_page_blocks
 from provgraph.catalog.text import content_address_utf8
 from provgraph.operators import analytics, claims, intervals, paths, resolution, structure
+from provgraph.operators.lift import supply_graph
 from provgraph.sources import formats
 from provgraph.streaming import watch
 
@@ -297,3 +298,11 @@ def test_blocks_of_all_pages_against_brute_force(spark, tmp_path):
         pages = {r.page_id: r.html for r in spark.read.parquet(f"{where}/pages.parquet").collect()}
         got = sorted((r.page_id, r.ord, r.kind, r.level, r.text) for r in html_page_blocks(spark, where).collect())
         assert got == sorted((i, n, *b) for i, page in pages.items() for n, b in enumerate(brute_blocks(page)))
+
+
+def test_layout_runs_all_rounds(spark):
+    nodes, edges = supply_graph(spark, SF)
+    adj = analytics.adjacency(nodes, analytics.entity_weights(edges))
+    assert nodes.count() <= 400
+    whole = analytics.layout(nodes, adj, analytics.label_propagation(nodes, adj), 300).collect()
+    assert sorted(layout(spark, SF).collect()) == sorted(whole)
