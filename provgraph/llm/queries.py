@@ -67,7 +67,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_substrings(table(spark, sf_dir, "documents"), batches=2, digest=True)
+    return dedup_substrings(table(spark, sf_dir, "documents"), batches=3, digest=True, max_runs=1)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -437,13 +437,13 @@ class SubstringIndex:
         self.runs, self.sequences = [at], [at]
 
 
-def dedup_substrings(docs: DataFrame, window: int = 20, batches: int = 1, digest: bool = False, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The whole table through a new index, in ``batches`` parts by rising ``doc_id``."""
+def dedup_substrings(docs: DataFrame, window: int = 20, batches: int = 1, digest: bool = False, text: str = "text", key: str = "doc_id", max_runs: int = 4) -> DataFrame:
+    """The whole table through a new index, in ``batches`` parts by rising ``doc_id``; over ``max_runs`` runs are compacted."""
     spark = docs.sparkSession
     source = clean(docs, text=text, key=key)
     n_bytes = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = plan_blocks(int(n_bytes) // 8)
-    index = SubstringIndex(spark, blocks, window)
+    index = SubstringIndex(spark, blocks, window, max_runs=max_runs)
     if batches == 1:
         return index.add(source, digest)
     cuts = source.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000)).first()[0] or []

@@ -237,6 +237,22 @@ def test_substring_dedup(docs, rows, batches, monkeypatch):
     assert got == want and any(n for _, n, _ in want.values())
 
 
+def test_substring_query_merges_a_batch_with_compacted_runs(spark, monkeypatch):
+    from provgraph.llm.queries import op10_substring_dedup
+
+    from .test_entry import SF
+
+    merged, add = [], substring_dedup.SubstringIndex.add
+
+    def noted(self, *given):
+        merged.append([run.rsplit("/", 1)[1].split("-")[0] for run in self.runs])
+        return add(self, *given)
+
+    monkeypatch.setattr(substring_dedup.SubstringIndex, "add", noted)
+    assert op10_substring_dedup(spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert ["compact"] in merged
+
+
 def test_substring_dedup_cases(spark, empty):
     assert substring_dedup.dedup_substrings(empty).count() == 0
     w = " ".join(f"w{i}" for i in range(25))
