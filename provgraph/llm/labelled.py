@@ -1,16 +1,20 @@
-"""Bounded, repeatable samples of labelled rows, and word pieces for classifiers."""
+"""Bounded, repeatable samples of labelled rows, their training, and word pieces for classifiers."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import trimmed
 from .kernel import Words, slices, string_buffers
 
+SAMPLE_BYTES = 128 << 20
+
 _KIND = np.zeros(256, np.uint8)
 _KIND[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 
@@ -40,3 +44,27 @@ def sample(labels: DataFrame, label: str, modulus: int, held_out: int, most: int
     if value is not None:
         own = own.filter(F.col("label") == value)
     return own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+
+
+def learned(examples: DataFrame, fit: Callable[[list[tuple[int, str, bytes]]], object], sample_bytes: int = SAMPLE_BYTES) -> object:
+    """What ``fit`` makes of ``examples`` (``doc_id, label, lang, x``), given as ``(label, lang, x)``.
+
+    One executor task trains, so the driver holds only the model.  It reads the examples in
+    the order of a hash of the id, one for each id (of rows that repeat an id the one of least ``x``), and leaves out
+    those that would bring the bytes of ``x`` over ``sample_bytes``, a documented bound like the sample's rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for batch in batches:
+            for label, lang, x in zip(*(batch.column(c) for c in range(3)), strict=True):
+                own = len(x.as_buffer())
+                if size + own <= sample_bytes:
+                    rows.append((label.as_py(), lang.as_py(), x.as_py()))
+                    size += own
+        yield pa.record_batch([pa.array([pickle.dumps(fit(rows), 5)], pa.binary())], names=["model"])
+
+    one = examples.groupBy("doc_id").agg(F.min(F.struct("x", "label", "lang")).alias("e"))
+    ordered = one.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").select("e.label", "e.lang", "e.x")
+    rows = ordered.mapInArrow(trimmed(run), "model binary").collect()  # one model
+    return pickle.loads(rows[0].model) if rows else fit([])

@@ -1,22 +1,24 @@
 """Quality classifier: logistic regression on hashed word n-grams, trained with
 follow-the-regularised-leader (FTRL-proximal) updates, scored as sparse dot products.
 
-Features of a text are its distinct 1- and 2-grams of word pieces (letter runs
-and sign runs, case kept), hashed to ``2**bits`` columns, each with weight
-``1 / sqrt(number of features)``, and a bias.  Two further hashed columns stand for n-grams that
-no training text can hold word by word: the power of two of the number of pieces, and the
-share of 2-grams that repeat one piece, in eighths.  Nothing else is an input.
-
-Training reads at most ``sample_rows`` labelled rows (documented bound, ordered
-by a hash of the id) in whole length, in one sequential pass per epoch on the
-driver; the model has ``2**bits`` floats whatever the corpus.  Scoring is one narrow pass.
-
-Cases: null and empty texts get the bias' score; rows are independent; no
-labelled rows: every score is 0.5; further columns are ignored.
+Features of a text are hashed to ``2**bits`` columns, each with weight ``1 / sqrt(number of
+features)``, and a bias: its distinct 1- and 2-grams of word pieces (letter runs
+and sign runs, case kept), and, since new words share none of those with training, its distinct
+1- to 3-grams of word *classes*: a piece's kind (by its first byte: letter or digit, upper-case letter, sign), the
+power of two of its length, and whether it repeats the piece before it.  Nothing else is an input.
+
+Training reads at most ``sample_rows`` labelled rows in whole length, and of them at most
+``sample_bytes`` of features (documented bounds, ordered by a hash of the id), in one sequential pass per
+epoch of one executor task; the driver only holds the ``2**bits`` weights.  Scoring is one narrow pass.
+
+Cases: null and empty texts get the bias' score; texts of any length are read whole, slice by slice; rows are
+independent, so ties and repeated rows get equal scores, and a null ``doc_id`` is scored but never held
+out or learnt from; no labelled rows: every score is 0.5; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,27 +28,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import clean, trimmed
-from .kernel import distinct_per_row, mix, sequence_hash
-from .labelled import pieces, remainder, sample
+from .kernel import Words, distinct_per_row, mix, sequence_hash
+from .labelled import SAMPLE_BYTES, learned, pieces, remainder, sample
 
 BITS = 20
 
 
+def classes(words: Words, h: np.ndarray) -> np.ndarray:
+    """A hash of each piece's class."""
+    size = words.end - words.start
+    first = words.data[words.start]
+    kind = np.where((first >= 65) & (first <= 90), 1, np.where((first < 48) | (first > 57) & (first < 97) | (first > 122) & (first < 128), 2, 0))
+    again = np.zeros(len(h), np.int64)
+    if len(h):
+        again[1:] = (h[1:] == h[:-1]) & (words.row[1:] == words.row[:-1])
+    return mix((np.log2(size).astype(np.int64) * 8 + kind * 2 + again + (1 << 40)).astype(np.uint64))
+
+
 def features(column: pa.Array, bits: int = BITS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """``(first row, end row, feature, row)`` of each slice, distinct per row, sorted by row."""
     for i, j, words in pieces(column, lower=False):
         h, row = words.hash, words.row
-        two = np.flatnonzero(row[:-1] == row[1:]) if len(row) else np.zeros(0, np.int64)
-        both = np.concatenate([h, sequence_hash([h[two], h[two + 1]])]) if len(two) else h
-        rows = np.concatenate([row, row[two]]) if len(two) else row
-        n = words.counts()
-        some = np.flatnonzero(n)
-        same = np.bincount(row[two[h[two] == h[two + 1]]], minlength=j - i)
-        length = np.floor(np.log2(n[some])).astype(np.uint64)
-        repeats = np.ceil(8 * same[some] / n[some]).astype(np.uint64)
-        both = np.concatenate([both, mix(length + np.uint64(1 << 40)), mix(repeats + np.uint64(1 << 41))])
-        rows = np.concatenate([rows, some, some])
-        yield i, j, *distinct_per_row(both >> np.uint64(64 - bits), rows)
+        own = classes(words, h)
+        grams, rows = [h, own], [row, row]
+        for n in (2, 3):
+            at = np.flatnonzero(row[: -n + 1] == row[n - 1 :]) if len(row) >= n else np.zeros(0, np.int64)
+            for x in (h, own) if n == 2 else (own,):
+                grams.append(sequence_hash([x[at + k] for k in range(n)]))
+                rows.append(row[at])
+        yield i, j, *distinct_per_row(np.concatenate(grams) >> np.uint64(64 - bits), np.concatenate(rows))
 
 
 @dataclass
@@ -79,7 +89,16 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, sample_rows: int = 16_000, epochs: int = 3, bits: int = BITS) -> np.ndarray:
+def fit(rows: list[tuple[int, str, bytes]], bits: int, epochs: int) -> np.ndarray:
+    """Weights (bias last) from ``(label, lang, features)``."""
+    model, order = Ftrl(1 << bits), np.random.default_rng(7)
+    for _ in range(epochs):
+        for i in order.permutation(len(rows)):
+            model.learn(np.frombuffer(rows[i][2], np.uint32).astype(np.int64), rows[i][0])
+    return model.weights(slice(None)).astype(np.float32)
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, sample_rows: int = 16_000, epochs: int = 3, bits: int = BITS, sample_bytes: int = SAMPLE_BYTES) -> np.ndarray:
     """Weights (bias last) from at most ``sample_rows`` labelled rows."""
     chosen = sample(labels, label, modulus, held_out, sample_rows)
 
@@ -87,19 +106,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out
         for batch in batches:
             for i, j, feature, row in features(batch.column(1), bits):
                 cut = np.searchsorted(row, np.arange(j - i + 1))
-                yield pa.record_batch(
-                    [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array([feature[a:b].astype(np.uint32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())],
-                    names=["doc_id", "label", "at"],
-                )
-
-    rows = clean(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").mapInArrow(trimmed(packed), "doc_id long, label int, at binary")  # sample_rows at most
-    seen = sorted((r.doc_id, r.label, r.at) for r in rows.toLocalIterator())
-    model = Ftrl(1 << bits)
-    order = np.random.default_rng(7)
-    for _ in range(epochs):
-        for i in order.permutation(len(seen)):
-            model.learn(np.frombuffer(seen[i][2], np.uint32).astype(np.int64), seen[i][1])
-    return model.weights(slice(None)).astype(np.float32)
+                x = pa.array([feature[a:b].astype(np.uint32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
+                yield pa.record_batch([*(batch.column(c).slice(i, j - i) for c in (0, 2)), pa.nulls(j - i, pa.string()), x], names=["doc_id", "label", "lang", "x"])
+
+    joined = clean(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")  # sample_rows at most
+    examples = joined.mapInArrow(trimmed(packed), "doc_id long, label int, lang string, x binary")
+    return learned(examples, functools.partial(fit, bits=bits, epochs=epochs), sample_bytes)
 
 
 def score(docs: DataFrame, weights: np.ndarray, modulus: int, held_out: int, threshold: float = 0.5) -> DataFrame:
