@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import heapq
 import json
+from collections.abc import Iterator
 
 import regex
 
@@ -31,6 +32,7 @@ class MergeTable:
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model.get("end_of_word_suffix") or ""
         self.special: dict[str, int] = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        self.marks = frozenset(self.special.values())
         self.names: dict[int, str] = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
         self.char = byte_chars()
         self.byte_of = {c: b for b, c in enumerate(self.char)}
@@ -45,13 +47,19 @@ class MergeTable:
             self.pairs.setdefault(a << 20 | b, (rank, c))
             self.parts.append((a, b, c))
         marks = "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))
-        self.special_pattern = regex.compile(f"({marks})") if marks else None
+        self.special_pattern = regex.compile(marks) if marks else None
 
-    def segments(self, text: str) -> list[tuple[bool, str]]:
+    def segments(self, text: str) -> Iterator[tuple[bool, str]]:
         """``(is special, string)`` pieces, special strings matched as the library does."""
-        if not self.special_pattern or not any(s in text for s in self.special):
-            return [(False, text)]
-        return [(i % 2 == 1, s) for i, s in enumerate(self.special_pattern.split(text)) if s]
+        at = 0
+        if self.special_pattern and any(s in text for s in self.special):
+            for found in self.special_pattern.finditer(text):
+                if found.start() > at:
+                    yield False, text[at : found.start()]
+                yield True, found.group()
+                at = found.end()
+        if at < len(text):
+            yield False, text[at:] if at else text
 
     def symbols(self, data: bytes, ends: bool = True) -> list[int]:
         """First symbols of a word's bytes; with ``ends`` the last carries the end mark."""

@@ -8,17 +8,24 @@ of an earlier one.  ``sufficient_lookahead`` sums ``len(u)`` over the worst such
 chain by dynamic programming over the merge list: tokens that end further left
 of the cut than that are final.
 
-**Encoder.**  ``StreamEncoder`` takes a word's bytes piece by piece, keeps at
+**Encoder.**  ``StreamEncoder`` takes a pre-token's bytes piece by piece, keeps at
 most a window of ``2 * lookahead + longest token`` bytes, emits tokens once they are stable, and
 continues after the last emitted token (no merge crosses a final boundary, so
-the rest is encoded as if it stood alone).  Words that end within the window are
-merged at once, with a bounded table of recent words.
+the rest is encoded as if it stood alone).  Every pre-token of every text goes through it: a text is read in
+blocks, a pre-token that goes on in the next block stays open in the encoder, and for one that ends within the
+window a bounded table remembers what the encoder gave for it lately.
 
-**Decoder.**  ``StreamDecoder`` turns ids into text one at a time: it holds only
-the bytes of an unfinished UTF-8 character.
+**Decoder.**  ``StreamDecoder`` turns ids into text one at a time, in two forms: the library's (this kind of vocabulary file
+has no decoder, so token strings are joined by spaces) and the running text, for which it holds the
+bytes of an unfinished UTF-8 character.  At a word's end it is back in its first state, so a bounded table
+remembers what it gave for whole words.
 
-Null texts are empty (no tokens); special strings are single tokens; rows are
-independent; further columns are ignored.
+Beside the text itself, memory is a block, a window and those tables, however long the text or a word
+of it is; only a run of combining marks, which normalising may reorder as a whole, is kept in one piece.
+
+Cases: null and empty texts have no tokens and decode to nothing; special strings are single tokens; rows are
+independent, so ties and repeated rows get equal results; a null ``doc_id`` is kept; an empty table gives an
+empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +34,10 @@ import codecs
 import hashlib
 import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import islice
+from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -37,6 +47,8 @@ from .bpe import Bounded, MergeTable
 
 #: Fixed value: the word vocabulary's pre-tokens.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
+#: Its pre-tokens that can be of any length.
+LETTERS, SIGNS = r"\p{L}+", r"[^\p{White_Space}\p{L}\p{N}]+"
 BLOCK = 1 << 16
 
 
@@ -91,25 +103,31 @@ class StreamEncoder:
 
 
 class StreamDecoder:
-    """Ids to text: an end-of-word mark becomes a space, bytes wait for their character."""
+    """Ids to text, one at a time: ``names`` as the library decodes, ``text`` the running text, where an
+    end-of-word mark is a space and bytes wait for their character."""
 
     def __init__(self, table: MergeTable):
         self.table = table
         self.bytes = codecs.getincrementaldecoder("utf-8")("replace")
-        self.pieces: dict[int, tuple[bytes, bool]] = {}
-
-    def feed(self, token: int) -> str:
-        if token not in self.pieces:
-            name = self.table.names[token]
-            ends = bool(self.table.suffix) and name.endswith(self.table.suffix)
-            core = name[: -len(self.table.suffix)] if ends else name
-            data = name.encode() if name in self.table.special else bytes(self.table.byte_of[c] for c in core)
-            self.pieces[token] = (data, ends)
-        data, ends = self.pieces[token]
-        return self.bytes.decode(data) + (self.bytes.decode(b"", True) + " " if ends else "")
+        self.first = True
+
+    def names(self, token: int) -> str:
+        glue = "" if self.first else " "
+        self.first = False
+        return glue + self.table.names[token]
+
+    def text(self, token: int) -> str:
+        name, mark = self.table.names[token], self.table.suffix
+        if token in self.table.marks:
+            return self.finish() + name
+        ends = bool(mark) and name.endswith(mark)
+        data = bytes(map(self.table.byte_of.__getitem__, name.removesuffix(mark) if ends else name))
+        return self.bytes.decode(data) + (self.finish() + " " if ends else "")
 
     def finish(self) -> str:
-        return self.bytes.decode(b"", True)
+        text = self.bytes.decode(b"", True)
+        self.bytes.reset()
+        return text
 
 
 class Transcoder:
@@ -117,15 +135,22 @@ class Transcoder:
 
     def __init__(self, table: MergeTable, lookahead: int):
         self.table, self.lookahead = table, lookahead
-        self.find = regex.compile(PRE_TOKENS)
+        self.find, self.letters, self.signs = (regex.compile(x) for x in (PRE_TOKENS, LETTERS, SIGNS))
+        self.window = StreamEncoder(table, lookahead).window
         self.words = Bounded({}, self._word)
+        self.shown = Bounded({}, self._shown)
 
     def _word(self, word: str) -> tuple[int, ...]:
-        data = word.encode("utf-8")
-        if len(data) <= 2 * self.lookahead + self.table.widest:
-            return tuple(self.table.merge(self.table.symbols(data)))
         stream = StreamEncoder(self.table, self.lookahead)
-        return (*stream.feed(data), *stream.finish())
+        return (*stream.feed(word.encode("utf-8")), *stream.finish())
+
+    def _shown(self, ids: tuple[int, ...]) -> tuple[int, bytes, bytes, bytes, bytes, bool]:
+        """Of ids from the decoder's first state: how many, as decimals, as 32-bit numbers, both decoded forms, and
+        whether the decoder is back in its first state."""
+        decoder = StreamDecoder(self.table)
+        names, text = "".join(map(decoder.names, ids)), "".join(map(decoder.text, ids))
+        whole = ids[-1] in self.table.marks or self.table.names[ids[-1]].endswith(self.table.suffix)
+        return len(ids), " ".join(map(str, ids)).encode(), np.array(ids, np.int32).tobytes(), names.encode(), text.encode(), whole
 
     @staticmethod
     def normalise(text: str) -> str:
@@ -134,27 +159,56 @@ class Transcoder:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         return text.lower()
 
-    def blocks(self, text: str) -> Iterator[str]:
-        """A text in blocks cut at white space, at most ``BLOCK`` characters where it has any."""
+    def blocks(self, text: str) -> Iterator[tuple[str, bool]]:
+        """A text in blocks of about ``BLOCK`` characters, cut at white space if they hold any; true: the cut is within a word."""
         i, n = 0, len(text)
         while n - i > BLOCK:
             cut = max(text.rfind(" ", i, i + BLOCK), text.rfind("\n", i, i + BLOCK))
-            if cut <= i:
-                found = regex.compile(r"\s").search(text, i + BLOCK)
-                cut = found.start() if found else n
-            yield text[i:cut]
+            inside = cut <= i
+            if inside:
+                cut = seam(text, i + BLOCK)
+            yield text[i:cut], inside
             i = cut
         if i < n:
-            yield text[i:]
+            yield text[i:], False
 
     def encode_words(self, text: str) -> Iterator[tuple[int, ...]]:
-        """Ids word by word."""
+        """Ids as they leave the encoder: those of a word that fits the window together, of a longer one one by one."""
+        stream = StreamEncoder(self.table, self.lookahead)
         for special, part in self.table.segments(text):
             if special:
                 yield (self.table.special[part],)
-            else:
-                for block in self.blocks(part):
-                    yield from map(self.words.__getitem__, self.find.findall(self.normalise(block)))
+                continue
+            run = None  # what goes on the pre-token that is open in the encoder
+            for block, inside in self.blocks(part):
+                block, at = self.normalise(block), 0
+                if run:
+                    more = run.match(block)
+                    at = more.end() if more else 0
+                    yield from zip(stream.feed(block[:at].encode("utf-8")))
+                    if at == len(block) and inside:
+                        continue
+                    yield from zip(stream.finish())
+                    run = None
+                words = self.find.findall(block, at)
+                tail = words[-1] if words and inside and block.endswith(words[-1]) else ""
+                for kind in (self.letters, self.signs):
+                    run = kind if tail and kind.fullmatch(tail) else run
+                if run:
+                    words.pop()
+                if not words or 4 * len(max(words, key=len)) <= self.window:
+                    yield from map(self.words.__getitem__, words)
+                else:
+                    for word in words:
+                        if 4 * len(word) <= self.window:
+                            yield self.words[word]
+                        else:
+                            yield from zip(stream.feed(word.encode("utf-8")))
+                            yield from zip(stream.finish())
+                if run:
+                    yield from zip(stream.feed(tail.encode("utf-8")))
+            if run:
+                yield from zip(stream.finish())
 
     def encode(self, text: str) -> list[int]:
         return [i for word in self.encode_words(text) for i in word]
@@ -162,11 +216,36 @@ class Transcoder:
     def decode(self, ids: Iterable[int]) -> str:
         """The running text of ids."""
         stream = StreamDecoder(self.table)
-        return "".join(stream.feed(i) for i in ids) + stream.finish()
+        return "".join(map(stream.text, ids)) + stream.finish()
 
     def names(self, ids: Iterable[int]) -> str:
         """What the library's ``decode`` gives for a vocabulary file without a decoder."""
-        return " ".join(map(self.table.names.__getitem__, ids))
+        return "".join(map(StreamDecoder(self.table).names, ids))
+
+    def transcoded(self, text: str) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
+        """What leaves encoder and decoder for the text, in stretches: number of ids, ids as decimals and as 32-bit numbers, and
+        both decoded forms, to be put one behind the other."""
+        words, decoder, glue, first = self.encode_words(text), StreamDecoder(self.table), b"", True
+        while some := list(islice(words, 50_000)):
+            rows = list(map(self.shown.__getitem__, some))
+            if first and all(map(itemgetter(5), rows)):
+                running = b"".join(map(itemgetter(4), rows))
+            else:  # ids of a word longer than the window come one by one
+                running = "".join(decoder.text(i) for ids in some for i in ids).encode()
+            yield sum(map(itemgetter(0), rows)), glue + b" ".join(map(itemgetter(1), rows)), b"".join(map(itemgetter(2), rows)), glue + b" ".join(map(itemgetter(3), rows)), running
+            glue, first = b" ", rows[-1][5]
+        yield 0, b"", b"", b"", decoder.finish().encode()
+
+
+def seam(text: str, at: int) -> int:
+    """The first place from ``at`` on where a text can be cut within a word: nothing composes across it, and no
+    contraction's apostrophe is next before it."""
+    while at < len(text):
+        c = text[at]
+        if (c < "\u0300" or unicodedata.category(c)[0] != "M" and not "\u1160" <= c <= "\u11ff") and ("'" not in text[at - 2 : at] or text[at - 4 : at] == "'" * 4):
+            break
+        at += 1
+    return at
 
 
 def transcoder(vocab: bytes, lookahead: int) -> Transcoder:
@@ -180,8 +259,8 @@ def transcoder(vocab: bytes, lookahead: int) -> Transcoder:
 
 def transcode(docs: DataFrame, vocab: bytes, digest: bool = False, running: bool = False, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``doc_id, n_tokens, ids, decoded`` for each row; ``decoded`` as the library decodes, or
-    with ``running`` the running text.  With ``digest``, SHA-256 of the ids and of
-    ``decoded`` instead of them, fed word by word."""
+    with ``running`` the running text.  With ``digest`` SHA-256 of the ids and of both
+    decoded forms (``ids_sha256, decoded_sha256, running_sha256``), taken as they leave encoder and decoder."""
     lookahead = sufficient_lookahead(MergeTable(vocab))
     shipped = docs.sparkSession.sparkContext.broadcast(vocab)  # a vocabulary: of fixed size
 
@@ -190,31 +269,30 @@ def transcode(docs: DataFrame, vocab: bytes, digest: bool = False, running: bool
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
-                ids = [coder.encode(s or "") for s in part.column(1).to_pylist()]
-                yield pa.record_batch(
-                    [part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([coder.decode(x) if running else coder.names(x) for x in ids], pa.string())],
-                    names=["doc_id", "n_tokens", "ids", "decoded"],
-                )
+                n, ids, decoded = [], [], []
+                for value in part.column(1):
+                    stretches = list(coder.transcoded(value.as_py()))
+                    n.append(sum(s[0] for s in stretches))
+                    ids.append(b"".join(s[2] for s in stretches))
+                    decoded.append(b"".join(s[4 if running else 3] for s in stretches))
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+                yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), lists, pa.array(decoded, pa.binary()).cast(pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = transcoder(shipped.value, lookahead)
-        shown = Bounded({}, lambda ids: (len(ids), " ".join(map(str, ids)).encode(), coder.names(ids).encode()))
         for batch in batches:
             rows = []
             for value in batch.column(1):
-                words = map(shown.__getitem__, coder.encode_words(value.as_py() or ""))
-                n, a, b, first = 0, hashlib.sha256(), hashlib.sha256(), True
-                while some := [w for _, w in zip(range(50_000), words, strict=False)]:
-                    glue = b"" if first else b" "
-                    n += sum(w[0] for w in some)
-                    a.update(glue + b" ".join([w[1] for w in some]))
-                    b.update(glue + b" ".join([w[2] for w in some]))
-                    first = False
-                rows.append((n, a.hexdigest(), b.hexdigest()))
-            n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                n, hashes = 0, [hashlib.sha256() for _ in range(3)]
+                for own, decimals, _, names, text in coder.transcoded(value.as_py()):
+                    n += own
+                    for h, x in zip(hashes, (decimals, names, text), strict=True):
+                        h.update(x)
+                rows.append((n, *(h.hexdigest() for h in hashes)))
+            n, *sums = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), *(pa.array(x, pa.string()) for x in sums)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "running_sha256"])
 
     source = clean(docs, text=text, key=key)
     if digest:
-        return source.mapInArrow(trimmed(digests, keeps=True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        return source.mapInArrow(trimmed(digests, keeps=True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, running_sha256 string")
     return source.mapInArrow(trimmed(full, keeps=True), "doc_id long, n_tokens long, ids array<int>, decoded string")

@@ -186,16 +186,64 @@ def test_streaming_equals_whole(word, piece):
     assert bpe_stream.Transcoder(table, stream.lookahead).decode(out) == word + " "
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="aAsReé́中가ᅡᆨ' \n!#Σ1", max_size=60), st.integers(4, 12))
+def test_blocks_cut_within_words_change_nothing(text, block):
+    if not hasattr(test_blocks_cut_within_words_change_nothing, "kit"):
+        table = bpe.MergeTable(raw("word_bpe_49k.json"))
+        test_blocks_cut_within_words_change_nothing.kit = bpe_stream.Transcoder(table, bpe_stream.sufficient_lookahead(table)), tokenizers.Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    coder, lib = test_blocks_cut_within_words_change_nothing.kit
+    before, bpe_stream.BLOCK = bpe_stream.BLOCK, block
+    try:
+        ids = coder.encode(text)
+    finally:
+        bpe_stream.BLOCK = before
+    assert ids == lib.encode(text, add_special_tokens=False).ids
+
+
+def test_every_text_goes_through_encoder_and_decoder(monkeypatch):
+    """Encoder and decoder are made for every text, and each new word is fed to them; a huge word needs a window only."""
+    table = bpe.MergeTable(raw("word_bpe_49k.json"))
+    coder = bpe_stream.Transcoder(table, bpe_stream.sufficient_lookahead(table))
+    made, held, fed = Counter(), [0], [0]
+    for kind in (bpe_stream.StreamEncoder, bpe_stream.StreamDecoder):
+
+        def init(self, *given, kind=kind, was=kind.__init__):
+            made[kind.__name__] += 1
+            was(self, *given)
+
+        monkeypatch.setattr(kind, "__init__", init)
+    stable, text = bpe_stream.StreamEncoder._stable, bpe_stream.StreamDecoder.text
+    monkeypatch.setattr(bpe_stream.StreamEncoder, "_stable", lambda self: held.append(len(self.held)) or stable(self))
+    monkeypatch.setattr(bpe_stream.StreamDecoder, "text", lambda self, token: fed.append(1) or text(self, token))
+    texts = ["one two", "", "two", "ha" * 2_000_000]
+    lib = tokenizers.Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    for i, t in enumerate(texts):
+        before = Counter(made)
+        n, names, running, most = 0, hashlib.sha256(), [], 0
+        for own, _, numbers, a, b in coder.transcoded(t):
+            n, most = n + own, max(most, own)
+            names.update(a)
+            running.append(b)
+        ids = lib.encode(t, add_special_tokens=False).ids
+        assert n == len(ids) and names.hexdigest() == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+        assert b"".join(running).decode() == "".join(w + " " for w in t.split())
+        assert most <= 50_000
+        assert all(made[k] > before[k] for k in ("StreamEncoder", "StreamDecoder")), i
+    assert max(held) <= 2 * coder.window and len(fed) > 1
+
+
 def test_transcode(docs, rows, empty):
     lib = tokenizers.Tokenizer.from_file(P.path("word_bpe_49k.json"))
     vocab = raw("word_bpe_49k.json")
     full = {r.doc_id: (r.n_tokens, list(r.ids), r.decoded) for r in bpe_stream.transcode(docs, vocab).collect()}
-    digest = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe_stream.transcode(docs, vocab, digest=True).collect()}
+    running = {r.doc_id: r.decoded for r in bpe_stream.transcode(docs, vocab, running=True).collect()}
+    digest = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256, r.running_sha256) for r in bpe_stream.transcode(docs, vocab, digest=True).collect()}
     for i, t in rows:
         ids = lib.encode(t or "", add_special_tokens=False).ids
         text = lib.decode(ids, skip_special_tokens=False)
         assert full[i] == (len(ids), ids, text)
-        assert digest[i] == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+        assert digest[i] == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(running[i].encode()).hexdigest())
     assert bpe_stream.transcode(empty, vocab).count() == 0
 
 
