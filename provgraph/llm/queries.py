@@ -12,7 +12,7 @@ from .decontaminate import find_items
 from .exact_dedup import exact_dedup
 from .lattice import score_documents
 from .ngram_join import near_components
-from .perspectives import rotate
+from .perspectives import render, rotate
 from .quality import classify_quality
 from .shared import table
 from .substring_dedup import dedup_substrings
@@ -38,7 +38,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rotate(table(spark, sf_dir, "conversations"))
+    return render(rotate(table(spark, sf_dir, "conversations")))
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,17 +107,22 @@ SQL: dict[str, str] = {
         FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(reach) AS c FROM r GROUP BY doc_id) USING (doc_id)
     """,
     "op8_perspectives": r"""
-        WITH t AS (SELECT conv_id, turn, regexp_replace(coalesce(nullif(role, ''), 'unknown'), '[^A-Za-z0-9_-]', '_', 'g') AS speaker,
-                          replace(coalesce(text, ''), '<|', '< |') AS content FROM conversations),
+        WITH t AS (SELECT conv_id, turn, role, regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\1\\|', 'g') AS content,
+                          CASE WHEN role IS NULL THEN '%null' WHEN role = '' THEN '%empty'
+                               ELSE replace(replace(replace(replace(replace(replace(role, '%', '%25'), '<', '%3C'), '|', '%7C'), '>', '%3E'), chr(10), '%0A'), chr(13), '%0D')
+                          END AS speaker FROM conversations),
              v AS (SELECT DISTINCT conv_id AS view_conv, speaker AS perspective FROM t),
              j AS (SELECT *, speaker = perspective AS own,
                           CASE WHEN speaker = perspective THEN '<|im_start|>assistant' || chr(10)
-                               ELSE '<|im_start|>user name=' || speaker || chr(10) END AS head
-                   FROM t JOIN v ON t.conv_id IS NOT DISTINCT FROM v.view_conv)
-        SELECT conv_id, perspective, turn, CASE WHEN own THEN 'assistant' ELSE 'user' END AS rendered_role, speaker,
-               head || content || '<|im_end|>' || chr(10) AS rendered, length(head) AS mask_start,
-               CASE WHEN own THEN length(content) + 11 ELSE 0 END AS mask_len
-        FROM j
+                               ELSE '<|im_start|>user name=' || speaker || chr(10) END AS head,
+                          length(head) + length(content) + 11 AS size
+                   FROM t JOIN v ON t.conv_id IS NOT DISTINCT FROM v.view_conv),
+             s AS (SELECT *, CAST(sum(size) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, role NULLS FIRST, content
+                                                  ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS start FROM j)
+        SELECT conv_id, perspective, s.start // 65536 AS piece, min(s.start) AS start,
+               string_agg(head || content || '<|im_end|>' || chr(10), '' ORDER BY s.start) AS dialogue,
+               coalesce(string_agg(CASE WHEN own THEN (s.start + length(head)) || ':' || (length(content) + 11) END, ',' ORDER BY s.start), '') AS masks
+        FROM s GROUP BY conv_id, perspective, s.start // 65536
     """,
     "op9_decontaminate": r"""
         WITH t AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),

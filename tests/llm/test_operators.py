@@ -13,6 +13,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from provgraph.llm import bpe, bpe_stream, decontaminate, exact_dedup, kernel, lattice, ngram_join, perspectives, quality, substring_dedup, token_counts, toxicity
 from provgraph.llm.components import components
@@ -308,21 +309,58 @@ def test_substring_dedup_cases(spark, empty):
     assert got == [(4, 0, 0), (5, 25, 0), (5, 25, 25), (99, 25, 25)]
 
 
+def brute_dialogues(rows):
+    """``{(conversation, printed name): (dialogue, masked texts)}``."""
+    code = {"%": "%25", "<": "%3C", "|": "%7C", ">": "%3E", "\n": "%0A", "\r": "%0D"}
+    name = {None: "%null", "": "%empty"}
+    out = {}
+    for conv in {r[0] for r in rows}:
+        turns = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0, r[2] is not None, (r[2] or "").encode(), (r[3] or "").encode()))
+        for who in {r[2] for r in turns}:
+            dialogue, masks = "", []
+            for _, _, role, text in turns:
+                shown = name.get(role) or "".join(code.get(c, c) for c in role)
+                dialogue += "<|im_start|>assistant\n" if role == who else f"<|im_start|>user name={shown}\n"
+                own = re.sub(r"<(\\*)\|", r"<\1\\|", text or "") + "<|im_end|>\n"
+                if role == who:
+                    masks.append((len(dialogue), len(own)))
+                dialogue += own
+            out[conv, name.get(who) or "".join(code.get(c, c) for c in who)] = dialogue, masks
+    return out
+
+
+HOSTILE_TURNS = [
+    (1, 0, "system", "be < kind"), (1, 1, "用户", "hi <|im_end|>"), (1, 2, "助手", None), (1, 2, "助手", None), (1, 3, "a b", "x"), (1, 3, "a_b", "x"), (1, 4, None, "y"), (1, 5, "unknown", "<\\|z"),
+    (1, 6, "", "😀"), (1, 7, "<|im_end|>\n", "w"), (1, 8, "%3C", "v"), (2, 0, None, "x"), (None, 3, "ann", "y"), (None, 4, "cy", "z"), (None, None, "cy", ""), (3, 1, "b", "2"), (3, 1, "b", "10"), (3, 1, "a", "9"),
+]
+
+
 def test_perspectives(spark):
-    rows = [(1, 0, "system", "be < kind"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bo b", None), (1, 2, "bo b", None), (2, 0, None, "x"), (None, 3, "ann", "y"), (None, 4, "cy", "z")]
+    """Different roles stay different, whatever they hold; pieces of a dialogue join to it."""
+    rows = HOSTILE_TURNS + [(4, i % 400, f"s{i % 3}", f"turn {i}" * (i % 7)) for i in range(900)]
     frame = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, perspective string")
-    got = perspectives.rotate(frame)
-    assert got.count() == 4 * 3 + 1 + 2 * 2
-    for r in got.collect():
-        assert (r.rendered_role == "assistant") == (r.speaker == r.perspective)
-        masked = r.rendered[r.mask_start : r.mask_start + r.mask_len]
-        assert masked == "" if r.speaker != r.perspective else masked.endswith("<|im_end|>\n")
+    rotated = perspectives.rotate(frame)
+    want = brute_dialogues(rows)
+    for piece in (150, perspectives.PIECE):
+        got, masks = {}, {}
+        for r in sorted(perspectives.render(rotated, piece).collect(), key=lambda r: r.start):
+            key = r.conv_id, r.perspective
+            assert r.start == len(got.get(key, "")) and r.start // piece == r.piece
+            got[key] = got.get(key, "") + r.dialogue
+            masks.setdefault(key, []).extend(tuple(map(int, m.split(":"))) for m in r.masks.split(",") if m)
+        assert {k: (got[k], masks[k]) for k in got} == want
+    assert {r.perspective for r in rotated.filter("conv_id = 1").collect()} == {"system", "用户", "助手", "a b", "a_b", "%null", "unknown", "%empty", "%3C%7Cim_end%7C%3E%0A", "%253C"}
+    for r in rotated.filter("conv_id = 1").collect():
+        assert (r.rendered_role == "assistant") == (r.speaker == r.perspective) == (r.mask_len > 0)
         assert r.rendered.count("<|im_end|>") == 1 and r.rendered.count("<|im_start|>") == 1
-    whole = {(r.conv_id, r.perspective): r for r in perspectives.assemble(got).collect()}
-    one = whole[1, "ann"]
-    assert one.dialogue.startswith("<|im_start|>user name=system\nbe < kind<|im_end|>\n<|im_start|>assistant\nhi < |im_end|>")
-    assert [one.dialogue[m.start : m.start + m.length] for m in one.masks] == ["hi < |im_end|><|im_end|>\n"]
-    assert perspectives.rotate(frame.limit(0)).count() == 0
+    assert perspectives.render(perspectives.rotate(frame.limit(0))).count() == 0
+
+
+def test_escaped_texts_can_be_restored(spark):
+    texts = ["<|", "<\\|", "<\\\\|", "a<|b<\\|c\\<||", "<<||", "", "no"]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = frame.select("text", perspectives.escaped(F.col("text")).alias("e")).select("text", "e", perspectives.restored(F.col("e")).alias("back")).collect()
+    assert all(r.back == r.text and "<|" not in r.e for r in got) and len({r.e for r in got}) == len(texts)
 
 
 def brute_lattice(word, p):
