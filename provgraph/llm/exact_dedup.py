@@ -1,50 +1,40 @@
 """Exact deduplication over an extendible-hash index kept in shared files.
 
-Only DataFrame functions run on the data.  The index maps the 64-bit hash of a
-normalised text to its group:
-
-* **Directory.** Counts of entries per hash prefix decide it.  Starting from one
-  bucket, every bucket with more than ``bucket_capacity`` entries is split by
-  one more bit of the hash, doubling the directory when a bucket's local depth
-  passes the global depth.  Counting works on pages of ``PAGE_BITS`` bits, so
-  the driver holds at most ``2**PAGE_BITS`` counts per page; only pages that are
-  overfull at their last bit are looked into further.
-* **Owner tasks.** The index is range-partitioned by hash, so each task owns a
-  contiguous range of buckets, and is written to the shared folder.
-* **Collisions.** Entries are grouped by hash *and bytes* with map-side
-  combining, so a group of copies of any size arrives as one row per map task.
-  Different texts with one hash form a chain in their bucket, told apart by the
-  digest of the bytes that were compared.
+Only DataFrame functions are used.  The index maps the 64-bit hash of a
+normalised text to its group, in buckets:
+
+* **Directory.**  A slot for each value of the hash's first bits names the bucket that owns it.  Doubling the
+  directory adds a bit; a bucket of over ``bucket_capacity`` different hashes is split by it, others
+  keep their depth.  Where doubling ends is known from counts: a bucket is the shortest prefix that is not overfull,
+  or one of the last depth.  The directory is a table made by joins and counts; the driver holds a row count only.
+  It has at most ``2**MAX_DEPTH`` slots (a larger corpus gets larger buckets), which bounds what is broadcast of it.
+* **Owner tasks.**  Texts find their bucket through the directory and are grouped inside it, by hash *and bytes*,
+  with map-side combining, so a group of copies of any size arrives as one row per map task.  The entries
+  then go to the task that owns their range of buckets and are written there, one folder an owner, sorted by bucket and hash.
+* **Collisions.**  Different texts with one hash form a chain in their bucket, told apart by their
+  bytes when grouped, and by the digest of those bytes from then on.
+* **Lookup.**  A document goes through the directory to its bucket and there along the chain.  A slot that is
+  missing or names another bucket loses rows, so the directory decides the result.
 
 Texts are equal when identical after deleting white space ``[\\x20\\x09-\\x0D]``.
 A null text counts as empty, and all empty texts are one group.  Of a group the
 row with the most code points in the original text stays, then the smallest
-``doc_id``.  A null ``doc_id`` sorts after all others (such rows are kept apart
-by a null id and get their group's ``keep_id``).  Rows that repeat a ``doc_id`` are rows of their own.
-An empty table gives an empty result; further columns are ignored.
+``doc_id``; a null ``doc_id`` comes last.  Rows that repeat a ``doc_id`` are rows of their own: of two rows of one group and id the
+longer stays, and those of one length as well (ties) are both marked ``kept``, of which ``drop_copies`` keeps one.  Texts of any length are
+hashed and compared whole.  An empty table gives an empty result; further columns are ignored, ``drop_copies`` keeps them.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import clean
 from .shared import fresh_path, stored
 
-PAGE_BITS = 12
+MAX_DEPTH, SPARE = 20, 4
 WHITE = " \t\n\x0b\f\r"
-
-
-@dataclass(frozen=True)
-class Bucket:
-    """A bucket owns the hashes whose top ``depth`` bits equal ``prefix``."""
-
-    prefix: int
-    depth: int
-    entries: int
+BIG = "36893488147419103232"  # 2**65
 
 
 def prefix_of(h: Column, depth: int) -> Column:
@@ -52,52 +42,52 @@ def prefix_of(h: Column, depth: int) -> Column:
     return F.shiftrightunsigned(h, 64 - depth) if depth else F.lit(0).cast("long")
 
 
-def split_page(counts: dict[int, int], root: Bucket, bits: int, capacity: int) -> list[Bucket]:
-    """Splits overfull buckets bit by bit within one page of counts."""
-    done, open_ = [], [(root.prefix, root.depth, root.entries, counts)]
-    last = root.depth + bits
-    while open_:
-        prefix, depth, n, own = open_.pop()
-        if n <= capacity or depth == last:
-            done.append(Bucket(prefix, depth, n))
-            continue
-        shift = last - depth - 1
-        for bit in (0, 1):
-            child = prefix << 1 | bit
-            part = {k: v for k, v in own.items() if k >> shift == child}
-            open_.append((child, depth + 1, sum(part.values()), part))
-    return done
-
-
-def build_directory(entries: DataFrame, bucket_capacity: int, hash_bits: int) -> list[Bucket]:
-    """The buckets for a table of hashes ``h``; their number is entries / capacity at most
-    times two.  A bucket that is overfull at the last bit of the hash stays, as a chain."""
-    buckets, pages = [], [Bucket(0, 0, -1)]
-    while pages:
-        bits = min(PAGE_BITS, hash_bits - pages[0].depth)
-        depth = pages[0].depth + bits
-        slots = entries.select(prefix_of(F.col("h"), depth).alias("slot"))
-        if pages[0].depth:
-            roots = entries.sparkSession.createDataFrame([(p.prefix,) for p in pages], "root long")
-            slots = slots.withColumn("root", F.shiftrightunsigned("slot", bits)).join(F.broadcast(roots), "root", "left_semi")
-        found: dict[int, dict[int, int]] = {}
-        for slot, n in slots.groupBy("slot").count().collect():  # at most 2**PAGE_BITS a page
-            found.setdefault(slot >> bits, {})[slot] = n
-        overfull = []
-        for page in pages:
-            counts = found.get(page.prefix, {})
-            for b in split_page(counts, Bucket(page.prefix, page.depth, sum(counts.values())), bits, bucket_capacity):
-                more = b.entries > bucket_capacity and b.depth == depth < hash_bits
-                (overfull if more else buckets).append(b)
-        pages = overfull
-    return sorted(buckets, key=lambda b: (b.prefix << (64 - b.depth)) if b.depth else 0)
-
-
-def hashed(docs: DataFrame, hash_bits: int) -> DataFrame:
-    norm = F.translate("text", WHITE, "")
-    full = F.xxhash64("norm")
-    h = full if hash_bits == 64 else F.shiftleft(F.shiftrightunsigned(full, 64 - hash_bits), 64 - hash_bits)
-    return clean(docs).select("doc_id", F.length("text").cast("long").alias("n_chars"), norm.alias("norm")).withColumn("h", h)
+def norm_of(text: str) -> Column:
+    return F.translate(F.coalesce(F.col(text), F.lit("")), WHITE, "")
+
+
+def hash_of(norm: Column, hash_bits: int) -> Column:
+    full = F.xxhash64(norm)
+    return full if hash_bits == 64 else F.shiftleft(F.shiftrightunsigned(full, 64 - hash_bits), 64 - hash_bits)
+
+
+def build_directory(entries: DataFrame, bucket_capacity: int, hash_bits: int) -> tuple[DataFrame, int]:
+    """``slot, bucket, depth`` and the global depth, for a table of different hashes ``h``.  A bucket is named by its first slot;
+    slots without entries are left out.  A bucket overfull at the last depth stays so."""
+    n = entries.count()
+    capacity = max(bucket_capacity, -(-n // (1 << MAX_DEPTH - SPARE)))
+    depth = min(hash_bits, (n // capacity).bit_length() + SPARE)
+    slots = stored(entries.groupBy(prefix_of(F.col("h"), depth).alias("slot")).agg(F.count(F.lit(1)).alias("n")), "dedup-slots")
+    doublings = slots.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(depth)))).withColumn("prefix", F.expr(f"shiftright(slot, {depth} - depth)"))
+    sizes = doublings.groupBy("depth", "prefix").agg(F.sum("n").alias("entries"))
+    fits = doublings.join(sizes, ["depth", "prefix"]).filter((F.col("entries") <= capacity) | (F.col("depth") == depth))
+    buckets = fits.groupBy("slot").agg(F.min(F.struct("depth", "prefix")).alias("b"))
+    return stored(buckets.select("slot", F.expr(f"shiftleft(b.prefix, {depth} - b.depth)").alias("bucket"), "b.depth"), "dedup-directory"), depth
+
+
+def in_bucket(frame: DataFrame, directory: DataFrame, depth: int) -> DataFrame:
+    """Looks the bucket of each row's hash up."""
+    slots = F.broadcast(directory.select("slot", "bucket"))  # 2**MAX_DEPTH rows of two numbers at most
+    return frame.withColumn("slot", prefix_of(F.col("h"), depth)).join(slots, "slot").drop("slot")
+
+
+def build_index(source: DataFrame, prints: DataFrame, bucket_capacity: int, hash_bits: int) -> tuple[DataFrame, DataFrame, int]:
+    """The stored index ``bucket, h, text_sha256, group_size, keep_chars, keep_id``, its directory and global depth."""
+    spark = source.sparkSession
+    directory, depth = build_directory(prints.select("h").distinct(), bucket_capacity, hash_bits)
+    norm = norm_of("text")
+    texts = source.select("doc_id", F.length("text").cast("long").alias("n_chars"), norm.alias("norm"), hash_of(norm, hash_bits).alias("h"))
+    groups = (
+        in_bucket(texts, directory, depth)
+        .groupBy("bucket", "h", "norm")
+        .agg(F.count(F.lit(1)).alias("group_size"), F.max("n_chars").alias("keep_chars"), F.max(rank_of("n_chars", "doc_id")).alias("best"))
+    )
+    owners = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    owner = F.expr(f"CAST(bucket * {owners} DIV {1 << depth} AS INT)")
+    index = groups.select(owner.alias("owner"), "bucket", "h", F.sha2("norm", 256).alias("text_sha256"), "group_size", "keep_chars", keep_id_of("best").alias("keep_id"))
+    path = fresh_path(spark, "dedup-index")
+    index.repartitionById(owners, "owner").sortWithinPartitions("owner", "bucket", "h", "text_sha256").write.partitionBy("owner").parquet(path)
+    return spark.read.schema(index.schema).parquet(path), directory, depth
 
 
 def exact_dedup(docs: DataFrame, bucket_capacity: int = 100_000, hash_bits: int = 64, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -105,50 +95,48 @@ def exact_dedup(docs: DataFrame, bucket_capacity: int = 100_000, hash_bits: int
 
     ``hash_bits`` under 64 forces collisions, for tests.
     """
-    spark = docs.sparkSession
-    source = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    prints = stored(hashed(source, hash_bits).select("doc_id", "n_chars", "h", F.sha2("norm", 256).alias("text_sha256")), "dedup-prints")
-    directory = build_directory(prints.select("h").distinct(), bucket_capacity, hash_bits)
-
-    # One row per different text: hash, bytes compared, copies combined on the map side.
-    texts = (
-        hashed(source, hash_bits)
-        .groupBy("h", "norm")
-        .agg(F.count(F.lit(1)).alias("group_size"), F.max(rank_of("n_chars", "doc_id")).alias("best"), F.max("doc_id").alias("any_id"))
-        .withColumn("digest", F.sha2("norm", 256))
-        .drop("norm")
-    )
-    index = with_slot(texts, directory).select("bucket", "depth", "h", "digest", "group_size", keep_id_of("best", "any_id").alias("keep_id"))
-    path = fresh_path(spark, "dedup-index")
-    owners = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    index.repartitionByRange(owners, F.col("h")).sortWithinPartitions("h", "digest").write.parquet(path)
-    index = spark.read.schema(index.schema).parquet(path)
+    source = clean(docs, text=text, key=key)
+    prints = stored(source.select("doc_id", *marks_of(hash_bits)), "dedup-prints")
+    index, directory, depth = build_index(source, prints, bucket_capacity, hash_bits)
+    found = found_in(prints, index, directory, depth)
+    return found.select("doc_id", "keep_id", "group_size", stays().alias("kept"), "text_sha256")
 
-    # Different texts of one hash are told apart by the digest of the bytes that were compared.  Both
-    # sides of the join are plain scans, so Spark can split the partition of a hot group.
-    found = prints.join(index.select("h", F.col("digest").alias("text_sha256"), "keep_id", "group_size"), ["h", "text_sha256"])
-    return found.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256")
 
+def drop_copies(docs: DataFrame, bucket_capacity: int = 100_000, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The documents, all columns, with one row of each group of equal texts; of rows that tie in length and id, the least."""
+    source = clean(docs, text=text, key=key)
+    prints = stored(source.select("doc_id", *marks_of(64)), "dedup-prints")
+    index, directory, depth = build_index(source, prints, bucket_capacity, 64)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"), F.col(key).cast("long").alias("doc_id"))
+    kept = found_in(rows.select("row", "doc_id", *marks_of(64)), index, directory, depth).filter(stays())
+    ties = stored(prints.groupBy("h", "text_sha256", "n_chars", "doc_id").count().filter("count > 1").select("h", "text_sha256").distinct(), "dedup-ties")
+    if ties.isEmpty():
+        return kept.select("row.*")
+    tied = kept.join(ties, ["h", "text_sha256"], "left_semi").groupBy("h", "text_sha256").agg(F.min("row").alias("row"))
+    return kept.join(ties, ["h", "text_sha256"], "left_anti").select("row.*").union(tied.select("row.*"))
 
-def rank_of(n_chars: str, doc_id: str) -> Column:
-    """Greatest for the most code points, then the smallest id; a decimal, so that the
-    hash aggregation can update it in place."""
-    big = F.lit("18446744073709551616").cast("decimal(20,0)")
-    low = F.lit("9223372036854775807").cast("decimal(20,0)") - F.col(doc_id).cast("decimal(20,0)")
-    return (F.col(n_chars).cast("decimal(10,0)") * big + low).cast("decimal(38,0)")
+
+def marks_of(hash_bits: int) -> list[Column]:
+    norm = norm_of("text")
+    return [F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), hash_of(norm, hash_bits).alias("h"), F.sha2(norm, 256).alias("text_sha256")]
 
 
-def keep_id_of(best: str, any_id: str) -> Column:
-    big = F.lit("18446744073709551616").cast("decimal(20,0)")
-    low = F.col(best) % big
-    return F.when(F.col(any_id).isNotNull(), (F.lit("9223372036854775807").cast("decimal(20,0)") - low).cast("long"))
+def found_in(rows: DataFrame, index: DataFrame, directory: DataFrame, depth: int) -> DataFrame:
+    """Rows with the entry of their text.  Both sides of the join are plain scans, so Spark can split the partition of a hot group."""
+    return in_bucket(rows, directory, depth).join(index.drop("owner"), ["bucket", "h", "text_sha256"])
+
+
+def stays() -> Column:
+    return (F.col("n_chars") == F.col("keep_chars")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
+
+
+def rank_of(n_chars: str, doc_id: str) -> Column:
+    """Greatest for the most code points, then the smallest id, then a null id; a decimal, so that the
+    hash aggregation can update it in place."""
+    low = F.lit("9223372036854775808").cast("decimal(20,0)") - F.col(doc_id).cast("decimal(20,0)")
+    return (F.col(n_chars).cast("decimal(10,0)") * F.lit(BIG).cast("decimal(20,0)") + F.coalesce(low, F.lit(0).cast("decimal(20,0)"))).cast("decimal(38,0)")
 
 
-def with_slot(frame: DataFrame, directory: list[Bucket]) -> DataFrame:
-    """Looks each hash up in the doubled directory: one slot per value of the top bits at
-    the global depth, each naming its bucket.  Its size follows the number of buckets, so
-    it is joined by slot and broadcast only if Spark finds it small."""
-    depth = max(b.depth for b in directory)
-    rows = [(slot, b.prefix, b.depth) for b in directory for slot in range(b.prefix << (depth - b.depth), (b.prefix + 1) << (depth - b.depth))]
-    slots = frame.sparkSession.createDataFrame(rows, "slot long, bucket long, depth int")
-    return frame.withColumn("slot", prefix_of(F.col("h"), depth)).join(slots, "slot")
+def keep_id_of(best: str) -> Column:
+    low = F.col(best) % F.lit(BIG).cast("decimal(20,0)")
+    return F.when(low > 0, (F.lit("9223372036854775808").cast("decimal(20,0)") - low).cast("long"))

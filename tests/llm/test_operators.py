@@ -69,16 +69,41 @@ def test_exact_dedup(spark, rows, docs, empty):
         got = {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.exact_dedup(docs, capacity, bits).collect()}
         assert got == answer(rows)
     assert exact_dedup.exact_dedup(empty).count() == 0
-    null_id = cases.frame(spark, [(None, "p q"), (1, "pq"), (1, "p  q")])
-    got = sorted((r.doc_id or -1, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(null_id).collect())
-    assert got == [(-1, 1, 3, False), (1, 1, 3, True), (1, 1, 3, True)]
-
-
-def test_directory_splits():
-    counts = {i: 10 for i in range(16)}
-    buckets = exact_dedup.split_page(counts, exact_dedup.Bucket(0, 0, 160), 4, 35)
-    assert all(b.entries <= 35 for b in buckets) and sum(b.entries for b in buckets) == 160
-    assert len({(b.prefix << (4 - b.depth)) for b in buckets}) == len(buckets)
+    null_id = cases.frame(spark, [(None, "p q"), (1, "pq"), (1, "p  q"), (None, "z"), (None, "z")])
+    got = sorted((r.doc_id or -1, r.keep_id or -1, r.group_size, r.kept) for r in exact_dedup.exact_dedup(null_id).collect())
+    assert got == [(-1, -1, 2, True), (-1, -1, 2, True), (-1, 1, 3, False), (1, 1, 3, False), (1, 1, 3, True)]
+
+
+def test_drop_copies_decides_by_row(spark):
+    """Of copies one row stays, whatever ids repeat or are missing, and no other text is lost."""
+    rows = [(1, "same text"), (1, "same text"), (2, "same text"), (2, "a unique text"), (None, "b"), (None, " b"), (None, "c"), (None, "c"), (5, None), (6, "")]
+    frame = cases.frame(spark, rows)
+    kept = exact_dedup.drop_copies(frame)
+    assert kept.columns == frame.columns
+    assert sorted((r.doc_id or -1, r.text or "") for r in kept.collect()) == [(-1, " b"), (-1, "c"), (1, "same text"), (2, "a unique text"), (5, "")]
+    assert exact_dedup.drop_copies(frame.limit(0)).count() == 0
+
+
+def test_directory(spark, monkeypatch):
+    """Buckets are the shortest prefixes that are not overfull, cover every hash once, and a wrong slot loses rows."""
+    r = np.random.default_rng(2)
+    hashes = [int(x) for x in r.integers(-(1 << 63), 1 << 63, 500)] + [(7 << 57) + i for i in range(60)]
+    frame = spark.createDataFrame([(h,) for h in hashes], "h long")
+    directory, depth = exact_dedup.build_directory(frame, 20, 64)
+    top = [(h % (1 << 64)) >> (64 - depth) for h in hashes]
+    rows = {x.slot: (x.bucket, x.depth) for x in directory.collect()}
+    assert set(rows) == set(top)
+    for slot, (bucket, own) in rows.items():
+        assert slot >> (depth - own) == bucket >> (depth - own) and bucket % (1 << (depth - own)) == 0
+        inside = sum(t >> (depth - own) == slot >> (depth - own) for t in top)
+        parent = sum(t >> (depth - own + 1) == slot >> (depth - own + 1) for t in top)
+        assert (inside <= 20 or own == depth) and (own == 0 or parent > 20)
+    assert len({own for _, own in rows.values()}) > 1
+    docs = cases.frame(spark, [(i, f"text {i}") for i in range(300)])
+    whole = exact_dedup.exact_dedup(docs, 10).count()
+    build = exact_dedup.build_directory
+    monkeypatch.setattr(exact_dedup, "build_directory", lambda *given: (lambda d, depth: (d.filter("slot % 2 = 0"), depth))(*build(*given)))
+    assert whole == 300 > exact_dedup.exact_dedup(docs, 10).count()
 
 
 def test_shared_tables_can_be_dropped(spark, docs):
