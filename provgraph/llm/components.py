@@ -1,7 +1,7 @@
 """Connected components of a table of links, by alternating large and small stars.
 
-Every round is two shuffles with map-side combining and cuts lineage with a
-table in the shared folder; nothing is gathered in a task or the driver but counts.
+Every round is two shuffles with map-side combining and cuts lineage with
+tables in the shared folder; nothing is gathered in a task or the driver but counts.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    if large:  # the centre of a star is hot: the join of plain scans can be split
+        least = stored(least, "least")
     joined = both.join(least, "a")
     if large:
         out = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))

@@ -21,15 +21,20 @@ The documents-by-n-grams incidence matrix ``A`` is never multiplied in full:
    while that still finds links, other leaders among rows not yet connected,
    and at last *all* pairs in a column whose rows lie in different components.
    Pairs inside a component need no test, so no link is lost and groups are not squared.
+   Columns that are in the prefix of the same rows (those of a shared passage) stand for one another: only the first of them is kept.
+   Rows of the last step carry the parities of their columns' hashes to ``BITS`` bins; where two rows' parities differ,
+   a column is in one of them only, so the pair is dropped, before it is shuffled, if too many do.
+   Texts made of the same passages that never link are still compared where they meet, pair by pair, but only such pairs as
+   the parities can't tell apart leave the column.
 
 The hash of an n-gram within a pair's union is 40 bits plus the block's, so a wrong
 overlap needs a collision between two n-grams of two texts that are compared.
 
 Cases: A-Z are lower-cased, words are ``[^\\x20\\x09-\\x0D]+``; fewer than ``k`` words
 are one n-gram; null, empty or blank texts have none and link with nothing (their own
-component).  Rows that repeat a ``doc_id`` stand for one document, with the longest (then greatest) of
-their texts, and each get its result; a null id links with nothing and has a null component.
-Further columns are ignored; empty tables give empty results.
+component); texts of any length are read whole.  Links are between rows: where ids repeat or are null, rows are numbered, each text
+links for itself, and a component is named by the least id in it (null if it has none).  Equal sets (ties) are one
+component.  Further columns are ignored, ``drop_near_copies`` keeps them; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -43,11 +48,12 @@ from pyspark.sql import functions as F
 
 from .blocks import SCHEMA, Router, block_of, by_block, clean, column, deal, keys, plan_blocks, trimmed
 from .components import components
-from .kernel import Words, distinct_per_row, mix, shingles, words_of
+from .kernel import Words, distinct_per_row, mix, shingles, string_buffers, words_of
 from .shared import stored
 
 LOW = np.uint64((1 << 40) - 1)
 ROUNDS = 4
+BITS = 512
 
 
 def row_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -175,44 +181,80 @@ def may_link(n1: Column, m1: Column, n2: Column, m2: Column, percent: int) -> Co
     return F.least(m1, m2) * (100 + percent) >= (n1 + n2) * percent
 
 
+def numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All 64-bit numbers packed in a binary column, and where each row's begin and end."""
+    data, offsets = string_buffers(column)
+    return data.view(np.int64), offsets // 8
+
+
 def accumulate(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """Links ``a, b`` among ``pairs``: overlaps accumulated over all columns."""
+    """Links ``a, b`` among ``pairs``: overlaps accumulated over all columns, for all partners of a ``b`` at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, n1, n2, x, y = batch.columns
-            ok, last, sorted_y = [], None, None
-            for i in range(batch.num_rows):
-                key = b[i].as_py()
-                if key != last:
-                    last, sorted_y = key, np.sort(np.frombuffer(y[i].as_py(), np.int64))
-                own = np.frombuffer(x[i].as_py(), np.int64)
-                at = np.minimum(np.searchsorted(sorted_y, own), len(sorted_y) - 1)
-                overlap = int((sorted_y[at] == own).sum())
-                ok.append(overlap * (100 + percent) >= (n1[i].as_py() + n2[i].as_py()) * percent)
-            keep = pa.array(ok, pa.bool_())
-            yield pa.record_batch([a.filter(keep), b.filter(keep)], names=["a", "b"])
+            b, n1, n2 = (np.asarray(batch.column(i)) for i in (1, 2, 3))
+            (x, x_at), (y, y_at) = numbers(batch.column(4)), numbers(batch.column(5))
+            overlap = np.zeros(len(b), np.int64)
+            cut = np.r_[np.flatnonzero(np.r_[True, b[1:] != b[:-1]]), len(b)] if len(b) else np.zeros(1, np.int64)
+            for i, j in zip(cut[:-1], cut[1:], strict=True):
+                own, other = x[x_at[i] : x_at[j]], np.sort(y[y_at[i] : y_at[i + 1]])
+                at = np.minimum(np.searchsorted(other, own), len(other) - 1)
+                overlap[i:j] = np.add.reduceat((other[at] == own).astype(np.int64), x_at[i:j] - x_at[i])
+            keep = pa.array(overlap * (100 + percent) >= (n1 + n2) * percent)
+            yield pa.record_batch([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     left = rows.select(F.col("vid").alias("a"), F.col("n").alias("n1"), F.col("cols").alias("x"))
     right = rows.select(F.col("vid").alias("b"), F.col("n").alias("n2"), F.col("cols").alias("y"))
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "n1", "n2", "x", "y").mapInArrow(trimmed(run), "a long, b long")
 
 
+def parities(rows: DataFrame) -> DataFrame:
+    """``vid, p0, p1, ...``: of each row, whether an odd number of its columns falls into each of ``BITS`` bins."""
+    words = BITS // 64
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols, at = numbers(batch.column(1))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(at))
+            bin_ = (mix(cols.view(np.uint64)) % np.uint64(BITS)).astype(np.int64)
+            odd = (np.bincount(row * BITS + bin_, minlength=batch.num_rows * BITS) & 1).astype(np.uint8).reshape(-1, BITS)
+            packed = np.packbits(odd, axis=1).view(np.int64).reshape(-1, words)
+            yield pa.record_batch([batch.column(0), *(pa.array(packed[:, i]) for i in range(words))], names=["vid", *(f"p{i}" for i in range(words))])
+
+    return rows.select("vid", "cols").mapInArrow(trimmed(run), "vid long, " + ", ".join(f"p{i} long" for i in range(words)))
+
+
 def leader_pairs(entries: DataFrame, percent: int, turn: int) -> DataFrame:
     """Each row with one leader of its columns, of another component."""
     order = F.col("rank") if turn == 0 else F.xxhash64("vid", F.lit(turn))
     leaders = entries.groupBy("col").agg(F.min(F.struct(order.alias("o"), F.col("vid").alias("lead"), F.col("n").alias("n2"), F.col("m").alias("m2"), F.col("label").alias("l2"))).alias("x"), F.count(F.lit(1)).alias("c"))
     leaders = stored(leaders.filter("c > 1").select("col", "x.*"), "leaders")  # a plain scan: the join can be split
     met = entries.join(leaders, "col").filter((F.col("label") != F.col("l2")) & may_link(F.col("n"), F.col("m"), F.col("n2"), F.col("m2"), percent))
-    best = met.groupBy("vid", "lead").agg(F.count(F.lit(1)).alias("c")).groupBy("vid").agg(F.max(F.struct("c", "lead")).alias("x"))
+    best = met.groupBy("vid", "lead").agg(F.sum("weight").alias("c")).groupBy("vid").agg(F.max(F.struct("c", "lead")).alias("x"))
     return best.select(F.col("vid").alias("a"), F.col("x.lead").alias("b"))
 
 
-def remaining_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """All pairs that meet in a column, lie in different components and pass the size bound."""
-    other = entries.select("col", F.col("vid").alias("b"), F.col("n").alias("n2"), F.col("rest").alias("rest2"), F.col("label").alias("l2"))
-    bound = may_link(F.col("n"), F.col("rest"), F.col("n2"), F.col("rest2"), percent)
-    return entries.join(other, (entries.col == other.col) & (F.col("vid") < F.col("b")) & (F.col("label") != F.col("l2")) & bound).select(F.col("vid").alias("a"), "b").distinct()
+def remaining_pairs(entries: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """All pairs that meet in a column, lie in different components and pass the size and parity bounds."""
+    names = [f"p{i}" for i in range(BITS // 64)]
+    live = stored(entries.select("vid").distinct(), "live")
+    own = stored(entries.join(parities(rows.join(live, "vid", "left_semi")), "vid"), "last")  # plain scans: the join can be split
+    other = own.select("col", *(F.col(c).alias(f"{c}_b") for c in ("vid", "n", "m", "rest", "label", *names)))
+    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in names), F.lit(0))
+    bound = may_link(F.col("n"), F.col("rest"), F.col("n_b"), F.col("rest_b"), percent)
+    near = (F.col("m") + F.col("m_b") - differ) * (100 + percent) >= (F.col("n") + F.col("n_b")) * (2 * percent)
+    apart = (F.col("vid") < F.col("vid_b")) & (F.col("label") != F.col("label_b"))
+    return own.join(other, (own.col == other.col) & apart & bound & near).select(F.col("vid").alias("a"), F.col("vid_b").alias("b")).distinct()
+
+
+def first_columns(entries: DataFrame) -> DataFrame:
+    """Of columns with the same rows the first, with their number as ``weight``.  A pair that meets in one of them meets in all, and
+    first in the first, where the bounds on what follows hold."""
+    columns = entries.groupBy("col").agg(
+        F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("vid").cast("decimal(38,0)")).alias("s1"), F.sum(F.xxhash64("vid", F.lit(7)).cast("decimal(38,0)")).alias("s2"), F.sum("rest").alias("r")
+    )
+    first = columns.filter("c > 1").groupBy("c", "s1", "s2").agg(F.max(F.struct("r", "col")).alias("x"), F.count(F.lit(1)).alias("weight"))
+    return entries.join(stored(first.select(F.col("x.col").alias("col"), "weight"), "columns"), "col")
 
 
 def open_columns(entries: DataFrame, links: DataFrame | None) -> DataFrame:
@@ -229,10 +271,10 @@ def open_columns(entries: DataFrame, links: DataFrame | None) -> DataFrame:
 
 def links_between(rows: DataFrame, percent: int) -> DataFrame | None:
     """Links that connect what the full product connects; None for no rows."""
-    entries = stored(prefix_entries(rows), "prefix")
+    entries = stored(first_columns(stored(prefix_entries(rows), "prefix")), "entries")
     links: DataFrame | None = None
     for turn in range(ROUNDS):
-        live = stored(open_columns(entries, links).select("col", "vid", "n", "m", "rank", "rest", "label"), "open")
+        live = stored(open_columns(entries, links).select("col", "vid", "n", "m", "rank", "rest", "label", "weight"), "open")
         sizes = live.groupBy("col").agg(F.count(F.lit(1)).alias("c")).agg(F.sum("c"), F.sum(F.col("c") * (F.col("c") - 1) / 2)).first()
         if not sizes[0]:
             return links
@@ -243,21 +285,14 @@ def links_between(rows: DataFrame, percent: int) -> DataFrame | None:
         links = found if links is None else links.unionByName(found)
         if turn and not fresh:
             break
-    final = stored(accumulate(remaining_pairs(live, percent), rows, percent), "found")
+    final = stored(accumulate(remaining_pairs(live, rows, percent), rows, percent), "found")
     return final if links is None else links.unionByName(final)
 
 
-def near_components(docs: DataFrame, percent: int = 80, k: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row."""
-    source = clean(docs, text=text, key=key)
-    sets = stored(signatures(source, k), "sets")
-    total, ids = sets.filter("doc_id is not null").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("doc_id")).first()
-    distinct = sets.select("doc_id").dropna().distinct().count()
-    one = sets
-    if ids != distinct:  # repeated ids: one text stands for each
-        source = source.dropna(subset=["doc_id"]).groupBy("doc_id").agg(F.max(F.struct(F.length("text").alias("l"), "text")).alias("x")).select("doc_id", "x.text")
-        one = stored(signatures(source, k), "sets")
-    classes = one.filter("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
+def near_rows(source: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for rows ``doc_id, text`` of different ids, none null, whose stored ``signatures`` are ``sets``."""
+    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    classes = sets.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
     blocks = plan_blocks(int(total))
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,10 +308,32 @@ def near_components(docs: DataFrame, percent: int = 80, k: int = 5, text: str =
     links = links_between(rows, percent)
     labelled = classes if links is None else classes.join(components(links), classes.rep == F.col("vid"), "left").drop("vid")
     label = F.col("rep") if links is None else F.coalesce("label", "rep")
-    named = labelled.select("n", "s1", "s2", label.alias("component_id"))
-    if ids != distinct:
-        own = one.join(named, ["n", "s1", "s2"], "left").select("doc_id", "component_id")
-        result = sets.join(own, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    else:
-        result = sets.join(named, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
-    return result
+    named = stored(labelled.select("n", "s1", "s2", label.alias("component_id")), "classes")  # a plain scan: the join can be split
+    return sets.join(named, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def near_components(docs: DataFrame, percent: int = 80, k: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every row."""
+    source = clean(docs, text=text, key=key)
+    sets = stored(signatures(source, k), "sets")
+    total, ids = sets.agg(F.count(F.lit(1)), F.countDistinct("doc_id")).first()
+    if total == ids:
+        return near_rows(source, sets, percent, k)
+    numbered = stored(source.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    source = numbered.select(F.col("row").alias("doc_id"), "text")
+    found = near_rows(source, stored(signatures(source, k), "sets"), percent, k).withColumnRenamed("doc_id", "row")
+    found = stored(found.join(numbered.select("row", "doc_id"), "row"), "found-rows")
+    least = stored(found.groupBy("component_id").agg(F.min("doc_id").alias("least")), "least-ids")
+    return found.join(least, "component_id").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, percent: int = 80, k: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The documents, all columns, with one row of each component: the one of least id, nulls last."""
+    numbered = stored(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
+    source = clean(numbered.select("row", F.col(f"doc.{text}").alias("text")), key="row")
+    found = near_rows(source, stored(signatures(source, k), "sets"), percent, k)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    grouped = stored(found.select(F.col("doc_id").alias("row"), "component_id").join(numbered.select("row", F.col(f"doc.{key}").cast("long").alias("doc_id")), "row"), "found-rows")
+    first = stored(grouped.groupBy("component_id").agg(F.min(order).alias("x"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("component_id", F.col("x.row").alias("first")), "firsts")
+    dropped = grouped.join(first, "component_id").filter("row <> first").select("row")
+    return numbered.join(dropped, "row", "left_anti").select("doc.*")

@@ -133,9 +133,27 @@ def test_ngram_join(spark, seed):
 
 def test_ngram_join_cases(spark, empty):
     assert ngram_join.near_components(empty).count() == 0
-    frame = cases.frame(spark, [(None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f"), (3, "A b c d e f"), (8, None)])
-    got = sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in ngram_join.near_components(frame).collect())
-    assert got == [(-1, 2, None), (3, 2, 3), (7, 2, 3), (7, 2, 3), (8, 0, 8)]
+    other = " ".join(f"w{i}" for i in range(30))
+    frame = cases.frame(spark, [(None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f"), (3, "A b c d e f"), (8, None), (7, other), (9, other + " z"), (None, "p q"), (None, "")])
+    got = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in ngram_join.near_components(frame).collect())
+    assert got == [(-1, 0, -1), (-1, 1, -1), (-1, 2, 3), (3, 2, 3), (7, 2, 3), (7, 2, 3), (7, 26, 7), (8, 0, 8), (9, 27, 7)]
+    kept = ngram_join.drop_near_copies(frame)
+    assert kept.columns == frame.columns
+    assert sorted((r.doc_id or -1, r.text or "") for r in kept.collect()) == [(-1, ""), (-1, "p q"), (3, "A b c d e f"), (7, other), (8, "")]
+    assert ngram_join.drop_near_copies(frame.limit(0)).count() == 0
+
+
+def test_ngram_join_of_a_clause_library(spark, monkeypatch):
+    """Texts of half of 40 clauses meet everywhere and never link: few pairs may leave a column; those that do link are found."""
+    r = np.random.default_rng(8)
+    clauses = [" ".join(f"c{i}w{j}" for j in range(12)) for i in range(40)]
+    rows = [(i, " ".join(clauses[c] for c in sorted(r.choice(40, 20, replace=False)))) for i in range(400)]
+    rows += [(400 + i, t + f" tail{i}") for i, (_, t) in enumerate(rows[:20])]
+    counted, take = [], ngram_join.remaining_pairs
+    monkeypatch.setattr(ngram_join, "remaining_pairs", lambda *given: (lambda p: counted.append(p.count()) or p)(take(*given)))
+    got = {x.doc_id: x.component_id for x in ngram_join.near_components(cases.frame(spark, rows)).collect()}
+    assert got == cases.near_groups(rows)
+    assert sum(counted) < 400, counted
 
 
 def test_near_copies_without_all_pairs(spark):
