@@ -2,8 +2,12 @@
 
 ``STAGES`` lists ``(name, function)``; a function takes ``(spark, docs, sf_dir)`` and
 returns a DataFrame with the columns of ``documents``, except the last, which returns
-``doc_id, n_tokens, ids, decoded``.  Rows with a null ``doc_id`` can't be decided on by
-id: the stages that decide by id keep them.  Rows that repeat a ``doc_id`` share its decision.
+``doc_id, n_tokens, ids, decoded``.  All decisions are about rows: of copies one row stays, whatever ids repeat or
+are null, and no text goes because another one has its id.
+
+Cases: null and empty texts are copies of one another, toxic only if an empty text is, and hold no benchmark item; texts of any length are read
+whole; ties are settled by the operators (least id, then least row); empty tables give empty results; a table ``labels`` without
+rows of both kinds keeps every document; further columns are kept up to the last stage.
 """
 
 from __future__ import annotations
@@ -13,28 +17,23 @@ from pyspark.sql import DataFrame, SparkSession
 from provgraph.llm import toxicity
 from provgraph.llm.bpe_stream import transcode
 from provgraph.llm.decontaminate import drop_contaminated
-from provgraph.llm.exact_dedup import exact_dedup
-from provgraph.llm.ngram_join import near_components
+from provgraph.llm.exact_dedup import drop_copies
+from provgraph.llm.ngram_join import drop_near_copies
 from provgraph.llm.queries import vocabulary
 from provgraph.llm.shared import stored, table
 
 
-def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose id isn't in ``ids``."""
-    return docs.join(ids.distinct(), "doc_id", "left_anti").select(docs.columns)
-
-
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.drop_toxic(docs, model)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_ids(docs, exact_dedup(docs).filter("not kept and doc_id <> keep_id").select("doc_id"))
+    return drop_copies(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_ids(docs, near_components(docs).filter("doc_id <> component_id").select("doc_id"))
+    return drop_near_copies(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
