@@ -1,30 +1,29 @@
 """Subword lattice likelihood of documents.
 
 A fixed, public vocabulary of pieces spans a lattice over every word (a leading
-mark, then the word's bytes): each way to cut it into pieces is a path.  The
-vocabulary's own scores give the pieces' first weights, which expectation-
-maximisation over all different training words re-estimates; the vocabulary itself is
-never changed.  The sum over all segmentations is found by a forward recursion in log space.
+mark, then the word's bytes): each way to cut it into pieces is a path, weighted by its pieces' weights.  The sum
+over all segmentations is found by a forward recursion in log space; a document's probability is the product over its words and
+one end symbol.  Since pieces with and without the mark tile the stream, the probabilities of all texts sum to at most 1.
 
-A word seen ``c`` times in ``N`` training tokens has one more arc over its whole length,
-of weight ``(c - d) / N``; the discounted mass ``d * V / N`` weights the segmentations
-(``d`` is the usual ratio of words seen once and twice).  A document's probability
-is the product over its words and one end symbol; since pieces with and without the
-mark tile the stream, the probabilities of all texts sum to at most 1.
+The vocabulary's own scores give every piece its first weight, and keep the share ``PRIOR`` of the weights at
+any size of the corpus.  The rest follows the training tokens: in each of ``ROUNDS`` rounds of expectation-maximisation a piece's
+share is its expected number in all of them.  The vocabulary itself is never changed, and no word has an arc of its
+own unless it is a piece.
 
 * **Words, not tokens.**  Counts are combined per task and dealt by word hash, so a
   word's lattice is computed once however often it occurs.
 * **E-step.**  One pass over the word table per round; only one number per piece
   reaches the driver.
-* **Scoring.**  A table of the most frequent words (``HEAD`` at most, a fixed bound)
+* **Scoring.**  A table of the most frequent words (``HEAD`` at most, 24 bytes each, so 12.6 MB: a fixed bound)
   goes to every task; all other words of a document are dealt to the blocks that hold
   their score and return as sums.  Both paths are exact.
 
 Cases: A-Z are lower-cased, words are ``[^\\x20\\x09-\\x0D]+``; a null or empty text is
-the end symbol alone; single bytes have pieces, so any text has a probability; a row
-with a null id is training data; repeated rows are rows of their own; further
+the end symbol alone; single bytes have pieces, so any text has a probability; words of over ``LONG`` bytes are summed
+one by one, with a bounded stretch of the recursion in memory; a row
+with a null id is training data; ties and repeated rows are rows of their own; an empty table gives an empty result; further
 columns are ignored; with no training text the first weights are used.  Words are told
-apart by a 64-bit hash.
+apart by a 64-bit hash, without comparing them.
 """
 
 from __future__ import annotations
@@ -49,6 +48,7 @@ LONG = 192
 STRETCH = 4096
 BATCH = 8192
 ROUNDS = 3
+PRIOR = 0.2
 COUNT_TYPE = np.dtype([("train", "<i8"), ("all", "<i8")])
 _B = np.uint64(0x9E3779B97F4A7C15)
 
@@ -220,7 +220,7 @@ class Lattice:
             arcs.append(own)
         return arcs
 
-    def expected_long(self, word: bytes, into: np.ndarray) -> None:
+    def expected_long(self, word: bytes, count: float, into: np.ndarray) -> None:
         """``expected`` of one long word, from its last stretch to its first: only the sums
         before each stretch are kept, those within are computed again."""
         keep, kept, alpha = self.table.longest, [], [0.0]
@@ -239,7 +239,7 @@ class Lattice:
                 after = beta.pop(j)
                 for back, piece in arcs[j - a - 1]:
                     step = float(self.log_p[piece]) + after
-                    into[piece] += math.exp(alpha[j - back - first] + step - whole)
+                    into[piece] += count * math.exp(alpha[j - back - first] + step - whole)
                     other = beta.get(j - back, -math.inf)
                     top = max(step, other)
                     beta[j - back] = top + math.log1p(math.exp(min(step, other) - top))
@@ -332,18 +332,16 @@ def word_table(dealt: DataFrame) -> DataFrame:
     return dealt.mapInArrow(trimmed(run), SCHEMA)
 
 
-def totals(words: DataFrame) -> tuple[int, int, float]:
-    """Training words, distinct ones, and the discount."""
+def totals(words: DataFrame) -> tuple[int, int]:
+    """Training words, and distinct ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in batch.column(0):
                 c = np.frombuffer(b.as_py(), COUNT_TYPE)["train"]
-                yield pa.record_batch([pa.array([int(x)]) for x in (c.sum(), (c > 0).sum(), (c == 1).sum(), (c == 2).sum())], names=["n", "v", "one", "two"])
+                yield pa.record_batch([pa.array([int(x)]) for x in (c.sum(), (c > 0).sum())], names=["n", "v"])
 
-    sums = words.select("b").mapInArrow(trimmed(run), "n long, v long, one long, two long").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "one", "two")))
-    n, v, one, two = sums.first()
-    return n, v, min(0.95, max(0.05, one / (one + 2 * two))) if one else 0.5
+    return tuple(words.select("b").mapInArrow(trimmed(run), "n long, v long").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v"))).first())
 
 
 def expectation(words: DataFrame, table: Table, log_p: np.ndarray) -> np.ndarray:
@@ -358,9 +356,9 @@ def expectation(words: DataFrame, table: Table, log_p: np.ndarray) -> np.ndarray
                 train = np.flatnonzero(count["train"] > 0)
                 start = np.cumsum(length) - length
                 for at, marked in grouped(data, start[train], length[train]):
-                    lattice.expected(marked, np.ones(len(at)), total)
+                    lattice.expected(marked, count["train"][train[at]].astype(float), total)
                 for i in train[length[train] > LONG]:
-                    lattice.expected_long(MARK + data[start[i] : start[i] + length[i]].tobytes(), total)
+                    lattice.expected_long(MARK + data[start[i] : start[i] + length[i]].tobytes(), float(count["train"][i]), total)
         some = np.flatnonzero(total)
         yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["piece", "x"])
 
@@ -370,9 +368,8 @@ def expectation(words: DataFrame, table: Table, log_p: np.ndarray) -> np.ndarray
     return out
 
 
-def score_words(words: DataFrame, table: Table, log_p: np.ndarray, n: int, v: int, discount: float) -> DataFrame:
+def score_words(words: DataFrame, table: Table, log_p: np.ndarray) -> DataFrame:
     """Adds each word's log10 probability: kind 0, ``a`` hash, ``b`` counts, ``c`` scores."""
-    log_rest = math.log(max(discount * v, 1.0) / max(n, 2))
     shipped = words.sparkSession.sparkContext.broadcast((table, log_p))  # a vocabulary: of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,8 +382,6 @@ def score_words(words: DataFrame, table: Table, log_p: np.ndarray, n: int, v: in
                     score[at] = lattice.log_likelihood(marked)
                 for i in np.flatnonzero(length > LONG):
                     score[i] = lattice.long_word(MARK + data[start[i] : start[i] + length[i]].tobytes())
-                with np.errstate(divide="ignore"):
-                    score = np.logaddexp(score + log_rest, np.log(np.maximum(count["train"] - discount, 0) / max(n, 2)))
                 yield pack(np.array([block]), 0, [[h.tobytes()], [count.tobytes()], [(score / math.log(10)).tobytes()]])
 
     return words.mapInArrow(trimmed(run), SCHEMA)
@@ -496,23 +491,23 @@ def add_up(dealt: DataFrame) -> DataFrame:
 OUT_NAMES = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
 
 
-def score_documents(docs: DataFrame, model_file: str, modulus: int = 5, held_out: int = 1, rounds: int = ROUNDS, head: int = HEAD, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row."""
+def score_documents(docs: DataFrame, model_file: str, modulus: int = 5, held_out: int = 1, rounds: int = ROUNDS, head: int = HEAD, prior: float = PRIOR, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row; ``prior`` is the share of the vocabulary's scores."""
     held = F.coalesce(remainder("doc_id", modulus) == held_out, F.lit(False)).alias("held")
     source = clean(docs, text=text, key=key).select("doc_id", "text", held)
     n_docs, n_bytes = source.filter("not held").count(), source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = plan_blocks(int(n_bytes) // 32)
     words = stored(word_table(deal(word_counts(source, blocks), blocks)), "words")
-    n_words, v_words, discount = totals(words)
+    n_words, v_words = totals(words)
     n, v = n_words + n_docs, v_words + (n_docs > 0)
 
     weights = first_weights(read_pieces(model_file))
-    table, prior = Table(list(weights)), np.array(list(weights.values()))
-    p = prior
+    table, first = Table(list(weights)), np.array(list(weights.values()))
+    p, end = first, 0.5
     for _ in range(rounds if n_words else 0):
         found = expectation(words, table, np.log(p))
-        p = (found + prior) / (found.sum() + 1)
-    scored = stored(score_words(words, table, np.log(p), n, v_words, discount), "scored-words")
+        p, end = (1 - prior) * found / found.sum() + prior * first, n_docs / (found.sum() + n_docs)
+    scored = stored(score_words(words, table, np.log(p * (1 - end))), "scored-words")
     top = frequent(scored, head)
     numbered = source.withColumn("row", F.monotonically_increasing_id())
     parts = add_up(deal(scored.unionByName(doc_sums(numbered, top, blocks)), blocks))
@@ -526,5 +521,5 @@ def score_documents(docs: DataFrame, model_file: str, modulus: int = 5, held_out
         (F.col("k") + F.lit(int(n_docs > 0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("b") + end_base - F.col("n_tokens") * each).alias("base_score"),
-        (F.col("s") + math.log10(max(n_docs, 0.5) / max(n, 1))).alias("score"),
+        (F.col("s") + math.log10(end)).alias("score"),
     )

@@ -407,7 +407,8 @@ def test_escaped_texts_can_be_restored(spark):
 
 
 def brute_lattice(word, p):
-    total = [1.0] + [0.0] * len(word)
+    total = np.zeros(len(word) + 1, np.longdouble)
+    total[0] = 1
     for j in range(1, len(word) + 1):
         for i in range(j):
             total[j] += total[i] * p.get(word[i:j], 0.0)
@@ -438,10 +439,10 @@ def test_lattice_long_words_are_expected(monkeypatch, stretch):
         marked = b" " + word.encode()
         want, got = np.zeros(len(p)), np.zeros(len(p))
         own.expected(np.frombuffer(marked, np.uint8)[None, :], np.ones(1), want)
-        own.expected_long(marked, got)
+        own.expected_long(marked, 1.0, got)
         assert got == pytest.approx(want)
     got = np.zeros(len(p))
-    own.expected_long(b" " + "ab中".encode() * 2000, got)
+    own.expected_long(b" " + "ab中".encode() * 2000, 1.0, got)
     assert sum(n * len(w) for n, w in zip(got, p, strict=True)) == pytest.approx(10_001)
 
 
@@ -473,6 +474,47 @@ def test_lattice_documents(spark, docs, rows, head):
         assert r.base_score == pytest.approx(base) and r.score < 0
 
 
+def brute_weights(counts, n_docs, first, rounds, prior):
+    """Expected pieces by forward and backward sums, word by word, in plain numbers."""
+    p, end = dict(first), 0.5
+    longest = max(map(len, first))
+    for _ in range(rounds):
+        found = dict.fromkeys(p, 0.0)
+        for w, c in counts.items():
+            marked = b" " + w.encode()
+            size = len(marked)
+            arcs = [(i, j) for i in range(size) for j in range(i + 1, min(size, i + longest) + 1) if marked[i:j] in p]
+            ahead, back = np.zeros(size + 1, np.longdouble), np.zeros(size + 1, np.longdouble)  # long words have tiny sums
+            ahead[0] = back[-1] = 1
+            for i, j in sorted(arcs, key=lambda a: a[1]):
+                ahead[j] += ahead[i] * p[marked[i:j]]
+            for i, j in sorted(arcs, key=lambda a: -a[0]):
+                back[i] += p[marked[i:j]] * back[j]
+            for i, j in arcs:
+                found[marked[i:j]] += c * ahead[i] * p[marked[i:j]] * back[j] / ahead[-1]
+        total = sum(found.values())
+        p = {x: (1 - prior) * found[x] / total + prior * first[x] for x in p}
+        end = n_docs / (total + n_docs)
+    return {x: y * (1 - end) for x, y in p.items()}, end
+
+
+@pytest.mark.parametrize("prior", [0.2, 1.0])
+def test_lattice_scores_whole_documents(spark, prior):
+    """Every document's score is the brute-force sum over all segmentations under brute-force weights."""
+    rows = [(i, t) for i, t in cases.texts(3, 40) if len(t or "") < 1000] + [(None, "null id trains"), (7, "ring ring Table"), (90, "zz" * 120 + " ring")]
+    got = lattice.score_documents(cases.frame(spark, rows), P.path("piece_bpe_32k.model"), prior=prior)
+    count, n_docs = Counter(), 0
+    for i, t in rows:
+        if i is None or zlib.crc32(str(i).encode()) % 5 != 1:
+            count.update(cases.words(cases.lower(t or "")))
+            n_docs += 1
+    p, end = brute_weights(count, n_docs, lattice.first_weights(lattice.read_pieces(P.path("piece_bpe_32k.model"))), lattice.ROUNDS, prior)
+    want = [(i if i is not None else -1, math.log10(end) + sum(float(np.log10(brute_lattice(b" " + w.encode(), p))) for w in cases.words(cases.lower(t or "")))) for i, t in rows]
+    have = [(r.doc_id if r.doc_id is not None else -1, r.score) for r in got.collect()]
+    assert [i for i, _ in sorted(have)] == [i for i, _ in sorted(want)]
+    assert [x for _, x in sorted(have)] == pytest.approx([x for _, x in sorted(want)])
+
+
 def test_lattice_is_a_distribution(spark):
     """Over one-word texts of two letters, probabilities sum to less than one."""
     letters = "abcdefgh"
