@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import regex
 
 SHORT = 48
+SYMBOL, NONE = (1 << 20) - 1, 1 << 62
 
 
 def byte_chars() -> list[str]:
@@ -23,6 +24,26 @@ def byte_chars() -> list[str]:
     return [chr(b) if b in set(own) else chr(next(other)) for b in range(256)]
 
 
+PLAIN, FINAL, SPECIAL = range(3)
+
+
+class Parsed(dict):
+    """Of each token asked for: its bytes, and whether it ends a word or is special."""
+
+    def __init__(self, table: MergeTable):
+        super().__init__()
+        self.table = table
+
+    def __missing__(self, token: int) -> tuple[bytes, int]:
+        name, mark = self.table.names[token], self.table.suffix
+        if token in self.table.marks:
+            self[token] = name.encode(), SPECIAL
+        else:
+            ends = bool(mark) and name.endswith(mark)
+            self[token] = bytes(map(self.table.byte_of.__getitem__, name.removesuffix(mark) if ends else name)), FINAL if ends else PLAIN
+        return self[token]
+
+
 class MergeTable:
     """A BPE model read from a ``tokenizers`` JSON file."""
 
@@ -35,16 +56,17 @@ class MergeTable:
         self.marks = frozenset(self.special.values())
         self.names: dict[int, str] = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
         self.char = byte_chars()
+        self.parsed = Parsed(self)
         self.byte_of = {c: b for b, c in enumerate(self.char)}
         self.single = [self.vocab[c] for c in self.char]
         self.final = [self.vocab[c + self.suffix] for c in self.char]
-        #: pair key -> (rank, id of the merged symbol); parts: (left, right) by rank
-        self.pairs: dict[int, tuple[int, int]] = {}
+        #: pair key -> rank << 20 | id of the merged symbol; parts: (left, right) by rank
+        self.pairs: dict[int, int] = {}
         self.parts: list[tuple[int, int, int]] = []
         for rank, merge in enumerate(model["merges"]):
             left, right = merge if isinstance(merge, list) else merge.split(" ")
             a, b, c = self.vocab[left], self.vocab[right], self.vocab[left + right]
-            self.pairs.setdefault(a << 20 | b, (rank, c))
+            self.pairs.setdefault(a << 20 | b, rank << 20 | c)
             self.parts.append((a, b, c))
         marks = "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))
         self.special_pattern = regex.compile(marks) if marks else None
@@ -73,20 +95,19 @@ class MergeTable:
         return self._merge_short(ids) if len(ids) <= SHORT else self._merge_long(ids)
 
     def _merge_short(self, ids: list[int]) -> list[int]:
-        pairs = self.pairs
-        while len(ids) > 1:
-            best, at, new = None, -1, -1
-            left = ids[0]
-            for i in range(1, len(ids)):
-                right = ids[i]
-                found = pairs.get(left << 20 | right)
-                if found is not None and (best is None or found[0] < best):
-                    best, new = found
-                    at = i
-                left = right
-            if best is None:
+        get = self.pairs.get
+        open_ = [get(a << 20 | b, NONE) for a, b in zip(ids, ids[1:])]
+        while open_:
+            best = min(open_)
+            if best == NONE:
                 break
-            ids[at - 1 : at + 1] = [new]
+            i = open_.index(best)
+            ids[i : i + 2] = [best & SYMBOL]
+            del open_[i]
+            if i:
+                open_[i - 1] = get(ids[i - 1] << 20 | ids[i], NONE)
+            if i < len(open_):
+                open_[i] = get(ids[i] << 20 | ids[i + 1], NONE)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -97,7 +118,8 @@ class MergeTable:
         def offer(i: int, j: int) -> None:
             found = pairs.get(ids[i] << 20 | ids[j])
             if found is not None:
-                heap.append((found[0], i, ids[i], ids[j], found[1])) if not heap_ready else heapq.heappush(heap, (found[0], i, ids[i], ids[j], found[1]))
+                entry = found >> 20, i, ids[i], ids[j], found & SYMBOL
+                heapq.heappush(heap, entry) if heap_ready else heap.append(entry)
 
         heap_ready = False
         for i in range(n - 1):
@@ -120,16 +142,20 @@ class MergeTable:
 
 
 class Bounded(dict):
-    """A table of fixed entries and a bounded number of computed ones."""
+    """A table of fixed entries and a bounded number of computed ones: the ``limit`` / 2 latest, and of as many
+    before them those that were asked for again."""
 
     def __init__(self, fixed: dict, compute, limit: int = 200_000):
         super().__init__(fixed)
-        self.fixed, self.compute, self.limit = fixed, compute, limit + len(fixed)
+        self.fixed, self.compute, self.limit, self.older = fixed, compute, limit // 2 + len(fixed), {}
 
     def __missing__(self, key):
-        value = self.compute(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.compute(key)
         if len(key) <= 64:
             if len(self) >= self.limit:
+                self.older = dict(self)
                 self.clear()
                 self.update(self.fixed)
             self[key] = value

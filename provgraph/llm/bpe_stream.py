@@ -15,7 +15,7 @@ the rest is encoded as if it stood alone).  Every pre-token of every text goes t
 blocks, a pre-token that goes on in the next block stays open in the encoder, and for one that ends within the
 window a bounded table remembers what the encoder gave for it lately.
 
-**Decoder.**  ``StreamDecoder`` turns ids into text one at a time, in two forms: the library's (this kind of vocabulary file
+**Decoder.**  ``StreamDecoder`` turns ids into text as they come, in two forms: the library's (this kind of vocabulary file
 has no decoder, so token strings are joined by spaces) and the running text, for which it holds the
 bytes of an unfinished UTF-8 character.  At a word's end it is back in its first state, so a bounded table
 remembers what it gave for whole words.
@@ -33,6 +33,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import islice
 from operator import itemgetter
@@ -43,7 +44,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .blocks import clean, resident, trimmed
-from .bpe import Bounded, MergeTable
+from .bpe import FINAL, SPECIAL, Bounded, MergeTable
 
 #: Fixed value: the word vocabulary's pre-tokens.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
@@ -103,7 +104,7 @@ class StreamEncoder:
 
 
 class StreamDecoder:
-    """Ids to text, one at a time: ``names`` as the library decodes, ``text`` the running text, where an
+    """Ids to text, as they come: ``names`` as the library decodes, ``text`` the running text, where an
     end-of-word mark is a space and bytes wait for their character."""
 
     def __init__(self, table: MergeTable):
@@ -111,23 +112,32 @@ class StreamDecoder:
         self.bytes = codecs.getincrementaldecoder("utf-8")("replace")
         self.first = True
 
-    def names(self, token: int) -> str:
+    def names(self, ids: Iterable[int]) -> str:
         glue = "" if self.first else " "
         self.first = False
-        return glue + self.table.names[token]
-
-    def text(self, token: int) -> str:
-        name, mark = self.table.names[token], self.table.suffix
-        if token in self.table.marks:
-            return self.finish() + name
-        ends = bool(mark) and name.endswith(mark)
-        data = bytes(map(self.table.byte_of.__getitem__, name.removesuffix(mark) if ends else name))
-        return self.bytes.decode(data) + (self.finish() + " " if ends else "")
+        return glue + " ".join(map(self.table.names.__getitem__, ids))
+
+    def text(self, ids: Iterable[int]) -> str:
+        out, held = [], []
+        for token in ids:
+            own, kind = self.table.parsed[token]
+            if kind == SPECIAL:
+                out += self.bytes.decode(b"".join(held), True), self.table.names[token]
+                held.clear()
+                continue
+            held.append(own)
+            if kind == FINAL:
+                out += self.bytes.decode(b"".join(held), True), " "
+                held.clear()
+        out.append(self.bytes.decode(b"".join(held)))
+        return "".join(out)
 
     def finish(self) -> str:
-        text = self.bytes.decode(b"", True)
-        self.bytes.reset()
-        return text
+        return self.bytes.decode(b"", True)
+
+
+#: What left encoder and decoder for some ids: how many, the ids as decimals and as 32-bit numbers, both decoded forms.
+Shown = tuple[int, bytes, bytes, bytes, bytes]
 
 
 class Transcoder:
@@ -136,21 +146,23 @@ class Transcoder:
     def __init__(self, table: MergeTable, lookahead: int):
         self.table, self.lookahead = table, lookahead
         self.find, self.letters, self.signs = (regex.compile(x) for x in (PRE_TOKENS, LETTERS, SIGNS))
-        self.window = StreamEncoder(table, lookahead).window
+        self.encoder, self.decoder = StreamEncoder(table, lookahead), StreamDecoder(table)
+        self.window = self.encoder.window
         self.words = Bounded({}, self._word)
-        self.shown = Bounded({}, self._shown)
 
-    def _word(self, word: str) -> tuple[int, ...]:
-        stream = StreamEncoder(self.table, self.lookahead)
-        return (*stream.feed(word.encode("utf-8")), *stream.finish())
+    def _word(self, word: str) -> Shown:
+        """A whole word through encoder and decoder, which then are in their first states again."""
+        return self._shown((*self.encoder.feed(word.encode("utf-8")), *self.encoder.finish()), self.decoder)
+
+    def _shown(self, ids: tuple[int, ...], decoder: StreamDecoder) -> Shown:
+        decoder.first = True
+        return len(ids), " ".join(map(str, ids)).encode(), array("i", ids).tobytes(), decoder.names(ids).encode(), decoder.text(ids).encode()
 
-    def _shown(self, ids: tuple[int, ...]) -> tuple[int, bytes, bytes, bytes, bytes, bool]:
-        """Of ids from the decoder's first state: how many, as decimals, as 32-bit numbers, both decoded forms, and
-        whether the decoder is back in its first state."""
-        decoder = StreamDecoder(self.table)
-        names, text = "".join(map(decoder.names, ids)), "".join(map(decoder.text, ids))
-        whole = ids[-1] in self.table.marks or self.table.names[ids[-1]].endswith(self.table.suffix)
-        return len(ids), " ".join(map(str, ids)).encode(), np.array(ids, np.int32).tobytes(), names.encode(), text.encode(), whole
+    def _singly(self, ids: Iterable[int], decoder: StreamDecoder) -> Iterator[list[Shown]]:
+        """Ids of a word longer than the window, one by one as they come."""
+        each = ((i,) for i in ids)
+        while some := [self._shown(i, decoder) for i in islice(each, 4096)]:
+            yield some
 
     @staticmethod
     def normalise(text: str) -> str:
@@ -172,12 +184,12 @@ class Transcoder:
         if i < n:
             yield text[i:], False
 
-    def encode_words(self, text: str) -> Iterator[tuple[int, ...]]:
-        """Ids as they leave the encoder: those of a word that fits the window together, of a longer one one by one."""
-        stream = StreamEncoder(self.table, self.lookahead)
+    def shown(self, text: str) -> Iterator[list[Shown]]:
+        """What leaves encoder and decoder: together for a word that fits the window, of a longer one id by id."""
+        stream, decoder = StreamEncoder(self.table, self.lookahead), StreamDecoder(self.table)
         for special, part in self.table.segments(text):
             if special:
-                yield (self.table.special[part],)
+                yield [self._shown((self.table.special[part],), decoder)]
                 continue
             run = None  # what goes on the pre-token that is open in the encoder
             for block, inside in self.blocks(part):
@@ -185,10 +197,10 @@ class Transcoder:
                 if run:
                     more = run.match(block)
                     at = more.end() if more else 0
-                    yield from zip(stream.feed(block[:at].encode("utf-8")))
+                    yield from self._singly(stream.feed(block[:at].encode("utf-8")), decoder)
                     if at == len(block) and inside:
                         continue
-                    yield from zip(stream.finish())
+                    yield from self._singly(stream.finish(), decoder)
                     run = None
                 words = self.find.findall(block, at)
                 tail = words[-1] if words and inside and block.endswith(words[-1]) else ""
@@ -197,44 +209,39 @@ class Transcoder:
                 if run:
                     words.pop()
                 if not words or 4 * len(max(words, key=len)) <= self.window:
-                    yield from map(self.words.__getitem__, words)
+                    yield list(map(self.words.__getitem__, words))
                 else:
                     for word in words:
                         if 4 * len(word) <= self.window:
-                            yield self.words[word]
+                            yield [self.words[word]]
                         else:
-                            yield from zip(stream.feed(word.encode("utf-8")))
-                            yield from zip(stream.finish())
+                            yield from self._singly(stream.feed(word.encode("utf-8")), decoder)
+                            yield from self._singly(stream.finish(), decoder)
                 if run:
-                    yield from zip(stream.feed(tail.encode("utf-8")))
+                    yield from self._singly(stream.feed(tail.encode("utf-8")), decoder)
             if run:
-                yield from zip(stream.finish())
+                yield from self._singly(stream.finish(), decoder)
 
     def encode(self, text: str) -> list[int]:
-        return [i for word in self.encode_words(text) for i in word]
+        return np.frombuffer(b"".join(s[2] for some in self.shown(text) for s in some), np.int32).tolist()
 
     def decode(self, ids: Iterable[int]) -> str:
         """The running text of ids."""
         stream = StreamDecoder(self.table)
-        return "".join(map(stream.text, ids)) + stream.finish()
+        return stream.text(ids) + stream.finish()
 
     def names(self, ids: Iterable[int]) -> str:
         """What the library's ``decode`` gives for a vocabulary file without a decoder."""
-        return "".join(map(StreamDecoder(self.table).names, ids))
-
-    def transcoded(self, text: str) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
-        """What leaves encoder and decoder for the text, in stretches: number of ids, ids as decimals and as 32-bit numbers, and
-        both decoded forms, to be put one behind the other."""
-        words, decoder, glue, first = self.encode_words(text), StreamDecoder(self.table), b"", True
-        while some := list(islice(words, 50_000)):
-            rows = list(map(self.shown.__getitem__, some))
-            if first and all(map(itemgetter(5), rows)):
-                running = b"".join(map(itemgetter(4), rows))
-            else:  # ids of a word longer than the window come one by one
-                running = "".join(decoder.text(i) for ids in some for i in ids).encode()
-            yield sum(map(itemgetter(0), rows)), glue + b" ".join(map(itemgetter(1), rows)), b"".join(map(itemgetter(2), rows)), glue + b" ".join(map(itemgetter(3), rows)), running
-            glue, first = b" ", rows[-1][5]
-        yield 0, b"", b"", b"", decoder.finish().encode()
+        return StreamDecoder(self.table).names(ids)
+
+    def transcoded(self, text: str, columns: tuple[int, ...]) -> Iterator[tuple[int, list[bytes]]]:
+        """What leaves encoder and decoder for the text, in stretches to be put one behind the other: the number of ids, and
+        these columns of ``Shown``."""
+        glue = b""
+        for some in self.shown(text):
+            if some:
+                yield sum(map(itemgetter(0), some)), [glue + b" ".join(map(itemgetter(c), some)) if c in (1, 3) else b"".join(map(itemgetter(c), some)) for c in columns]
+                glue = b" "
 
 
 def seam(text: str, at: int) -> int:
@@ -271,10 +278,10 @@ def transcode(docs: DataFrame, vocab: bytes, digest: bool = False, running: bool
                 part = batch.slice(i, 64)
                 n, ids, decoded = [], [], []
                 for value in part.column(1):
-                    stretches = list(coder.transcoded(value.as_py()))
+                    stretches = list(coder.transcoded(value.as_py(), (2, 4 if running else 3)))
                     n.append(sum(s[0] for s in stretches))
-                    ids.append(b"".join(s[2] for s in stretches))
-                    decoded.append(b"".join(s[4 if running else 3] for s in stretches))
+                    ids.append(b"".join(s[1][0] for s in stretches))
+                    decoded.append(b"".join(s[1][1] for s in stretches))
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
                 yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), lists, pa.array(decoded, pa.binary()).cast(pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
@@ -284,9 +291,9 @@ def transcode(docs: DataFrame, vocab: bytes, digest: bool = False, running: bool
             rows = []
             for value in batch.column(1):
                 n, hashes = 0, [hashlib.sha256() for _ in range(3)]
-                for own, decimals, _, names, text in coder.transcoded(value.as_py()):
+                for own, columns in coder.transcoded(value.as_py(), (1, 3, 4)):
                     n += own
-                    for h, x in zip(hashes, (decimals, names, text), strict=True):
+                    for h, x in zip(hashes, columns, strict=True):
                         h.update(x)
                 rows.append((n, *(h.hexdigest() for h in hashes)))
             n, *sums = zip(*rows, strict=True) if rows else ((), (), (), ())
