@@ -12,23 +12,24 @@ distinct k-word shingles occur anywhere in the document.
   document is (a Jaccard signature would drown in a long document); and by the
   pigeonhole principle a document that holds ``threshold`` of the item holds at
   least one sketch shingle, so the search loses nothing.
-* **Verification.**  A candidate's containment is counted exactly, on the words
-  themselves.
+* **Verification.**  A candidate's containment is counted exactly: shingles are met by hash and compared as words, byte by byte.
 
 Documents are read in one narrow pass per block of items.  Items travel to the
-tasks in blocks of at most ``BLOCK_BYTES`` of text, one pass per block, so what
+tasks in blocks of at most ``BLOCK_BYTES`` of text (a longer item is a block of its own), as the text with the places of its words and
+the hashes of its shingles, about five times the text; one pass per block, so what
 is sent is bounded however large the benchmark is.
 
 Cases: A-Z are lower-cased, words are ``[^\\x20\\x09-\\x0D]+``; a text with fewer
-than ``k`` words is one shingle; items and documents without words (null or empty) match nothing;
-repeated rows are rows of their own; further columns are ignored.
+than ``k`` words is one shingle; items and documents without words (null or empty) match nothing; texts of any length are searched
+whole, slice by slice; a containment of just ``threshold`` (a tie) is a find; null ids are kept; repeated rows are rows of their own;
+without items or documents nothing is found; further columns are ignored, ``drop_contaminated`` keeps them.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from .blocks import clean, trimmed
 from .kernel import Words, shingles, words_of
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 SCHEMA = "doc_id long, item_id long, item_shingles long, shared long, containment double"
 
 
@@ -46,81 +47,93 @@ def least_overlap(q: int, threshold: float) -> int:
     return max(1, math.ceil(round(threshold * q, 9)))
 
 
-@dataclass
-class Partition:
-    """Items of between ``2**k`` and ``2**(k+1) - 1`` shingles: their sketches as one sorted table."""
-
-    least: int = 1 << 62
-    keys: list[int] = field(default_factory=list)
-    owners: list[int] = field(default_factory=list)
-
-    def freeze(self) -> tuple[int, np.ndarray, np.ndarray]:
-        keys, owners = np.array(self.keys, np.uint64), np.array(self.owners, np.int64)
-        order = np.argsort(keys, kind="stable")
-        return self.least, keys[order], owners[order]
+def shingle_table(words: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(row, hash, first word)`` of each row's distinct shingles, by row, then hash."""
+    h, row, first = shingles(words, k, True)
+    order = np.lexsort((first, h, row))
+    h, row, first = h[order], row[order], first[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return row[new], h[new], first[new]
 
 
 @dataclass
 class Index:
-    """Sketch tables by size partition, and each item's shingles as words."""
+    """Items as words, their shingles by item and hash, and sketch tables by size partition."""
 
     ids: list[int]
-    sets: list[frozenset[tuple[bytes, ...]]]
-    partitions: list[tuple[int, np.ndarray, np.ndarray]]
+    slices: list[Words]
+    part: np.ndarray  # of each item: its slice
+    size: np.ndarray  # its words in a shingle
+    cut: np.ndarray  # where its shingles begin and end
+    hash: np.ndarray
+    first: np.ndarray  # each shingle's first word in the slice
+    partitions: list[tuple[int, np.ndarray, np.ndarray]]  # least overlap, sketch hashes in order, their items
     threshold: float
     k: int
 
-
-def word_shingles(words: Words, first: int, n: int, k: int) -> frozenset[tuple[bytes, ...]]:
-    own = [words.text(i) for i in range(first, first + n)]
-    return frozenset(tuple(own[i : i + k]) for i in range(max(1, n - k + 1))) if own else frozenset()
+    def shingles(self, item: int) -> tuple[np.ndarray, np.ndarray]:
+        at = slice(self.cut[item], self.cut[item + 1])
+        return self.hash[at], self.first[at]
 
 
 def build_index(items: list[tuple[int, str]], threshold: float, k: int) -> Index:
-    index = Index([], [], [], threshold, k)
-    parts: dict[int, Partition] = {}
+    ids, parts, sizes, counts, slices, hashes, firsts = [], [], [], [], [], [], []
     for i, j, words in words_of(pa.array([t for _, t in items], pa.string()), True):
-        h, row, _ = shingles(words, k, True)
-        counts = words.counts()
-        begin = np.cumsum(counts) - counts
-        for r in range(j - i):
-            own = np.unique(h[row == r])
-            if not len(own):
-                continue
-            need = least_overlap(len(own), threshold)
-            part = parts.setdefault(len(own).bit_length(), Partition())
-            part.least = min(part.least, need)
-            part.keys += own[: len(own) - need + 1].tolist()
-            part.owners += [len(index.ids)] * (len(own) - need + 1)
-            index.ids.append(items[i + r][0])
-            index.sets.append(word_shingles(words, int(begin[r]), int(counts[r]), k))
-    index.partitions = [p.freeze() for _, p in sorted(parts.items())]
-    return index
+        row, h, first = shingle_table(words, k)
+        n, n_words = np.bincount(row, minlength=j - i), words.counts()
+        some = np.flatnonzero(n)
+        ids += [items[i + r][0] for r in some]
+        parts.append(np.full(len(some), len(slices), np.int32))
+        sizes.append(np.minimum(n_words[some], k))
+        counts.append(n[some])
+        hashes.append(h)
+        firsts.append(first.astype(np.uint32))
+        words.start, words.end, words.row, words._hash = words.start.astype(np.uint32), words.end.astype(np.uint32), words.row[:0], None
+        slices.append(words)
+    count = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+    h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    cut = np.r_[0, np.cumsum(count)]
+    need = np.array([least_overlap(int(q), threshold) for q in count], np.int64)
+    sketch = np.arange(len(h)) - np.repeat(cut[:-1], count) <= np.repeat(count - need, count)
+    owner, level = np.repeat(np.arange(len(count)), count), np.floor(np.log2(np.maximum(count, 1))).astype(int)
+    partitions = []
+    for own in np.unique(level):
+        at = np.flatnonzero(sketch & (level[owner] == own))
+        order = at[np.argsort(h[at], kind="stable")]
+        partitions.append((int(need[level == own].min()), h[order], owner[order].astype(np.int32)))
+    join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
+    return Index(ids, slices, join(parts, np.int32), join(sizes, np.int64), cut, h, join(firsts, np.uint32), partitions, threshold, k)
+
+
+def same_words(a: Words, i: int, b: Words, j: int, n: int) -> bool:
+    return all(a.text(i + x) == b.text(j + x) for x in range(n))
 
 
 def search(index: Index, words: Words) -> Iterator[tuple[int, int, int]]:
     """``(row, item, shared shingles)`` of verified finds in a slice of documents."""
-    h, row, _ = shingles(words, index.k, True)
+    row, h, first = shingle_table(words, index.k)
     size = np.bincount(row, minlength=words.n_rows)
-    pairs: set[tuple[int, int]] = set()
-    for least, keys, owners in index.partitions:
-        at = np.searchsorted(keys, h)
-        hit = np.flatnonzero((at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == h) & (size[row] >= least))
-        for x in hit:
-            i = at[x]
-            while i < len(keys) and keys[i] == h[x]:
-                pairs.add((int(row[x]), int(owners[i])))
-                i += 1
-    if not pairs:
-        return
-    counts = words.counts()
-    begin = np.cumsum(counts) - counts
-    seen, own = -1, frozenset()
-    for r, item in sorted(pairs):
-        if r != seen:
-            seen, own = r, word_shingles(words, int(begin[r]), int(counts[r]), index.k)
-        shared = len(index.sets[item] & own)
-        if shared >= least_overlap(len(index.sets[item]), index.threshold):
+    found = []
+    for least, sketch, owners in index.partitions:
+        a, b = np.searchsorted(sketch, h, "left"), np.searchsorted(sketch, h, "right")
+        met = np.flatnonzero((b > a) & (size[row] >= least))
+        n = (b - a)[met]
+        at = np.repeat(a[met] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        found.append(np.repeat(row[met], n) * len(index.ids) + owners[at])
+    pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    n_words = words.counts()
+    for r, item in zip((pairs // len(index.ids)).tolist(), (pairs % len(index.ids)).tolist(), strict=True):
+        a, b = np.searchsorted(row, [r, r + 1])
+        own, at = index.shingles(item)
+        near = np.minimum(np.searchsorted(h[a:b], own), b - a - 1)
+        hit = np.flatnonzero(h[a:b][near] == own)
+        n, need = int(index.size[item]), least_overlap(len(own), index.threshold)
+        if len(hit) < need or n != min(index.k, n_words[r]):
+            continue
+        other = index.slices[index.part[item]]
+        shared = sum(same_words(words, int(first[a + near[x]]), other, int(at[x]), n) for x in hit)
+        if shared >= need:
             yield r, item, shared
 
 
@@ -150,7 +163,7 @@ def find_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, k: int
             for batch in batches:
                 ids, rows = batch.column(0), []
                 for i, _, words in words_of(batch.column(1), True):
-                    rows += [(ids[i + r].as_py(), index.ids[item], len(index.sets[item]), shared) for r, item, shared in search(index, words)]
+                    rows += [(ids[i + r].as_py(), index.ids[item], int(index.cut[item + 1] - index.cut[item]), shared) for r, item, shared in search(index, words)]
                 if rows:
                     d, item, q, s = (pa.array(x, pa.int64()) for x in zip(*rows, strict=True))
                     share = pa.array([b / a for _, _, a, b in rows], pa.float64())
