@@ -28,8 +28,9 @@ Documents travel packed and compressed, by a hash of their id.
 Cases: words are ``[^\\x20\\x09-\\x0D]+``, unchanged; null, empty and short texts
 have no windows and lose nothing; rows that repeat a ``doc_id`` are read one after
 the other, in the order of their texts, as parts of one document that no window spans; rows with a
-null ``doc_id`` likewise form one last document; further columns are ignored; empty
-tables give empty results.
+null ``doc_id`` come after all others, in the order of a hash of their texts, each a document (rows of equal texts
+one after the other), so that they spread over all blocks; ids are under ``2**62``, a greater one is an error; texts of any length are read
+whole; of equal windows (ties) the earliest stays; further columns are ignored; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ from .ngram_join import doc_block
 from .shared import fresh_path, stored
 
 GRAM = 8
-NULL_ID = (1 << 63) - 1
+NULL_ID = 1 << 62  # ids from here on stand for rows without one
 WINDOW_TYPE = np.dtype([("h1", "<u8"), ("h2", "<u4"), ("pos", "<u4")])
 BYTES = 16 << 20
 BUFFER_ROWS = 500_000
@@ -141,7 +142,11 @@ def settle(doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def ids_of(batch: pa.RecordBatch) -> np.ndarray:
-    return np.asarray(batch.column(0).fill_null(NULL_ID), np.int64)
+    """The ids; a row without one gets a number of its text, after all ids."""
+    ids = np.array(batch.column(0).fill_null(NULL_ID), np.int64)
+    for i in np.flatnonzero(~np.asarray(batch.column(0).is_valid())):
+        ids[i] |= int.from_bytes(hashlib.blake2b(batch.column(1)[i].as_buffer(), digest_size=8).digest(), "little") >> 2
+    return ids
 
 
 def print_rows(docs: DataFrame, window: int, gram: int, blocks: int) -> DataFrame:
@@ -250,8 +255,7 @@ def window_rows(dealt: DataFrame, window: int, gram: int, blocks: int) -> DataFr
             order = np.lexsort((mark, doc))
             doc, mark = doc[order], mark[order]
             for i, offset, words in documents_of(rows):
-                a, b = np.searchsorted(doc, [i, i + 1] if i < NULL_ID else [i, i], "left")
-                b = len(doc) if i == NULL_ID else b
+                a, b = np.searchsorted(doc, [i, i + 1], "left")
                 if a == b:
                     continue
                 at, h = fingerprints(words, window, gram)
@@ -271,6 +275,17 @@ def window_rows(dealt: DataFrame, window: int, gram: int, blocks: int) -> DataFr
     return dealt.mapInArrow(trimmed(run), SCHEMA)
 
 
+def seen_before(old: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Which of the sequences ``own`` are among ``old``."""
+    both = np.concatenate([old, own])
+    order = np.lexsort((np.arange(len(both)), both["h2"], both["h1"]))  # of equal ones an old one comes first
+    sorted_ = both[order]
+    new = np.r_[True, (sorted_["h1"][1:] != sorted_["h1"][:-1]) | (sorted_["h2"][1:] != sorted_["h2"][:-1])]
+    known = np.empty(len(both), bool)
+    known[order] = (order[new] < len(old))[np.cumsum(new) - 1]
+    return known[len(old) :]
+
+
 def later_windows(dealt: DataFrame, blocks: int) -> DataFrame:
     """Per hash block: the starts of all but the earliest window of each sequence (CUT), and
     the batch's sequences as a new sorted run (SEEN)."""
@@ -290,10 +305,7 @@ def later_windows(dealt: DataFrame, blocks: int) -> DataFrame:
             later = ~first
             runs = [np.frombuffer(f[2], SEQUENCE_TYPE) for k, f in rows if k == SEEN]
             if runs:
-                old = np.concatenate(runs)
-                near = np.isin(own["h1"], old["h1"], kind="sort")
-                known = set(old[np.isin(old["h1"], own["h1"][near], kind="sort")].tolist())
-                later = later | np.array([x in known for x in own.tolist()] if near.any() else np.zeros(len(own), bool))
+                later = later | seen_before(np.concatenate(runs), own)
             yield from cuts.add(doc_block(doc[later], blocks), doc[later], value["pos"][later])
             yield pack(np.array([block]), SEEN, [[None], [None], [own[first].tobytes()]])
         yield from cuts.flush()
@@ -320,7 +332,7 @@ def cut_documents(dealt: DataFrame, window: int, digest: bool) -> DataFrame:
                 np.add.at(cover, np.minimum(at + window, n), -1)
                 gone = np.cumsum(cover)[:n] > 0
                 kept = kept_text(words, ~gone)
-                out.append((None if i == NULL_ID else i, n, int(gone.sum()), hashlib.sha256(kept).hexdigest() if digest else kept.decode("utf-8")))
+                out.append((None if i >= NULL_ID else i, n, int(gone.sum()), hashlib.sha256(kept).hexdigest() if digest else kept.decode("utf-8")))
                 if len(out) == 256:
                     yield rows_of(out, digest)
                     out = []
@@ -441,7 +453,9 @@ def dedup_substrings(docs: DataFrame, window: int = 20, batches: int = 1, digest
     """The whole table through a new index, in ``batches`` parts by rising ``doc_id``; over ``max_runs`` runs are compacted."""
     spark = docs.sparkSession
     source = clean(docs, text=text, key=key)
-    n_bytes = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n_bytes, last = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.max("doc_id")).first()
+    if last is not None and last >= NULL_ID:
+        raise ValueError(f"doc_id {last} is not under 2**62")
     blocks = plan_blocks(int(n_bytes) // 8)
     index = SubstringIndex(spark, blocks, window, max_runs=max_runs)
     if batches == 1:

@@ -291,7 +291,7 @@ def test_transcode(docs, rows, empty):
     assert bpe_stream.transcode(empty, vocab).count() == 0
 
 
-def test_decontaminate(spark, rows, docs, empty):
+def test_decontaminate(spark, rows, docs, empty, monkeypatch):
     r = np.random.default_rng(3)
     items = [(0, None), (1, "")]
     for k, (_, t) in enumerate(rows):
@@ -316,11 +316,25 @@ def test_decontaminate(spark, rows, docs, empty):
     kept = decontaminate.drop_contaminated(docs, frame)
     assert kept.columns == docs.columns
     assert {x.doc_id for x in kept.collect()} == {d for d, _ in rows} - {w[0] for w in want}
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 200)
+    assert {(x.doc_id, x.item_id, x.item_shingles, x.shared) for x in decontaminate.find_items(docs, frame).collect()} == want
     assert decontaminate.find_items(empty, frame).count() == 0
     assert decontaminate.find_items(docs, frame.limit(0)).count() == 0
     assert decontaminate.contaminated_summary(got).count() == len({w[0] for w in want})
 
 
+def test_index_of_items_is_small():
+    """What travels is a few times the items' text."""
+    import pickle
+
+    r = np.random.default_rng(6)
+    items = [(i, " ".join(f"word{x}" for x in r.integers(0, 5000, 60))) for i in range(2000)]
+    index = decontaminate.build_index(items, 0.8, 5)
+    assert len(pickle.dumps(index, 5)) < 6 * sum(len(t) for _, t in items)
+    for i, _, words in kernel.words_of(pa.array([items[7][1], "no", items[9][1] + " tail", None], pa.string()), True):
+        assert [(i + r, index.ids[item]) for r, item, _ in decontaminate.search(index, words)] == [(0, 7), (2, 9)]
+
+
 @pytest.mark.parametrize("batches", [1, 3, 6])
 def test_substring_dedup(docs, rows, batches, monkeypatch):
     monkeypatch.setattr(substring_dedup, "BUFFER_ROWS", 50)
@@ -350,6 +364,19 @@ def test_substring_dedup_cases(spark, empty):
     w = " ".join(f"w{i}" for i in range(25))
     got = sorted((r.doc_id if r.doc_id is not None else 99, r.n_words, r.n_removed) for r in substring_dedup.dedup_substrings(cases.frame(spark, [(None, w), (5, w), (5, w), (4, None)])).collect())
     assert got == [(4, 0, 0), (5, 25, 0), (5, 25, 25), (99, 25, 25)]
+    rows = [(None, f"{w} own{i}") for i in range(6)] + [(None, None), (1 << 61, "a b")]
+    assert sorted(r.n_removed for r in substring_dedup.dedup_substrings(cases.frame(spark, rows), batches=2).collect()) == [0, 0, 0] + [25] * 5
+    with pytest.raises(ValueError, match="2\\*\\*62"):
+        substring_dedup.dedup_substrings(cases.frame(spark, [(1 << 62, w)]))
+
+
+def test_sequences_seen_before():
+    r = np.random.default_rng(4)
+    old, own = (np.array([(int(a), int(b)) for a, b in r.integers(0, 6, (40, 2))], substring_dedup.SEQUENCE_TYPE) for _ in range(2))
+    own = np.concatenate([own, np.array([(99, 1)], substring_dedup.SEQUENCE_TYPE)])
+    known = {tuple(x) for x in old.tolist()}
+    assert substring_dedup.seen_before(old, own).tolist() == [tuple(x) in known for x in own.tolist()]
+    assert not substring_dedup.seen_before(old[:0], own).any()
 
 
 def brute_dialogues(rows):
