@@ -20,11 +20,10 @@ WINDOWS = f"""{CLAIMS},
 
 @_c.add(
     "claims_reify",
-    f"""WITH {EDGES} SELECT DISTINCT 'claim:' || sha256(subject || '|' || predicate || '|' || object) AS claim_id, subject, predicate, object FROM edges WHERE predicate IN ('PLACED', 'IN_NATION')""",
+    f"""WITH {EDGES} SELECT DISTINCT 'claim:' || sha256(subject || '|' || predicate || '|' || object) AS claim_id, subject, predicate, object FROM edges""",
 )
 def claims_reify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = trade_edges(spark, sf_dir).filter(F.col("predicate").isin("PLACED", "IN_NATION"))
-    return ops.reify(edges, trade_nodes(spark, sf_dir)).select("claim_id", "subject", "predicate", "object")
+    return ops.reify(trade_edges(spark, sf_dir), trade_nodes(spark, sf_dir)).select("claim_id", "subject", "predicate", "object")
 
 
 @_c.add(

@@ -89,6 +89,28 @@ _gql(
     "MATCH (c:Customer)-[:PLACED]->(o:Order) WHERE o.amount > 100000 RETURN count(o) AS n",
     "SELECT count(*) AS n FROM orders WHERE o_totalprice > 100000 HAVING count(*) > 0",
 )
+_gql(
+    "gql_in",
+    _supply,
+    "MATCH (n)-[:IN_REGION]->(r:Region) WHERE 'Nation' IN labels(n) AND NOT n.name IN labels(r) RETURN id(n) AS id, r.name AS region",
+    "SELECT 'nation:' || n_nationkey AS id, r_name AS region FROM nation JOIN region ON r_regionkey = n_regionkey",
+)
+_gql(
+    "gql_same_region",
+    _supply,
+    "MATCH (a:Nation)-[:IN_REGION]->(r:Region)<-[:IN_REGION]-(b:Nation) WHERE b.name > 'J' RETURN a.name AS a, r.name AS region, b.name AS b",
+    """SELECT x.n_name AS a, r_name AS region, y.n_name AS b FROM nation x JOIN region ON r_regionkey = x.n_regionkey
+       JOIN nation y ON y.n_regionkey = r_regionkey AND y.n_nationkey <> x.n_nationkey WHERE y.n_name > 'J'""",
+)
+
+
+@_c.add(
+    "gql_row_cap",
+    """SELECT id, c_name AS name, count(*) OVER () > 40 AS truncated FROM (
+         SELECT 'order:' || o_orderkey AS id, c_name FROM orders JOIN customer ON c_custkey = o_custkey ORDER BY 1, 2 LIMIT 41) ORDER BY 1, 2 LIMIT 40""",
+)
+def gql_row_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gql.run_capped("MATCH (c:Customer)-[:PLACED]->(o:Order) RETURN id(o) AS id, c.name AS name", trade_nodes(spark, sf_dir), trade_edges(spark, sf_dir), most=40)
 
 
 @_c.add(

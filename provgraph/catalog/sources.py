@@ -107,17 +107,9 @@ def prov_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_activities(made, links)
 
 
-@_c.add("html_blocks", r"SELECT page_id, len(regexp_extract_all(html, '(?i)<h1[\s>]')) AS headings FROM pages WHERE regexp_matches(html, '(?i)<h1[^>]*>[^<]*[A-Za-z][^<]*</h1>')")
+@_c.add("html_blocks")
 def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = read(spark, sf_dir, "pages").select("page_id", F.col("html").cast("binary").alias("content"), F.lit(".html").alias("extension"), F.col("page_id").cast("string").alias("path"), "html")
-    docs, _ = corpus.ingest(pages.select("path", "extension", "content"))
-    found = docs.select(F.col("path").cast("long").alias("page_id"), "text").filter(F.length("text") > 0)
-    return found.join(pages.filter(F.col("html").rlike("(?i)<h1[^>]*>[^<]*[A-Za-z][^<]*</h1>")), "page_id").select("page_id", F.size(fx.matches("html", r"(?i)<h1[\s>]")).alias("headings"))
-
-
-@_c.add("html_page_blocks")
-def html_page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The parsed blocks of all pages; ``html_blocks`` counts headings only."""
+    """The parsed blocks of all pages."""
     pages = read(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.lit(".html").alias("extension"), F.coalesce("html", F.lit("")).cast("binary").alias("content"))
     return corpus.file_blocks(pages).select(F.col("path").cast("long").alias("page_id"), "ord", "kind", "level", "text")
 

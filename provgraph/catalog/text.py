@@ -41,21 +41,11 @@ def normalize_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_c.add(
     "content_address",
-    r"""SELECT doc_id AS id, 'sha256:' || sha256(text) AS doc_hash, 'edge:' || sha256(source || '|HAS|' || doc_id) AS edge_hash,
-        CASE WHEN strlen(text) >= 20 THEN sha256(substr(text, 1, 20)) END AS span FROM documents WHERE regexp_full_match(text, '[\x00-\x7F\n]*')""",
-)
-def content_address(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents").filter(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return d.select(F.col("doc_id").alias("id"), doc_id("text").alias("doc_hash"), content_id("edge", "source", F.lit("HAS"), "doc_id").alias("edge_hash"), span_hash("text", F.lit(0), F.lit(20)).alias("span"))
-
-
-@_c.add(
-    "content_address_utf8",
     r"""SELECT doc_id AS id, 'sha256:' || sha256(text) AS doc_hash, 'edge:' || sha256(coalesce(source, '') || '|HAS|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS edge_hash,
         CASE WHEN strlen(text) >= 20 THEN sha256(unhex(substr(hex(encode(text)), 1, 40))) END AS span FROM documents""",
 )
-def content_address_utf8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``content_address`` of all rows: the hashes and the span are those of the UTF-8 bytes."""
+def content_address(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes of the UTF-8 bytes of all rows, and of a span of them."""
     d = read(spark, sf_dir, "documents")
     return d.select(F.col("doc_id").alias("id"), doc_id("text").alias("doc_hash"), content_id("edge", "source", F.lit("HAS"), "doc_id").alias("edge_hash"), span_hash("text", F.lit(0), F.lit(20)).alias("span"))
 

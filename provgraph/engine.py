@@ -65,7 +65,8 @@ class Engine:
         return gql.run(text, self.nodes, self.edges)
 
     def search(self, query: str, k: int = 5, budget: int = 1500) -> DataFrame:
-        """Lexical, graph and dense ranks of chunks and entities, fused, reranked and cut to a budget."""
+        """Lexical, graph and dense ranks of chunks and entities, fused, reranked and cut to a budget; ``routing`` is
+        ``local`` where the question names an entity that the walk ranks, else ``global``."""
         wide = max(2 * k, 10)
         chunks = self.nodes.filter(F.array_contains("labels", "Chunk")).select("node_id", F.col("props")["text"].alias("text"))
         lexical = analytics.cut(retrieval.bm25(chunks, query, wide, key="node_id"))
@@ -83,7 +84,9 @@ class Engine:
         kind = F.when(F.array_contains("labels", "Chunk"), "chunk").otherwise("entity")
         named = fused.join(self.nodes.select("node_id", kind.alias("kind"), F.coalesce(F.col("props")["text"], "name").alias("name")), "node_id").withColumnRenamed("node_id", "id")
         hits = retrieval.rerank(named, query, k).join(named.select("id", "name"), "id")
-        return retrieval.within_budget(hits, [F.col("rank"), F.desc("kind"), F.col("id")], "name", budget).orderBy("position")
+        routed = self.resolve(query)
+        routing = "local" if routed and not top.filter(F.col("node_id") == routed).isEmpty() else "global"
+        return retrieval.within_budget(hits, [F.col("rank"), F.desc("kind"), F.col("id")], "name", budget).withColumn("routing", F.lit(routing)).orderBy("position")
 
     def neighbors(self, name: str, k: int = 20) -> DataFrame:
         return graph_tools.neighbors(self.nodes, self.edges, self.resolve(name) or name, k)
@@ -101,13 +104,38 @@ class Engine:
     def why(self, name: str, k: int = 8) -> DataFrame:
         return claims.why(self.claims(), self.resolve(name) or name, k)
 
+    def rationale(self, name: str, most: int = 5) -> DataFrame:
+        """Names of the rationale marks in the documents that a node's claims cite (in all, if they cite none)."""
+        cites = self.edges.filter("predicate in ('SUBJECT_OF', 'HAS_OBJECT')").select(F.when(F.col("predicate") == "SUBJECT_OF", F.col("object")).otherwise(F.col("subject")).alias("claim_id"), F.explode("source_spans").alias("s"))
+        docs = analytics.cut(cites.join(claims.why(self.claims(), self.resolve(name) or name, None), "claim_id", "left_semi").select(F.col("s.doc_id").alias("doc_id")).distinct())
+        return claims.rationale_names(self.nodes, self.edges, docs, most)
+
     def timeline(self, name: str) -> DataFrame:
         return claims.timeline(self.claims(), self.resolve(name) or name)
 
     def inspect(self, name: str) -> DataFrame:
-        """Tags of the edges at a node."""
+        """``section, key, value``: tags of a node's relations, its canonical node and that one's members, the documents that
+        cite it, and its claims, those with an end as superseded."""
         at = self.resolve(name) or name
-        return graph_tools.tag_counts(self.edges.filter((F.col("subject") == at) | (F.col("object") == at)))
+        touching = (F.col("subject") == at) | (F.col("object") == at)
+        tags = graph_tools.tag_counts(self.relations.filter(touching))
+        same = self.edges.filter("predicate = 'SAME_AS'")
+        own = same.filter(F.col("subject") == at).select(F.col("object").alias("canonical"))
+        members = same.join(own, F.col("object") == F.col("canonical"), "left_semi").select(F.col("subject").alias("node_id")).join(self.nodes.select("node_id", "name"), "node_id")
+        cited = self.edges.filter(touching).select(F.explode("source_spans").alias("s")).select(F.col("s.doc_id").alias("doc_id")).distinct()
+        about = claims.timeline(self.claims().withColumn("predicate", F.concat_ws(" ", "subject", "predicate", "object")), at, "t_invalid")
+        ended = F.when(F.col("t_invalid").isNotNull(), "superseded").otherwise("claim")
+        rows = [
+            tags.select(F.lit("tag").alias("section"), F.col(tags.columns[0]).cast("string").alias("key"), F.col(tags.columns[-1]).cast("string").alias("value")),
+            own.join(self.nodes.select(F.col("node_id").alias("canonical"), "name"), "canonical").select(F.lit("canonical"), "canonical", "name"),
+            members.select(F.lit("member"), "node_id", "name"),
+            cited.select(F.lit("document"), "doc_id", F.lit(None).cast("string")),
+            about.select(ended, "claim_id", "predicate"),
+        ]
+        out = rows[0]
+        for more in rows[1:]:
+            out = out.union(more)
+        return out.orderBy("section", "key")
 
     def contradictions(self) -> DataFrame:
         return self.edges.filter("predicate = 'CONTRADICTS'").select("subject", "object", "confidence")

@@ -152,13 +152,23 @@ def contradictions(claims: DataFrame) -> DataFrame:
     return pairs.select(*triple, F.least("p", "n").alias("claim_a"), F.greatest("p", "n").alias("claim_b"), F.least("cp", "cn").alias("confidence"))
 
 
-def timeline(claims: DataFrame, node_id: str) -> DataFrame:
+def timeline(claims: DataFrame, node_id: str, *more: str) -> DataFrame:
     """Claims about a node by date, undated last."""
     about = claims.filter((F.col("subject") == node_id) | (F.col("object") == node_id))
-    return about.select("claim_id", "predicate", "object", "polarity", "t_valid").orderBy(F.asc_nulls_last("t_valid"), "claim_id")
+    return about.select("claim_id", "predicate", "object", "polarity", "t_valid", *more).orderBy(F.asc_nulls_last("t_valid"), "claim_id")
 
 
-def why(claims: DataFrame, node_id: str, k: int) -> DataFrame:
-    """The surest claims about a node."""
+def rationale_names(nodes: DataFrame, edges: DataFrame, docs: DataFrame, most: int) -> DataFrame:
+    """``name``: the first names of rationale marks whose edges cite one of ``docs(doc_id)``, or any if there are none."""
+    marks = nodes.filter(F.array_contains("labels", "Rationale")).select("node_id", "name")
+    ends = edges.select(F.explode(F.array("subject", "object")).alias("node_id"), F.explode("source_spans").alias("s")) if "source_spans" in edges.columns else None
+    if ends is not None and not docs.isEmpty():
+        near = ends.select("node_id", F.col("s.doc_id").alias("doc_id")).join(docs, "doc_id", "left_semi").select("node_id")
+        marks = marks.join(near, "node_id", "left_semi")
+    return marks.select("name").distinct().orderBy("name").limit(most)
+
+
+def why(claims: DataFrame, node_id: str, k: int | None) -> DataFrame:
+    """The surest claims about a node, all of them without ``k``."""
     about = claims.filter((F.col("subject") == node_id) | (F.col("object") == node_id))
-    return about.select("claim_id", "subject", "predicate", "object", "confidence").orderBy(F.desc("confidence"), "claim_id").limit(k)
+    return about.select("claim_id", "subject", "predicate", "object", "confidence").orderBy(F.desc("confidence"), "claim_id").limit(k if k is not None else (1 << 31) - 1)

@@ -39,19 +39,34 @@ def smallest_container(inner: DataFrame, outer: DataFrame, key: str, inner_id: s
     return met.groupBy(key, inner_id).agg(F.min_by(outer_id, F.struct(F.col("__e") - F.col("__s"), F.col(outer_id))).alias(outer_id))
 
 
+def _carried(points: DataFrame, marks: DataFrame, key: str, at: str, mark_at: str, value: str, back: bool) -> DataFrame:
+    """Points and marks in one sorted line, cut into ranges of (key, place), so that a hot key is many ranges: within a
+    range the nearest mark's value is found by a window, and a range without one yet takes that of the ranges before it
+    (after it, with ``back``).  Only one row a range and key is carried over."""
+    from .analytics import cut
+
+    m = marks.select(F.col(key), F.col(mark_at).alias("__at"), F.lit(int(back)).alias("__kind"), F.col(value).alias("__v"))
+    p = points.select(F.col(key), F.col(at).alias("__at"), F.lit(int(not back)).alias("__kind"), F.lit(None).cast(marks.schema[value].dataType).alias("__v"), F.struct(*points.columns).alias("__row"))
+    both = m.withColumn("__row", F.lit(None).cast(p.schema["__row"].dataType)).unionByName(p).withColumn("__tie", F.xxhash64("__row", "__v"))
+    ranges = max(1, int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    line = cut(both.repartitionByRange(ranges, key, "__at", "__kind", "__tie").withColumn("__part", F.spark_partition_id()))
+    order = [F.col(c).desc() if back else F.col(c).asc() for c in ("__at", "__kind", "__tie")]
+    parts = F.col("__part").desc() if back else F.col("__part").asc()
+    nearest = F.min_by if back else F.max_by
+    ends = line.groupBy(key, "__part").agg(nearest(F.col("__v"), F.when(F.col("__v").isNotNull(), F.struct("__at", "__tie"))).alias("__end"))
+    before = W.partitionBy(key).orderBy(parts).rowsBetween(W.unboundedPreceding, -1)
+    carry = ends.select(F.col(key).alias("__ck"), F.col("__part").alias("__cp"), F.last("__end", ignorenulls=True).over(before).alias("__carry"))
+    within = F.last("__v", ignorenulls=True).over(W.partitionBy(key, "__part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    own = line.withColumn("__near", within).filter(F.col("__kind") != int(back))
+    own = own.join(carry, (F.col("__part") == F.col("__cp")) & F.col(key).eqNullSafe(F.col("__ck")), "left")
+    return own.select("__row.*", F.coalesce("__near", "__carry").alias(value))
+
+
 def last_before(points: DataFrame, marks: DataFrame, key: str, at: str, mark_at: str, value: str) -> DataFrame:
-    """Each point with the value of the last mark at or before it (as-of join by window)."""
-    m = marks.select(F.col(key), F.col(mark_at).alias("__at"), F.lit(0).alias("__kind"), F.col(value).alias("__v"), F.lit(None).alias("__row"))
-    p = points.select(F.col(key), F.col(at).alias("__at"), F.lit(1).alias("__kind"), F.lit(None).cast(marks.schema[value].dataType).alias("__v"), F.struct(*points.columns).alias("__row"))
-    both = m.withColumn("__row", F.lit(None).cast(p.schema["__row"].dataType)).unionByName(p)
-    w = W.partitionBy(key).orderBy("__at", "__kind").rowsBetween(W.unboundedPreceding, 0)
-    return both.withColumn(value, F.last("__v", ignorenulls=True).over(w)).filter("__kind = 1").select("__row.*", value)
+    """Each point with the value of the last mark at or before it (as-of join)."""
+    return _carried(points, marks, key, at, mark_at, value, back=False)
 
 
 def first_after(points: DataFrame, marks: DataFrame, key: str, at: str, mark_at: str, value: str) -> DataFrame:
     """Each point with the value of the first mark at or after it."""
-    m = marks.select(F.col(key), F.col(mark_at).alias("__at"), F.lit(1).alias("__kind"), F.col(value).alias("__v"))
-    p = points.select(F.col(key), F.col(at).alias("__at"), F.lit(0).alias("__kind"), F.lit(None).cast(marks.schema[value].dataType).alias("__v"), F.struct(*points.columns).alias("__row"))
-    both = m.withColumn("__row", F.lit(None).cast(p.schema["__row"].dataType)).unionByName(p)
-    w = W.partitionBy(key).orderBy(F.col("__at"), F.col("__kind")).rowsBetween(0, W.unboundedFollowing)
-    return both.withColumn(value, F.first("__v", ignorenulls=True).over(w)).filter("__kind = 0").select("__row.*", value)
+    return _carried(points, marks, key, at, mark_at, value, back=True)

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from ..functions.text import acronym, normal_name, stripped_name, suffix_family
 
 MATCH = 0.86
+MAX_LINKED = 3_000  # 4.5 million pairs
 
 
 def jaro(a: str, b: str) -> float:
@@ -113,7 +114,8 @@ def score_pairs(features: DataFrame) -> DataFrame:
 
 def clusters(recs: DataFrame, matched: DataFrame, threshold: float = MATCH) -> DataFrame:
     """``id, cluster``: complete linkage.  Merges never cross a connected component of the matches,
-    so each component is clustered by itself (pairs that weren't candidates are scored afresh)."""
+    so each component is clustered by itself (pairs that weren't candidates are scored afresh).  It takes all pairs of
+    a component in one task, so one of over ``MAX_LINKED`` records is refused."""
     from .analytics import connected_components
 
     linked = matched.filter(F.col("score") >= threshold)
@@ -121,6 +123,8 @@ def clusters(recs: DataFrame, matched: DataFrame, threshold: float = MATCH) -> D
     members = recs.join(comp.select(F.col("node_id").alias("id"), "component"), "id")
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > MAX_LINKED:
+            raise ValueError(f"{len(pdf)} records are connected by matches; complete linkage takes {MAX_LINKED} at most: raise the threshold or block more narrowly")
         rows = {r.id: r for r in pdf.itertuples()}
         ids = sorted(rows)
 

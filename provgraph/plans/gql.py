@@ -19,10 +19,13 @@ import re
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.analytics import cut
+
+MAX_ROWS = 10_000
 MAX_HOPS = 8
 KEYWORDS = {
     "MATCH", "WHERE", "RETURN", "DISTINCT", "ORDER", "BY", "ASC", "DESC", "SKIP", "LIMIT", "AND", "OR", "NOT", "CONTAINS", "STARTS", "ENDS", "WITH", "IN", "AS", "TRUE", "FALSE", "NULL",
@@ -345,6 +348,43 @@ class Compiler:
         return out if step.direction == "out" else back if step.direction == "in" else out.unionByName(back)
 
     def _match(self, q: Query) -> DataFrame:
+        return self._walk(q) if q.path or any(r.most > 1 for r in q.rels) else self._chain(q)
+
+    def _chain(self, q: Query) -> DataFrame:
+        """A pattern of single steps, from the end that is told apart most: joins on ids, no arrays."""
+        order = list(range(len(q.rels)))
+        back = self._told_apart(q, q.nodes[-1]) > self._told_apart(q, q.nodes[0])
+        at = len(order) if back else 0
+        order = order[::-1] if back else order
+        frame, bound = self._node(q.nodes[at], at), [at]
+        for i in order:
+            edge = self._edge(q.rels[i])
+            here = at
+            at = i + 1 if at == i else i
+            near, far = ("from", "to") if here == i else ("to", "from")
+            hop = edge.select(F.col(near).alias("near"), F.col(far).alias("far"), *(F.col(c).alias(f"r{i}__{c}") for c in edge.columns if c not in ("from", "to")))
+            frame = frame.join(hop, frame[f"n{here}__node_id"] == hop["near"])
+            for n in bound:  # no node twice
+                frame = frame.filter(F.col("far") != F.col(f"n{n}__node_id"))
+            node = self._node(q.nodes[at], at)
+            frame = frame.join(node, frame["far"] == node[f"n{at}__node_id"]).drop("near", "far")
+            bound.append(at)
+        for i, n in enumerate(q.nodes):
+            if n.var and self.vars[n.var] != f"n{i}":
+                frame = frame.filter(F.col(f"{self.vars[n.var]}__node_id") == F.col(f"n{i}__node_id"))
+        for i, r in enumerate(q.rels):
+            if r.var and self.vars[r.var] != f"r{i}":
+                frame = frame.filter(F.col(f"{self.vars[r.var]}__edge_id") == F.col(f"r{i}__edge_id"))
+        return frame
+
+    def _told_apart(self, q: Query, node: NodeStep) -> int:
+        """How many properties of a node the pattern and the conjuncts of WHERE fix or compare with a literal."""
+        parts = q.where[1] if q.where and q.where[0] == "and" else [q.where] if q.where else []
+        compared = [e for e in parts if e[0] == "cmp" and e[1] != "<>" and any(x[0] == "prop" and x[1] == node.var for x in e[2:]) and any(x[0] == "lit" for x in e[2:])]
+        return len(node.props) + len(compared)
+
+    def _walk(self, q: Query) -> DataFrame:
+        """A pattern with quantified steps or a path variable: the end points so far travel along."""
         frame = self._node(q.nodes[0], 0).withColumn("ends", F.array("n0__node_id"))
         if q.path:
             frame = frame.withColumn("names", F.array(self._display(frame, "n0")))
@@ -359,6 +399,8 @@ class Compiler:
                 front = front.join(hop, front["at"] == hop["hop_from"]).filter(~F.array_contains("seen", F.col("hop_to")))
                 front = front.withColumns({"at": F.col("hop_to"), "seen": F.array_append("seen", F.col("hop_to")), f"r{i}__ids": F.array_append(f"r{i}__ids", F.col("hop_edge_id"))})
                 front = front.withColumnsRenamed({f"hop_{c}": f"r{i}__{c}" for c in columns}).drop("hop_from", "hop_to")
+                if 1 < depth < rel.most:
+                    front = cut(front)  # each depth is computed once
                 if depth >= rel.least:
                     hit = front.join(target, front["at"] == target[f"n{i + 1}__node_id"]).drop("at", "seen")
                     found = hit if found is None else found.unionByName(hit)
@@ -471,3 +513,16 @@ class Compiler:
 
 def run(text: str, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return Compiler(nodes, edges).compile(parse(text))
+
+
+def run_capped(text: str, nodes: DataFrame, edges: DataFrame, most: int = MAX_ROWS) -> DataFrame:
+    """At most ``most`` rows, the first in the order that the query asks for, else by all columns; ``truncated`` tells
+    whether there are more."""
+    q = parse(text)
+    out = Compiler(nodes, edges).compile(q)
+    columns = out.columns
+    if not q.order:
+        out = out.orderBy(*(F.col(f"`{c}`").asc_nulls_first() for c in columns))
+    some = out.limit(most + 1).select("*", F.monotonically_increasing_id().alias("__at"))
+    some = some.withColumn("truncated", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))) > most)  # over most + 1 rows at most
+    return some.orderBy("__at").limit(most).drop("__at")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -15,9 +16,21 @@ def canonical_json(value: Any) -> str:
 
 
 def write_store(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """Replaces the stored graph; edges are laid out by predicate, so that typed hops read only theirs."""
-    nodes.write.mode("overwrite").parquet(f"{path}/nodes")
-    edges.write.mode("overwrite").partitionBy("predicate").parquet(f"{path}/edges")
+    """Replaces the stored graph; edges are laid out by predicate, so that typed hops read only theirs.
+
+    The new tables are written beside the old ones and take their names when both are complete, so a graph can be
+    written where it was read from.
+    """
+    spark, staged = nodes.sparkSession, f"{path}/staged-{uuid.uuid4().hex}"
+    nodes.write.parquet(f"{staged}/nodes")
+    edges.write.partitionBy("predicate").parquet(f"{staged}/edges")
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    files = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for name in ("nodes", "edges"):
+        files.delete(at(f"{path}/{name}"), True)
+        if not files.rename(at(f"{staged}/{name}"), at(f"{path}/{name}")):
+            raise OSError(f"{staged}/{name} could not take the place of {path}/{name}")
+    files.delete(at(staged), True)
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

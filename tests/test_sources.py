@@ -15,8 +15,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from provgraph.catalog.analytics import layout, yen_k_paths
-from provgraph.catalog.sources import html_page_blocks
-from provgraph.catalog.text import content_address_utf8
+from provgraph.catalog.sources import html_blocks
+from provgraph.catalog.text import content_address
 from provgraph.operators import analytics, claims, intervals, paths, resolution, structure
 from provgraph.operators.lift import supply_graph
 from provgraph.sources import formats
@@ -86,7 +86,7 @@ def test_sentences():
 
 def test_chunks_keep_blocks_whole(spark):
     blocks = [("heading", 1, 0, 2, "T"), ("paragraph", 0, 3, 9, "a b c"), ("paragraph", 0, 10, 15, "d e"), ("heading", 2, 16, 18, "U"), ("paragraph", 0, 19, 30, "f " * 9)]
-    assert [(t, a, b) for t, a, b, _ in structure.fill_chunks(blocks, 4)] == [(["T"], 3, 9), (["T"], 10, 15), (["T", "U"], 19, 30)]
+    assert [(t, held[0][2], held[-1][3]) for t, held in structure.fill_chunks(blocks, 4)] == [(["T"], 3, 9), (["T"], 10, 15), (["T", "U"], 19, 30)]
 
 
 def test_decisions_and_links(spark):
@@ -263,7 +263,7 @@ def test_content_address_of_all_texts(spark, tmp_path):
     """Spans are cut by bytes, also within a character; no text is left out."""
     texts = ["plain ascii of over twenty bytes", "é" * 9 + "x中 cut within a character", "中😀" * 4, "ß" * 10, "short é", ""]
     spark.createDataFrame([(i, t, "web") for i, t in enumerate(texts)], "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.id: (r.doc_hash, r.edge_hash, r.span) for r in content_address_utf8(spark, str(tmp_path)).collect()}
+    got = {r.id: (r.doc_hash, r.edge_hash, r.span) for r in content_address(spark, str(tmp_path)).collect()}
     sha = lambda b: hashlib.sha256(b).hexdigest()
     assert got == {i: ("sha256:" + sha(t.encode()), "edge:" + sha(f"web|HAS|{i}".encode()), sha(t.encode()[:20]) if len(t.encode()) >= 20 else None) for i, t in enumerate(texts)}
 
@@ -296,7 +296,7 @@ def test_blocks_of_all_pages_against_brute_force(spark, tmp_path):
     spark.createDataFrame(list(enumerate(PAGES)), "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
     for where in (str(tmp_path), SF):
         pages = {r.page_id: r.html for r in spark.read.parquet(f"{where}/pages.parquet").collect()}
-        got = sorted((r.page_id, r.ord, r.kind, r.level, r.text) for r in html_page_blocks(spark, where).collect())
+        got = sorted((r.page_id, r.ord, r.kind, r.level, r.text) for r in html_blocks(spark, where).collect())
         assert got == sorted((i, n, *b) for i, page in pages.items() for n, b in enumerate(brute_blocks(page)))
 
 
