@@ -154,7 +154,8 @@ def plan_blocks(rows: int, rows_per_block: int = BLOCK_ROWS) -> int:
 
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Long texts and packed rows pass between the JVM and Python in batches of at most so many
-    rows, so that neither holds many megabytes for one batch."""
+    rows, so that neither holds many megabytes for one batch.  Spark takes this from the session when a
+    result is computed, so it stays lowered; a lower setting is left alone."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= rows:
         spark.conf.set(name, str(rows))

@@ -72,33 +72,27 @@ def rotate(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn",
     turns = placed_turns(conversations, conv, turn, role, text)
     views = stored(turns.select(F.col("conv_id").alias("view_conv"), F.col("role").alias("view")).distinct(), "views")
     own = F.col("role").eqNullSafe(F.col("view"))
-    head = F.when(own, F.lit(f"{OPEN}assistant\n")).otherwise(F.concat(F.lit(f"{OPEN}user name="), name_of(F.col("role")), F.lit("\n")))
-    each = (
-        turns.join(views, turns.conv_id.eqNullSafe(views.view_conv))
-        .select("conv_id", "view", "turn", "role", "part", "at", own.alias("own"), head.alias("head"), "content")
-        .withColumn("size", (F.length("head") + F.length("content") + len(CLOSE)).cast("long"))
-    )
+    mine, other = f"{OPEN}assistant\n", f"{OPEN}user name="
+    # Places are found without the texts: sizes, joined with the participants.
+    sizes = turns.select("conv_id", "role", "part", "at", (F.length("content") + len(CLOSE)).alias("body"), (F.length(name_of(F.col("role"))) + len(other) + 1).alias("head"))
+    each = sizes.join(views, sizes.conv_id.eqNullSafe(views.view_conv)).select("conv_id", "view", "part", "at", own.alias("own"), (F.when(own, len(mine)).otherwise(F.col("head")) + F.col("body")).cast("long").alias("size"))
     # Sums within a range, and the totals of the ranges before it: as many rows as (range, conversation, view).
     totals = each.groupBy("part", "conv_id", "view").agg(F.sum("size").alias("size"))
     before = totals.select("part", "conv_id", "view", (F.sum("size").over(Window.partitionBy("conv_id", "view").orderBy("part")) - F.col("size")).alias("before"))
     within = F.sum("size").over(Window.partitionBy("part", "conv_id", "view").orderBy("at")) - F.col("size")
     same = [F.col(f"e.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("part", "conv_id", "view")]
-    start = F.col("within") + F.col("before")
-    return (
-        each.withColumn("within", within)
-        .alias("e")
-        .join(before.alias("b"), same[0] & same[1] & same[2])
-        .select(
-            "e.conv_id",
-            name_of(F.col("e.view")).alias("perspective"),
-            "turn",
-            F.when(F.col("own"), "assistant").otherwise("user").alias("rendered_role"),
-            name_of(F.col("role")).alias("speaker"),
-            F.concat("head", "content", F.lit(CLOSE)).alias("rendered"),
-            start.alias("start"),
-            (start + F.length("head")).alias("mask_start"),
-            F.when(F.col("own"), F.length("content") + len(CLOSE)).otherwise(0).cast("long").alias("mask_len"),
-        )
+    placed = each.withColumn("within", within).alias("e").join(before.alias("b"), same[0] & same[1] & same[2]).select("at", "e.view", "own", (F.col("within") + F.col("before")).alias("start"))
+    head = F.when(F.col("own"), F.lit(mine)).otherwise(F.concat(F.lit(other), name_of(F.col("role")), F.lit("\n")))
+    return turns.join(placed, "at").select(
+        "conv_id",
+        name_of(F.col("view")).alias("perspective"),
+        "turn",
+        F.when(F.col("own"), "assistant").otherwise("user").alias("rendered_role"),
+        name_of(F.col("role")).alias("speaker"),
+        F.concat(head, F.col("content"), F.lit(CLOSE)).alias("rendered"),
+        "start",
+        (F.col("start") + F.length(head)).alias("mask_start"),
+        F.when(F.col("own"), F.length("content") + len(CLOSE)).otherwise(0).cast("long").alias("mask_len"),
     )
 
 

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where unset (tests in one JVM) a new one."""
+    """The folder in ``spark.checkpoint.dir``; where unset a new one, but only for a session in one JVM."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = getattr(spark.sparkContext, "_provgraph_shared", None)
         if not where:
             where = spark.sparkContext._provgraph_shared = "file://" + tempfile.mkdtemp(prefix="provgraph-")

@@ -9,7 +9,7 @@ window, so that memory stays bounded.
 Special strings in a text count as one token each, as the library does by
 default; a null text is empty and has 0 tokens and bytes; texts of any length
 are read pre-token by pre-token; rows are independent (ties and repeated rows keep their own
-results); further columns are ignored.
+results), a null ``doc_id`` is kept; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
