@@ -23,10 +23,12 @@ MAX_COMPONENT = 200_000
 
 
 def cut(frame: DataFrame) -> DataFrame:
-    """Cuts lineage in the cluster's checkpoint folder; a temporary one only where none is set."""
+    """Cuts lineage in the cluster's checkpoint folder; a temporary one only where none is set for a session in one JVM."""
     context = frame.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         where = frame.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not where and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(where or tempfile.mkdtemp(prefix="provgraph-"))
     return frame.checkpoint()
 
