@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,7 @@ class Graph:
     claims: DataFrame
     conflicts: DataFrame
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    stages: list[dict] = field(default_factory=list)  # what each stage took, for the manifest
 
 
 NODE = ["node_id", "labels", "name", "props"]
@@ -110,14 +112,22 @@ def build(spark: SparkSession, path: str, strategy: str | None = None) -> Graph:
     """Reads a folder and returns the graph's tables, lazily; ``strategy`` also resolves conflicts."""
     from .ids import chunk_id
 
+    stages: list[dict] = []
+    began = time.perf_counter()
+
+    def done(layer: str) -> None:
+        stages.append({"layer": layer, "wall_ms": round((time.perf_counter() - began) * 1000) - sum(s["wall_ms"] for s in stages)})
+
     files = corpus.list_corpus(spark, path)
     documents, blocks = corpus.ingest(files)
     documents, blocks = analytics.cut(documents.dropDuplicates(["doc_id"])), analytics.cut(blocks.dropDuplicates(["doc_id", "ord"]))
+    done("reading")
     chunk_table = structure.chunks(blocks, texts=documents).withColumn("node_id", chunk_id("doc_id", "start", "end", "breadcrumb"))
     nodes, edges = structural(documents, blocks, chunk_table)
 
     mentions = analytics.cut(extraction.extract_mentions(documents, blocks))
     found = analytics.cut(extraction.extract_relations(documents, blocks))
+    done("extraction")
     ents = extraction.entities(mentions)
     nodes.append(_nodes(ents, "Entity", mention_count="mention_count", etype="etype"))
     edges.append(_edges(extraction.mention_edges(mentions)))
@@ -134,6 +144,7 @@ def build(spark: SparkSession, path: str, strategy: str | None = None) -> Graph:
     spans = mentions.select(F.concat_ws(":", F.lit("entity"), "etype", "norm").alias("id"), "doc_id", "start", "end").groupBy("id").agg(F.min(F.struct("doc_id", "start", "end")).alias("s"))
     same = members.join(spans, "id").select(F.col("id").alias("subject"), F.lit("SAME_AS").alias("predicate"), F.col("canonical_id").alias("object"), "s.doc_id", "s.start", "s.end")
     same = analytics.cut(same)
+    done("resolution")
     nodes.append(_nodes(members.select(F.col("canonical_id").alias("node_id"), F.col("canonical").alias("name")).dropDuplicates(["node_id"]), "Canonical"))
     edges.append(_edges(same, "INFERRED", 0.95))
 
@@ -142,6 +153,7 @@ def build(spark: SparkSession, path: str, strategy: str | None = None) -> Graph:
     dated = made.join(claims.nearest_dates(made, dates), "claim_id", "left").withColumn("t_invalid", F.lit(None).cast("string"))
     closed = claims.supersede(dated)
     final = analytics.cut(dated.drop("t_invalid").join(closed, "claim_id", "left"))
+    done("claims")
     nodes.append(_nodes(final.select(F.col("claim_id").alias("node_id"), F.concat_ws(" ", "subject", "predicate", "object").alias("name"), "polarity", "modality", "t_valid", "t_invalid"), "Claim", polarity="polarity", modality="modality", t_valid="t_valid", t_invalid="t_invalid"))
     cite = final.select("claim_id", "doc_id", "start", "end")
     wires = claims.claim_edges(final).withColumn("claim_id", F.when(F.col("predicate") == "SUBJECT_OF", F.col("object")).otherwise(F.col("subject"))).join(cite, "claim_id")
@@ -161,7 +173,10 @@ def build(spark: SparkSession, path: str, strategy: str | None = None) -> Graph:
 
     all_nodes = merge_layers([n.select(*NODE) for n in nodes], "node_id")
     all_edges = merge_layers([e.select(*EDGE) for e in edges], "edge_id")
-    return Graph(documents, blocks, chunk_table, analytics.cut(all_nodes), analytics.cut(all_edges), final, conflict_table, {"mentions": mentions, "relations": found, "same_as": same, "contending": contending})
+    all_nodes, all_edges = analytics.cut(all_nodes), analytics.cut(all_edges)
+    done("graph")
+    tables = {"mentions": mentions, "relations": found, "same_as": same, "contending": contending}
+    return Graph(documents, blocks, chunk_table, all_nodes, all_edges, final, conflict_table, tables, stages)
 
 
 def entity_graph(graph: Graph) -> tuple[DataFrame, DataFrame]:

@@ -6,7 +6,7 @@ import json
 import uuid
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -65,12 +65,41 @@ def graph_json(nodes: DataFrame, edges: DataFrame, most: int = 1_000_000) -> str
     return canonical_json({"stats": {"nodes": len(parts["node"]), "edges": len(parts["edge"]), "tags": tags}, "nodes": parts["node"], "edges": parts["edge"]})
 
 
-def manifest(config: dict[str, Any], stages: list[dict[str, Any]]) -> str:
-    """Version, a digest of the configuration, and the stages' counts."""
+def coverage(documents: DataFrame, edges: DataFrame) -> dict[str, int]:
+    """How many documents there are, how many of them an edge cites, and how many edges cite any."""
+    cited = edges.select("edge_id", F.explode("source_spans").alias("s")).select("edge_id", F.col("s.doc_id").alias("doc_id"))
+    known = cited.join(documents.select("doc_id").distinct(), "doc_id", "left_semi")
+    row = known.agg(F.countDistinct("doc_id").alias("documents_cited"), F.countDistinct("edge_id").alias("edges_citing")).first()
+    return {"documents": documents.select("doc_id").distinct().count(), "edges": edges.count(), **row.asDict()}
+
+
+def manifest(config: dict[str, Any], stages: list[dict[str, Any]], covered: dict[str, int] | None = None) -> str:
+    """Version, a digest of the configuration, the stages with their times and counts, and the coverage."""
     import hashlib
 
     digest = hashlib.sha256(canonical_json(config).encode()).hexdigest()
-    return canonical_json({"tool_version": "0.1.0", "config_hash": digest, "stages": stages})
+    return canonical_json({"tool_version": "0.1.0", "config_hash": digest, "stages": stages} | ({"coverage": covered} if covered else {}))
+
+
+#: Questions about the busiest nodes of a label, and how many of them.
+ASK = {
+    "Organization": ("How does {} relate to the others, and on what grounds?", 2), "Person": ("Whom does {} direct or speak for?", 2), "Rationale": ("What led to \"{}\"?", 1),
+    "Requirement": ("Where does the corpus ask for \"{}\"?", 1), "Term": ("How is {} defined?", 1), "Section": ("What is said under \"{}\"?", 1), "Participant": ("What did {} say, and to whom?", 1),
+    "Conflict": ("Which sources disagree: {}?", 1),
+}
+ASK_ALWAYS = ("Which nodes hold the graph together?", "Which claims were superseded, and by what?", "Which documents contradict each other?", "What was decided, and what followed?", "Who controls whom?", "Where did money go?", "What do the communities stand for?", "Which nodes have no links?", "Which sources are cited most?", "What changed last?")
+
+
+def questions(nodes: DataFrame, edges: DataFrame, most: int = 10) -> list[str]:
+    """Questions that the graph can answer: about its busiest nodes by label, then general ones."""
+    from ..operators.graph_tools import degrees
+
+    named = nodes.select("node_id", "name", F.explode("labels").alias("label")).filter(F.col("label").isin(list(ASK)) & F.col("name").isNotNull())
+    place = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("degree"), "name", "node_id"))
+    top = named.join(degrees(edges), "node_id").withColumn("place", place).filter(F.col("place") <= max(n for _, n in ASK.values())).collect()  # a few per label
+    rows = {(r.label, r.place): r["name"] for r in top}
+    asked = [text.format(rows[label, i]) for label, (text, n) in ASK.items() for i in range(1, n + 1) if (label, i) in rows]
+    return list(dict.fromkeys([*asked, *ASK_ALWAYS]))[:most]
 
 
 def report(nodes: DataFrame, edges: DataFrame, k: int = 10) -> str:
@@ -83,8 +112,7 @@ def report(nodes: DataFrame, edges: DataFrame, k: int = 10) -> str:
     out += ["", "## Most connected", "", *[f"- {r.name} ({r.degree})" for r in top]]
     open_ = nodes.filter(F.array_contains("labels", "Conflict")).orderBy("name").limit(k).collect()
     out += ["", "## Conflicts", "", *([f"- {r.name}" for r in open_] or ["- none"])]
-    asked = [f"Why does {r.name} matter?" for r in top[:4]] + [f"How is {a.name} connected to {b.name}?" for a, b in zip(top[:3], top[1:4], strict=False)] + [f"What is {r.name} about?" for r in open_[:3]]
-    return "\n".join([*out, "", "## Questions", "", *[f"{i}. {q}" for i, q in enumerate(asked[:10], 1)], ""])
+    return "\n".join([*out, "", "## Questions", "", *[f"{i}. {q}" for i, q in enumerate(questions(nodes, edges), 1)], ""])
 
 
 def html_page(nodes: DataFrame, edges: DataFrame, most: int = 2_000) -> str:

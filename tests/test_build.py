@@ -174,6 +174,13 @@ def test_sinks(spark, graph, tmp_path):
     assert "# Graph report" in store.report(graph.nodes, graph.edges)
     assert "<script id=g" in store.html_page(graph.nodes, graph.edges)
     assert json.loads(store.manifest({"a": 1}, []))["config_hash"]
+    made = json.loads(store.manifest({"a": 1}, graph.stages, store.coverage(graph.documents, graph.edges)))
+    assert [s["layer"] for s in made["stages"]] == ["reading", "extraction", "resolution", "claims", "graph"] and all(s["wall_ms"] >= 0 for s in made["stages"])
+    assert 0 < made["coverage"]["documents_cited"] <= made["coverage"]["documents"] and made["coverage"]["edges_citing"] <= made["coverage"]["edges"]
+    asked = store.questions(graph.nodes, graph.edges)
+    assert len(asked) == len(set(asked)) == 10 and any("Larch" in q or "Rowan" in q or "Elm" in q for q in asked)
+    store.write_store(nodes, edges, str(tmp_path / "g"))  # where it is read from
+    assert corpus.read_graph(spark, str(tmp_path / "g"))[0].count() == graph.nodes.count()
 
 
 def test_extraction_quality(spark, graph):
