@@ -1,4 +1,4 @@
-"""Bounded, repeatable samples of labelled rows, their training, and word pieces for classifiers."""
+"""Labelled rows, all or a bounded, repeatable sample of them, its training, and word pieces for classifiers."""
 
 from __future__ import annotations
 
@@ -35,15 +35,16 @@ def pieces(column: pa.Array, lower: bool) -> Iterator[tuple[int, int, Words]]:
         yield i, j, Words(part, offsets[i : j + 1] - offsets[i], lower, edges)
 
 
-def sample(labels: DataFrame, label: str, modulus: int, held_out: int, most: int, value: int | None = None, key: str = "doc_id") -> DataFrame:
-    """At most ``most`` labelled ids outside the held-out remainder, in the order of a hash of
-    the id; with ``value`` only rows of that label.  Repeated ids count once (greatest label),
+def known(labels: DataFrame, label: str, modulus: int, held_out: int, key: str = "doc_id") -> DataFrame:
+    """All labelled ids outside the held-out remainder.  Repeated ids count once (greatest label),
     null ids or labels not at all."""
     own = labels.select(F.col(key).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).dropna()
-    own = own.filter(remainder("doc_id", modulus) != held_out).groupBy("doc_id").agg(F.max("label").alias("label"))
-    if value is not None:
-        own = own.filter(F.col("label") == value)
-    return own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return own.filter(remainder("doc_id", modulus) != held_out).groupBy("doc_id").agg(F.max("label").alias("label"))
+
+
+def sample(labels: DataFrame, label: str, modulus: int, held_out: int, most: int, key: str = "doc_id") -> DataFrame:
+    """At most ``most`` of the ``known`` ids, in the order of a hash of the id."""
+    return known(labels, label, modulus, held_out, key).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
 def learned(examples: DataFrame, fit: Callable[[list[tuple[int, str, bytes]]], object], sample_bytes: int = SAMPLE_BYTES) -> object:

@@ -75,3 +75,23 @@ def cut_words(rows, window: int = 20) -> dict[int, tuple[int, int, str]]:
             seen.add(key)
         out[i] = (len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone))
     return out
+
+
+def late_word(spark, where: str) -> None:
+    """Tables of 13,000 labelled rows and two more, -1 and -2: of the toxic rows the first 4,100 by the hash of
+    their ids (over 3,000 of them not held out) have one bad word, the others another, which row -1 has too."""
+    from pyspark.sql import functions as F
+
+    order = [r.id for r in spark.range(13_000).orderBy(F.xxhash64("id"), "id").collect()]
+    r, rows, toxic = random.Random(3), [], 0
+    for k, i in enumerate(order):
+        bad = k % 3 == 0
+        own = [f"word{r.randrange(400)}" for _ in range(r.randrange(4, 9))]
+        if bad:
+            own[r.randrange(len(own))] = "blargh" if toxic < 4_100 else "zorblax"
+            toxic += 1
+        rows.append((i, " ".join(own), ("en", "de")[i % 2], int(bad)))
+    rows += [(-1, "word1 word2 zorblax word3", "en", None), (-2, "word1 word2 word4 word3", "en", None)]
+    both = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    both.selectExpr("doc_id", "text", "lang", "'s' source", "cast(length(text) as int) n_chars").write.parquet(f"{where}/documents.parquet")
+    both.filter("toxic is not null").selectExpr("doc_id", "1 quality", "toxic").write.parquet(f"{where}/labels.parquet")

@@ -618,6 +618,65 @@ def test_training_sample_is_bounded(spark):
     assert labelled.learned(frame.limit(0), list) == []
 
 
+def test_toxicity_learns_from_every_labelled_row(spark, tmp_path):
+    """A word whose labelled rows all come late in the order of the ids' hash is learnt like any other."""
+    from provgraph.llm.queries import QUERIES
+
+    cases.late_word(spark, str(tmp_path))
+    got = {r.doc_id: r for r in QUERIES["op6_toxicity"](spark, str(tmp_path)).collect()}
+    assert got[-1].score > 0.9 and got[-2].score < 0.1
+
+
+def test_toxicity_shards_hold_every_labelled_row(spark, docs, rows):
+    """Each labelled row that isn't held out once, whatever repeats, with its label and its own words."""
+    more = [(4, "another text of an id"), (4, "another text of an id"), (None, "no id")]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows] + [(4, 1), (None, 1), (10**6, 1)], "doc_id long, label int")
+    own = toxicity.known(labels, "label", 4, 2)
+    source = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string")).selectExpr("doc_id", "coalesce(text, '') text", "'en' lang")
+    texts, n = toxicity.labelled_texts(source, own, 4, 2, 4000)
+    assert n > 3
+    want = {(i, t or "") for i, t in [*rows, *more] if i is not None and zlib.crc32(str(i).encode()) % 4 != 2}
+    want = sorted((1 if i == 4 else i % 2, toxicity.packed(b, w)) for i, t in want for _, _, b, w, _ in toxicity.token_ids(pa.array([t])))
+
+    def plain(label, x):
+        buckets, word = toxicity.unpacked(x)
+        return label, buckets[word].tobytes()
+
+    parts = [list(toxicity.shards(iter(texts.toArrow().to_batches()), aside)) for aside in (False, True)]
+    got = [x for part in parts for _, shard in part for x in shard]
+    assert sorted(plain(*x) for x in got) == sorted(plain(*x) for x in want)
+    assert 0 < sum(len(s) for _, s in parts[1]) < len(want) / 3 and len({b for b, _ in parts[0]}) > 2
+
+
+def test_toxicity_round_is_the_weighted_mean_of_shards(spark, docs, rows):
+    labels = spark.createDataFrame([(i, int("river" in (t or ""))) for i, t in rows], "doc_id long, label int")
+    source = docs.selectExpr("doc_id", "coalesce(text, '') text", "'en' lang")
+    texts, n = toxicity.labelled_texts(source, toxicity.known(labels, "label", 4, 2), 4, 2, 4000)
+    lines, grown = toxicity.Cnn.fresh().lines(), toxicity.untouched().lines()
+    assert (toxicity.Cnn.of(lines).lines() == lines).all()
+    moves = []
+    for _, shard in toxicity.shards(iter(texts.toArrow().to_batches()), aside=False):
+        net, own = toxicity.Cnn.of(lines), toxicity.Cnn.of(grown)
+        toxicity.fit(shard, 2, seed=5, net=net, grown=own)
+        moves.append((net.lines() - lines.astype(float), own.lines() - grown.astype(float)))
+    assert n > 3 and len(moves) > 2
+    base = sum(g for _, g in moves)
+    want = lines + sum(m * g for m, g in moves) / np.where(base > 0, base, 1)
+    got, sums = toxicity.trained_round(texts, lines, grown, 2, 5)
+    assert np.allclose(got, want, atol=1e-6) and (got != lines).any()
+    assert np.allclose(sums, grown + sum(g * g for _, g in moves) / np.where(base > 0, base, 1), rtol=1e-4)
+
+
+def test_toxicity_of_many_shards_learns(spark, tmp_path):
+    cases.late_word(spark, str(tmp_path))
+    docs, labels = (spark.read.parquet(f"{tmp_path}/{n}.parquet") for n in ("documents", "labels"))
+    model = toxicity.train(docs, labels, shard_bytes=100_000)
+    held = toxicity.score(docs.repartition(3), model).filter("held_out").join(labels, "doc_id").selectExpr("avg(cast(predicted = toxic as int)) a").first().a
+    assert held > 0.95 and 0 < model.overall < 1 and model.by_language
+    again = toxicity.train(docs.repartition(5), labels.repartition(2), shard_bytes=100_000)
+    assert (model.scorer.embed == again.scorer.embed).all() and model.overall == again.overall and model.by_language == again.by_language
+
+
 def test_ftrl_and_cnn_learn():
     model, r = quality.Ftrl(64), np.random.default_rng(1)
     rows = [(int(k % 2), np.unique(np.append(r.integers(2, 64, 8), k % 2))) for k in range(400)]
@@ -647,3 +706,9 @@ def test_scorer_equals_network():
 def test_thresholds():
     p, y = np.array([0.9, 0.8, 0.4, 0.1]), np.array([1, 1, 0, 0])
     assert 0.4 < toxicity.best_threshold(p, y, np.ones(4)) < 0.8
+
+
+def test_thresholds_do_not_cut_equal_scores():
+    p, y = np.array([0.9, 0.6, 0.6, 0.6, 0.1]), np.array([1, 1, 0, 0, 0])
+    for order in ([0, 1, 2, 3, 4], [4, 3, 2, 1, 0]):
+        assert 0.6 < toxicity.best_threshold(p[order], y[order], np.ones(5)) < 0.9
