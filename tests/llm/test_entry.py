@@ -112,6 +112,19 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert sorted(got, key=repr) == sorted(want, key=repr) and len(got) > 8
 
 
+def test_pipeline_learns_from_every_labelled_row(spark, tmp_path):
+    """Its first stage drops a text for a word whose labelled rows all come late in the order of the ids' hash."""
+    import corpus_pipeline as pipeline
+
+    cases.late_word(spark, str(tmp_path))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    left = {r.doc_id for r in dict(pipeline.STAGES)["toxicity"](spark, docs, str(tmp_path)).collect()}
+    bad = {r.doc_id for r in docs.collect() if "zorblax" in r.text}
+    assert -1 in bad and -2 in left
+    assert len(bad) > 200 and len(left & bad) < 0.02 * len(bad)
+    assert len(left) > 0.95 * (13_000 * 2 / 3)
+
+
 def rejects(model, text, lang) -> bool:
     import pyarrow as pa
 
