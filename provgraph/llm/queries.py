@@ -55,7 +55,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), crossed=False))
 
 
 def op7_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

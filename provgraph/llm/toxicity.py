@@ -11,10 +11,12 @@ Training reads every labelled row that is not held out.  Rows are dealt by a has
 ``SHARD_BYTES`` of text; in each of ``ROUNDS`` rounds every shard's task goes on from the same network, and each number
 then moves by the mean of the shards' moves, weighted by the squared gradients that each shard has seen for it (so shards
 without a word have no say in its embedding).  The means are taken by ranges of the network's tables; the driver only holds
-these tables, whose size is fixed.  Tables of one shard are trained in one round of as many epochs.  Every fourth labelled row is
-left out of the training to calibrate a decision threshold for each language from all of these rows (falling back to the overall
-one where a language has under ``LEAST`` positives); language selects the
-threshold only and is never an input of a score.
+these tables, whose size is fixed.  Tables of one shard are trained in one round of as many epochs.  A decision threshold is
+calibrated for each language (falling back to the overall one where a language has under ``LEAST`` positives); language selects the
+threshold only and is never an input of a score.  Thresholds need scores by a network that has not seen the row: when ``crossed``,
+two networks learn one half of the labelled rows each and score the other half, so that thresholds come from every labelled row, and
+the network that is kept learns from every one too.  Otherwise every fourth labelled row is left out of the only training and
+gives the thresholds, at under half of the cost.
 
 Cases: null and empty texts get the score of an all-padding text; texts of any length are read
 whole, slice by slice; rows are independent, so ties and repeated rows get equal scores, and a null ``doc_id`` is
@@ -25,13 +27,14 @@ uses the overall threshold; further columns are kept by ``drop_toxic`` and ignor
 
 from __future__ import annotations
 
+import functools
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import Broadcast, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +51,7 @@ THRESHOLD = 0.3
 SHARD_BYTES = 64 << 20  # of texts that may be labelled
 ROUNDS, EPOCHS = 4, 8
 ASIDE = 4
+HALVES = (0, 2), (1, 3)  # of the ASIDE folds
 RANGE = 1 << 12  # lines of a network's numbers that are averaged together
 SLICES = "block int, start long, n long, hits long, labels binary, langs array<string>, buckets binary, word binary, cuts binary"  # the last three by ``shrunk``
 
@@ -248,10 +252,10 @@ def best_threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
 
 
 class Shard:
-    """A shard's texts that are ``aside``, or the others: as examples, and their languages."""
+    """A shard's texts that are ``aside`` (in one of ``folds``), or the others: as examples, and their languages."""
 
-    def __init__(self, aside: bool):
-        self.aside = aside
+    def __init__(self, aside: bool, folds: tuple[int, ...] = (ASIDE - 1,)):
+        self.aside, self.folds = aside, folds
         self.label: list[int] = []
         self.lang: list[str] = []
         self.place: list[tuple[np.ndarray, np.ndarray]] = []
@@ -259,7 +263,7 @@ class Shard:
     def add(self, start: int, labels: bytes, langs: list[str], buckets: bytes, word: bytes, cuts: bytes) -> None:
         table, words, at = widened(buckets).reshape(FEATURES, -1).T, widened(word), widened(cuts)
         for k, label in enumerate(labels):
-            if ((start + k) % ASIDE == ASIDE - 1) == self.aside:
+            if ((start + k) % ASIDE in self.folds) == self.aside:
                 self.label.append(label)
                 self.lang.append(langs[k])
                 self.place.append((table, words[at[k] : at[k + 1]]))
@@ -271,16 +275,16 @@ class Shard:
         return self.label[k], packed(*self.place[k])
 
 
-def shards(batches: Batches, aside: bool) -> Iterator[tuple[int, Shard]]:
+def shards(batches: Batches, aside: bool, folds: tuple[int, ...] = (ASIDE - 1,)) -> Iterator[tuple[int, Shard]]:
     """Blocks and their texts, from rows of ``SLICES``."""
-    current, shard = None, Shard(aside)
+    current, shard = None, Shard(aside, folds)
     for batch in batches:
         for row in batch.select(["block", "start", "labels", "langs", "buckets", "word", "cuts"]).to_pylist():
             block = row.pop("block")
             if block != current:
                 if len(shard):
                     yield current, shard
-                current, shard = block, Shard(aside)
+                current, shard = block, Shard(aside, folds)
             shard.add(**row)
     if len(shard):
         yield current, shard
@@ -324,13 +328,13 @@ def labelled_texts(docs: DataFrame, own: DataFrame, modulus: int, held_out: int,
     return dealt.mapInArrow(trimmed(sliced), SLICES), n
 
 
-def trained_round(texts: DataFrame, lines: np.ndarray, grown: np.ndarray, epochs: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """A network's lines and their sums after every shard's task went on from the same ones."""
+def trained_round(texts: DataFrame, lines: np.ndarray, grown: np.ndarray, epochs: int, seed: int, folds: tuple[int, ...] = (ASIDE - 1,)) -> tuple[np.ndarray, np.ndarray]:
+    """A network's lines and their sums after every shard's task went on from the same ones, without the texts of ``folds``."""
     shipped = texts.sparkSession.sparkContext.broadcast((lines, grown))  # two tables of BUCKETS rows
 
     def moved(batches: Batches) -> Batches:
         before, sums = shipped.value
-        for block, shard in shards(batches, aside=False):
+        for block, shard in shards(batches, aside=False, folds=folds):
             net, own = Cnn.of(before), Cnn.of(sums)
             fit(shard, epochs, seed=seed, net=net, grown=own)
             move, more = net.lines() - before, own.lines() - sums
@@ -363,15 +367,18 @@ def trained_round(texts: DataFrame, lines: np.ndarray, grown: np.ndarray, epochs
     return lines, grown
 
 
-def thresholds(texts: DataFrame, lines: np.ndarray) -> tuple[float, dict[str, float]]:
-    """The overall threshold and those of languages, from all texts that are aside."""
-    shipped = texts.sparkSession.sparkContext.broadcast(lines)
+def thresholds(texts: DataFrame, nets: list[tuple[np.ndarray, tuple[int, ...]]]) -> tuple[float, dict[str, float]]:
+    """The overall threshold and those of languages, from the texts of the folds that each network left aside."""
+    shipped = [texts.sparkSession.sparkContext.broadcast(lines) for lines, _ in nets]
 
-    def scored(batches: Batches) -> Batches:
-        net = Cnn.of(shipped.value)
-        for _, shard in shards(batches, aside=True):
-            p = 1 / (1 + np.exp(-np.array([net.forward(*unpacked(x))[0] for _, x in shard])))
-            yield pa.record_batch([pa.array(p), pa.array(shard.label, pa.int32()), pa.array(shard.lang, pa.string())], names=["p", "y", "lang"])
+    def scorer(shared: Broadcast, folds: tuple[int, ...]) -> Callable[[Batches], Batches]:
+        def scored(batches: Batches) -> Batches:
+            net = Cnn.of(shared.value)
+            for _, shard in shards(batches, aside=True, folds=folds):
+                p = 1 / (1 + np.exp(-np.array([net.forward(*unpacked(x))[0] for _, x in shard])))
+                yield pa.record_batch([pa.array(p), pa.array(shard.label, pa.int32()), pa.array(shard.lang, pa.string())], names=["p", "y", "lang"])
+
+        return scored
 
     def cuts(batches: Batches) -> Batches:
         rows = [[c.to_numpy(zero_copy_only=False) for c in (b.column(0), b.column(1), b.column(2).cast(pa.large_string()))] for b in batches]
@@ -382,15 +389,18 @@ def thresholds(texts: DataFrame, lines: np.ndarray) -> tuple[float, dict[str, fl
         found = {str(g): best_threshold(p[at], y[at], one[at]) for g, at in own.items() if y[at].sum() >= LEAST and (1 - y[at]).sum() >= LEAST}
         yield pa.record_batch([pa.array([pickle.dumps((overall, found), 5)], pa.binary())], names=["cuts"])
 
-    rows = texts.mapInArrow(trimmed(scored), "p double, y int, lang string").repartition(1).mapInArrow(trimmed(cuts), "cuts binary").collect()  # a score, label and language a text
-    shipped.destroy()
+    scores = [texts.mapInArrow(trimmed(scorer(b, folds)), "p double, y int, lang string") for b, (_, folds) in zip(shipped, nets, strict=True)]
+    rows = functools.reduce(DataFrame.unionByName, scores).repartition(1).mapInArrow(trimmed(cuts), "cuts binary").collect()  # a score, label and language a text
+    for b in shipped:
+        b.destroy()
     return pickle.loads(rows[0].cuts) if rows else (THRESHOLD, {})
 
 
 def train(
     docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 4, held_out: int = 2, shard_bytes: int = SHARD_BYTES, text: str = "text", lang: str = "lang", key: str = "doc_id",
+    crossed: bool = True,
 ) -> Model:
-    """Network and thresholds from all labelled rows that are not held out."""
+    """Network and thresholds from all labelled rows that are not held out, both from each of them if ``crossed``."""
     small_batches(docs.sparkSession)
     own = known(labels, label, modulus, held_out).filter(F.col("label").isin(0, 1))
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), F.coalesce(lang, F.lit("")).alias("lang"))
@@ -400,11 +410,20 @@ def train(
         rows, hits = texts.agg(F.sum("n"), F.sum("hits")).first()
         if not 0 < (hits or 0) < (rows or 0):
             return Model(None, THRESHOLD, {})
-        lines, grown = Cnn.fresh().lines(), untouched().lines()
         rounds = ROUNDS if n > 1 else 1
-        for k in range(rounds):
-            lines, grown = trained_round(texts, lines, grown, EPOCHS // rounds, 5 + k)
-        return Model(Scorer(Cnn.of(lines)), *thresholds(texts, lines))
+
+        def trained(folds: tuple[int, ...]) -> np.ndarray:
+            lines, grown = Cnn.fresh().lines(), untouched().lines()
+            for k in range(rounds):
+                lines, grown = trained_round(texts, lines, grown, EPOCHS // rounds, 5 + k, folds)
+            return lines
+
+        if crossed:
+            cuts, lines = thresholds(texts, [(trained(folds), folds) for folds in HALVES]), trained(())
+        else:
+            lines = trained((ASIDE - 1,))
+            cuts = thresholds(texts, [(lines, (ASIDE - 1,))])
+        return Model(Scorer(Cnn.of(lines)), *cuts)
     finally:
         texts.unpersist()
 

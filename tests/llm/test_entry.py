@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+import zlib
+
 import duckdb
 import pytest
 
@@ -125,6 +128,31 @@ def test_pipeline_learns_from_every_labelled_row(spark, tmp_path):
     assert len(left) > 0.95 * (13_000 * 2 / 3)
 
 
+def test_pipeline_model_and_thresholds_come_from_every_labelled_row(spark, tmp_path, monkeypatch):
+    """A word of every fourth labelled row alone is learnt, and a language's threshold counts the positives of all rows."""
+    import corpus_pipeline as pipeline
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from provgraph.llm import toxicity
+
+    order = [r.id for r in spark.range(600).orderBy(F.xxhash64("id"), "id").collect() if zlib.crc32(str(r.id).encode()) % 4 != 2]
+    r, rows = random.Random(3), []
+    for k, i in enumerate(order):
+        bad = (" zorblax" if k % 4 == 3 else " blargh") * (k % 3 == 0)
+        rows.append((i, " ".join(f"word{r.randrange(90)}" for _ in range(5)) + bad, "en" if k % 5 else "de", int(k % 3 == 0)))
+    positives = [k % 4 for k, (*_, lang, toxic) in enumerate(rows) if lang == "de" and toxic]
+    assert positives.count(3) < toxicity.LEAST <= len(positives)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    docs.selectExpr("doc_id", "1 quality", "toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    models = []
+    monkeypatch.setattr(toxicity, "drop_toxic", lambda docs, model: models.append(model) or docs)
+    dict(pipeline.STAGES)["toxicity"](spark, docs, str(tmp_path))
+    bad, good = toxicity.probabilities(models[0], pa.array(["word1 word2 zorblax word3", "word1 word2 word4 word3"]))
+    assert bad > 0.9 and good < 0.1
+    assert set(models[0].by_language) == {"en", "de"}
+
+
 def rejects(model, text, lang) -> bool:
     import pyarrow as pa
 
