@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..ids import claim_id, conflict_id, edge_id
+from .analytics import between
 
 # Predicates with one true object at a time, and those whose conflicts weigh most.
 SINGLE_TRUTH = ("BENEFICIAL_OWNER_OF", "CONTROLS", "DIRECTOR_OF")
@@ -17,14 +18,15 @@ DATE_REACH = 160
 
 def reify(edges: DataFrame, entities: DataFrame) -> DataFrame:
     """A claim for every entity-to-entity relation edge: ``claim_id, subject, predicate, object, confidence, doc_id, start, end``."""
-    ids = entities.select("node_id")
-    kept = edges.filter(~F.col("predicate").isin(*NOT_CLAIMS))
-    kept = kept.join(ids.withColumnRenamed("node_id", "subject"), "subject", "left_semi").join(ids.withColumnRenamed("node_id", "object"), "object", "left_semi")
-    span = F.element_at("source_spans", 1) if "source_spans" in edges.columns else None
-    place = [span["doc_id"], span["start"], span["end"]] if span is not None else []
-    extra = [place[0].alias("doc_id"), place[1].alias("start"), place[2].alias("end")] if place else []
-    made = kept.select(claim_id("subject", "predicate", "object", *place).alias("claim_id"), "subject", "predicate", "object", "confidence", "edge_id", *extra)
-    return made.groupBy("claim_id").agg(F.min_by(F.struct(*[c for c in made.columns if c != "claim_id"]), "edge_id").alias("x")).select("claim_id", "x.*")
+    kept = between(entities, edges.filter(~F.col("predicate").isin(*NOT_CLAIMS)))
+    place = ["doc_id", "start", "end"] if "source_spans" in edges.columns else []
+    if place:
+        span = F.element_at("source_spans", 1)
+        kept = kept.withColumns({c: span[c] for c in place})
+    # Grouped by what the id is made of, and hashed once a claim: neither hashes nor unread columns are shuffled.
+    parts = ["subject", "predicate", "object", *place]
+    made = kept.groupBy(*parts).agg(F.min(F.struct("edge_id", "confidence")).alias("x"))
+    return made.select(claim_id(*parts).alias("claim_id"), "subject", "predicate", "object", "x.confidence", "x.edge_id", *place)
 
 
 def claim_edges(claims: DataFrame) -> DataFrame:
