@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -126,18 +126,37 @@ def trace(links: DataFrame, start: str, hops: int = 6, most: int = 64) -> DataFr
     return ranked.withColumn("place", place).withColumn("truncated", F.max("place").over(W.partitionBy("direction")) > most).filter(F.col("place") <= most).drop("place")
 
 
+#: Characters of text that a batch of rows in Python holds at most, beyond one row.
+BATCH_CHARS = 1 << 21
+
+
+def pieces(rows: Iterable[tuple], columns: list[str], text: int) -> Iterator[pd.DataFrame]:
+    """Rows as frames of ``BATCH_CHARS`` characters in column ``text``, so that what Python holds follows no input."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[text]) + 64
+        if size > BATCH_CHARS:
+            yield pd.DataFrame(held, columns=columns)
+            held, size = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=columns)
+
+
 def paragraph_blocks(docs: DataFrame) -> DataFrame:
     """Plain texts (``doc_id, text``) as paragraph blocks with exact spans."""
+    columns = [c.split()[0] for c in BLOCKS.split(", ")]
+
+    def rows(pdf: pd.DataFrame) -> Iterator[tuple]:
+        for doc, text in zip(pdf.doc_id, pdf.text, strict=True):
+            for n, m in enumerate(re.finditer(r"[^\n](?:[^\n]|\n(?!\n))*", text or "")):
+                body = m.group().rstrip()
+                if body:
+                    yield doc, n, -1, "paragraph", 0, m.start(), m.start() + len(body), body, {}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for doc, text in zip(pdf.doc_id, pdf.text, strict=True):
-                for n, m in enumerate(re.finditer(r"[^\n](?:[^\n]|\n(?!\n))*", text or "")):
-                    body = m.group().rstrip()
-                    if body:
-                        rows.append((doc, n, -1, "paragraph", 0, m.start(), m.start() + len(body), body, {}))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in BLOCKS.split(", ")])
+            yield from pieces(rows(pdf), columns, 7)
 
     return docs.select("doc_id", "text").mapInPandas(run, BLOCKS)
 
@@ -203,10 +222,15 @@ def split_sentences(text: str) -> list[tuple[int, int]]:
 def sentences(blocks: DataFrame) -> DataFrame:
     """``doc_id, block, start, end, sentence`` of prose blocks."""
     prose = blocks.filter(F.col("kind").isin("heading", "paragraph", "list_item", "quote", "transcript_turn"))
+    columns = [c.split()[0] for c in SENTENCES.split(", ")]
+
+    def rows(pdf: pd.DataFrame) -> Iterator[tuple]:
+        for doc, n, base, text in zip(pdf.doc_id, pdf.ord, pdf.start, pdf.text, strict=True):
+            for a, b in split_sentences(text or ""):
+                yield doc, n, base + a, base + b, text[a:b]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(doc, n, base + a, base + b, text[a:b]) for doc, n, base, text in zip(pdf.doc_id, pdf.ord, pdf.start, pdf.text, strict=True) for a, b in split_sentences(text or "")]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SENTENCES.split(", ")])
+            yield from pieces(rows(pdf), columns, 4)
 
     return prose.select("doc_id", "ord", "start", "text").mapInPandas(run, SENTENCES)
