@@ -195,17 +195,29 @@ def fill_chunks(blocks: list[tuple], target: int) -> list[tuple]:
 def chunks(blocks: DataFrame, target: int = CHUNK_TOKENS, texts: DataFrame | None = None) -> DataFrame:
     """Greedy chunks per document; the text is cut from ``texts(doc_id, text)``, or joined from the blocks."""
     source = blocks.select("doc_id", "ord", "kind", "level", "start", "end", "text")
+    columns = [c.split()[0] for c in CHUNKS.split(", ")]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        doc, rows = pdf.doc_id.iloc[0], []
-        items = list(pdf[["kind", "level", "start", "end", "text"]].itertuples(index=False, name=None))
-        for i, (trail, held) in enumerate(fill_chunks(items, target)):
-            body = "\n\n".join(b[4] for b in held)
-            rows.append((doc, i, trail, min(b[2] for b in held), max(b[3] for b in held), body, len(body.split()), held[0][0]))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in CHUNKS.split(", ")])
-
-    made = source.groupBy("doc_id").applyInPandas(run, CHUNKS)
+    def documents(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, list[tuple]]]:
+        # Sorted rows: a document may go on in the next batch.
+        doc, items = None, []
+        for pdf in batches:
+            for own, *block in pdf[["doc_id", "kind", "level", "start", "end", "text"]].itertuples(index=False, name=None):
+                if items and own != doc:
+                    yield doc, items
+                    items = []
+                doc = own
+                items.append(tuple(block))
+        if items:
+            yield doc, items
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        for doc, items in documents(batches):
+            for i, (trail, held) in enumerate(fill_chunks(items, target)):
+                body = "\n\n".join(b[4] for b in held)
+                yield doc, i, trail, min(b[2] for b in held), max(b[3] for b in held), body, len(body.split()), held[0][0]
+
+    # One stream of sorted rows a task: a call for each document would cost more than its work.
+    made = source.repartition("doc_id").sortWithinPartitions("doc_id", "ord").mapInPandas(lambda batches: pieces(rows(batches), columns, 5), CHUNKS)
     if texts is None:
         return made
     cut = F.substring(F.col("whole"), F.col("start") + 1, F.col("end") - F.col("start"))
